@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from telltale import oracles as o
 from telltale.functions import scalars as sc
@@ -13,10 +14,11 @@ from telltale.functions.scalars import rounded
 from telltale.operators import (attack, features as ft, labeling as lb, metrics as mt, ordering as od, rules,
                                 sampling as sp, stats as st, tree)
 from telltale.operators.blocks import process_series
-from telltale.plans import prepare
+from telltale.plans import live, prepare
 from telltale.schemas import ENGINEERED, METRICS, PROCESS_STREAM
 from telltale.session import materialized, scratch_path
 from telltale.sources import fixtures as fx, logs, sinks
+from telltale.streaming.alerts import LiveDetector, alert_totals, rule_scorer, threshold_alerts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -821,3 +823,130 @@ def _(spark, sf):
 def _(spark, sf):
     out = prepare.prepare_dataset(fx.process_view(spark, sf), fx.event_log(spark, sf))
     return out.select("seq", "label", *_r(*ENGINEERED))
+
+
+# ---- streaming ---------------------------------------------------------------------------------
+LIVE_THRESHOLD = 0.4
+LIVE_IO_LIMIT = 20000.0
+LIVE_ROLLING = [f"{c}_{m}_{n}" for n in (5, 10) for c in ("cpu", "mem") for m in ("mean", "std")] + [
+    "cpu_rate", "mem_rate", "cpu_spike", "mem_spike", "cpu_max_10", "cpu_min_10", "mem_max_10"]
+LIVE_BASELINE = [*BASELINE, *DEVIATION]
+_DETECTORS: dict[tuple, LiveDetector] = {}
+
+
+def _detector(spark, sf) -> LiveDetector:
+    """The live job, run once per application and input; each query below reads what it wrote."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _DETECTORS:
+        p = fx.process_view(spark, sf)
+        detector = LiveDetector(rule_scorer(LIVE_IO_LIMIT), scratch_path(spark, "live"), TOP_INPUTS, IMPORTANCE,
+                                threshold=LIVE_THRESHOLD, keep_history=True)
+        _DETECTORS[key] = live.replay(spark, p, live.time_slices(p, [15]), detector)
+    return _DETECTORS[key]
+
+
+def _live(spark, sf) -> DataFrame:
+    return _detector(spark, sf).feature_table(spark)
+
+
+@query("stream_process_snapshots", STREAM_SQL)
+def _(spark, sf):
+    landing, out = scratch_path(spark, "snapshots"), scratch_path(spark, "copied")
+    _stream_file_columns(fx.process_view(spark, sf)).write.option("header", True).option(
+        "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").csv(landing)
+    schema = T.StructType([T.StructField("seq", T.LongType())] + PROCESS_STREAM.fields)
+    stream = logs.stream_process_snapshots(spark, landing, schema=schema)
+    stream.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "cp")).trigger(
+        availableNow=True).start(out).awaitTermination()
+    return _dated(spark.read.parquet(out).select("seq", F.col("timestamp").alias("ts"), *STREAM_COLS))
+
+
+@query("live_history", o.sql(f"select seq, cast(held as int) as held, cpu_hist[1] as oldest_cpu, {o.r('list_sum(cpu_hist)', 4)} as cpu_held from v_live", *o.LIVE_CTE))
+def _(spark, sf):
+    total = F.aggregate("cpu_hist", F.lit(0.0), lambda a, x: a + x)
+    return _live(spark, sf).select("seq", "held", F.element_at("cpu_hist", 1).alias("oldest_cpu"), rounded(total, 4).alias("cpu_held"))
+
+
+@query("live_deltas", o.sql("select seq, " + ", ".join(f"{o.r('l_' + n)} as {n}" for n in ft.DELTAS) + f", {_rs('io_total_rate', 'ctx_total_rate', 'ctx_involuntary_ratio')} from v_live", *o.LIVE_CTE))
+def _(spark, sf):
+    return _live(spark, sf).select("seq", *_r(*ft.DELTAS, "io_total_rate", "ctx_total_rate", "ctx_involuntary_ratio"))
+
+
+@query("live_rolling", o.sql(f"select seq, {_rs(*LIVE_ROLLING)}, {o.r('cpu_mean_10')} as cpu_ema, {o.r('cpu_std_10')} as cpu_volatility from v_live", *o.LIVE_CTE))
+def _(spark, sf):
+    return _live(spark, sf).select("seq", *_r(*LIVE_ROLLING, "cpu_ema", "cpu_volatility"))
+
+
+@query("live_trend", o.sql(f"select seq, {_rs('cpu_trend', 'mem_trend')} from v_live", *o.LIVE_CTE))
+def _(spark, sf):
+    return _live(spark, sf).select("seq", *_r("cpu_trend", "mem_trend"))
+
+
+@query("live_baseline", o.sql(f"select seq, {_rs(*LIVE_BASELINE)} from v_live", *o.LIVE_CTE))
+def _(spark, sf):
+    return _live(spark, sf).select("seq", *_r(*LIVE_BASELINE))
+
+
+@query("live_bursts", o.sql("select seq, cpu_burst, mem_burst, io_write_burst, cpu_burst as cpu_jump, mem_burst as mem_jump from v_live", *o.LIVE_CTE))
+def _(spark, sf):
+    return _live(spark, sf).select("seq", "cpu_burst", "mem_burst", "io_write_burst", "cpu_jump", "mem_jump")
+
+
+@query("live_age", o.sql(f"select seq, {_rs('proc_age')} from v_live", *o.LIVE_CTE))
+def _(spark, sf):
+    return _live(spark, sf).select("seq", *_r("proc_age"))
+
+
+@query("live_row_features", o.sql(f"""select seq, cast(num_children > 0 as int) as has_children, {o.r('cpu * mem')} as cpu_mem_product, {o.r('cpu + mem')} as resource_pressure,
+  {o.r('cpu / (proc_age + 1)')} as cpu_per_age, {o.r('l_io_write_rate / (proc_age + 1)')} as io_per_age, {_rs('io_bytes_per_op')}, 0.0::double as cpu_norm_parent, 0.0::double as cpu_max_20 from v_live""", *o.LIVE_CTE))
+def _(spark, sf):
+    return _live(spark, sf).select("seq", "has_children", *_r("cpu_mem_product", "resource_pressure", "cpu_per_age", "io_per_age", "io_bytes_per_op"),
+                                   "cpu_norm_parent", "cpu_max_20")
+
+
+@query("threshold_alerts", o.sql("select seq, probability from v_alarm where probability >= 0.4", *o.LIVE_CTE))
+def _(spark, sf):
+    return threshold_alerts(_live(spark, sf), LIVE_THRESHOLD).select("seq", "probability")
+
+
+@query("alert_once", o.sql("select session_id, pid, seq from v_first", *o.LIVE_CTE))
+def _(spark, sf):
+    return _detector(spark, sf).alert_table(spark).select("session_id", "pid", "seq")
+
+
+ALERT_TOP = ("a_long as (select seq, name, value, i, imp * (abs(value) / (abs(value) + 1)) as contribution from ("
+             + " union all ".join(f"select seq, '{c}' as name, cast({'l_' + c if c in ft.DELTAS else c} as double) as value, {i} as i, {IMPORTANCE[c]}::double as imp from v_first"
+                                  for i, c in enumerate(TOP_INPUTS))
+             + ") u), a_top as (select seq, list(printf('%s=%.2f', name, value) order by k) filter (k <= 5 and contribution > 0.01) as metrics from ("
+               "select *, row_number() over (partition by seq order by contribution desc, i) as k from a_long) t group by seq)")
+
+
+@query("alert_rows", o.sql("""select session_id, pid, ppid, exe, f.seq, probability as anomaly_score,
+  case when probability > 0.9 then 'HIGH' when probability > 0.8 then 'MEDIUM' else 'LOW' end as confidence_band, array_to_string(metrics, ';') as metrics
+from v_first f join a_top t on f.seq = t.seq""", *o.LIVE_CTE, ALERT_TOP))
+def _(spark, sf):
+    a = _detector(spark, sf).alert_table(spark)
+    return a.select("session_id", "pid", "ppid", "exe", "seq", "anomaly_score", "confidence_band", F.array_join("suspicious_metrics", ";").alias("metrics"))
+
+
+@query("sink_alerts", o.sql("select a.seq, a.attack_type as type, confidence from v_attack a join v_dim using (attack_type)", *o.LIVE_CTE, ALERT_TOP,
+                            CLASS_SQL.replace("from f_all f", "from (select * replace (l_io_write_rate as io_write_rate) from v_first) f").replace("from v_top", "from a_top"), DIM_SQL))
+def _(spark, sf):
+    return _detector(spark, sf).alert_table(spark).select("seq", "attack.type", "attack.confidence")
+
+
+@query("alert_totals", o.sql("select count(*) as alerted_processes from v_first", *o.LIVE_CTE))
+def _(spark, sf):
+    return alert_totals(_detector(spark, sf).alert_table(spark))
+
+
+@query("trigger_cadence", o.sql("select seq, cpu from v_proc", o.V_PROC))
+def _(spark, sf):
+    landing, out = scratch_path(spark, "cadence"), scratch_path(spark, "polled")
+    fx.process_view(spark, sf).select("seq", "timestamp", "cpu").write.parquet(landing)
+    stream = logs.stream_process_snapshots(spark, landing, "parquet", schema=spark.read.parquet(landing).schema)
+    job = (stream.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "cp"))
+           .trigger(processingTime="1 second").start(out))
+    job.processAllAvailable()
+    job.stop()
+    return spark.read.parquet(out).select("seq", "cpu")

@@ -163,6 +163,40 @@ v_results as (
   select model, roc_auc, avg_precision, {F1} as f1, {MCC} as mcc, fp / (fp + tn)::double as fpr, fn / (fn + tp)::double as fnr, tp, tn, fp, fn
   from v_cm join (select model, {AUC} as roc_auc, {AP} as avg_precision from v_rank group by model) a using (model))"""
 
+def _least(n: int, expr: str) -> str:
+    return f"case when rn >= {n} then {expr} else 0 end"
+
+
+_LIVE_DELTA = ", ".join(
+    (f"greatest({n}, 0)::double as l_{n}" if n.startswith(("io_", "ctx_")) else f"{n} as l_{n}") for n in DELTA_SOURCES)
+_LIVE_ROLL = ", ".join(
+    f"{_least(n, over('avg', n, c))} as {c}_mean_{n}, {_least(n, over('stddev_pop', n, c))} as {c}_std_{n}" for n in (5, 10) for c in ("cpu", "mem"))
+_HIST = ", ".join(f"list({c}) over ({KEY} rows between 19 preceding and current row) as {h}"
+                  for h, c in (("cpu_hist", "cpu"), ("mem_hist", "mem"), ("io_hist", "io_write_bytes")))
+
+LIVE = f"""l_hist as (select *, least(rn, 20) as held, {_HIST}, {_LIVE_DELTA}, {_LIVE_ROLL},
+  {_least(5, over('max', 5, 'cpu'))} as cpu_max_10, {_least(5, over('min', 5, 'cpu'))} as cpu_min_10, {_least(5, over('max', 5, 'mem'))} as mem_max_10,
+  {_least(5, f"cpu - lag(cpu, 4) over ({KEY})")} as cpu_trend, {_least(5, f"mem - lag(mem, 4) over ({KEY})")} as mem_trend,
+  case when rn >= 10 and cpu > {q95('cpu')} then 1 else 0 end as cpu_burst, case when rn >= 10 and mem > {q95('mem')} then 1 else 0 end as mem_burst,
+  {q95('io_write_bytes')} as io_q95,
+  (epoch_us(ts) - epoch_us(min(ts) over (partition by session_id, pid))) / 1e6 as proc_age from f_delta),
+l_base as (select *, {_least(5, "list_avg(cpu_hist[1:5])")} as cpu_baseline, {_least(5, "list_avg(mem_hist[1:5])")} as mem_baseline,
+  {_least(5, "list_avg(io_hist[1:5])")} as io_baseline, l_io_read_rate + l_io_write_rate as io_total_rate,
+  l_ctx_voluntary_rate + l_ctx_involuntary_rate as ctx_total_rate from l_hist),
+v_live as (select *, coalesce(cpu / nullif(cpu_mean_5, 0), 0) as cpu_spike, coalesce(mem / nullif(mem_mean_5, 0), 0) as mem_spike,
+  {_least(5, "(cpu - cpu_mean_5) / (cpu_std_5 + 1e-5)")} as cpu_rate, {_least(5, "(mem - mem_mean_5) / (mem_std_5 + 1e-5)")} as mem_rate,
+  case when rn >= 10 and l_io_write_rate > io_q95 then 1 else 0 end as io_write_burst,
+  {_least(5, "cpu - cpu_baseline")} as cpu_dev_from_baseline, {_least(5, "mem - mem_baseline")} as mem_dev_from_baseline,
+  {_least(5, "io_write_bytes - io_baseline")} as io_dev_from_baseline,
+  coalesce((cpu - cpu_baseline) / nullif(cpu_baseline, 0), 0) as cpu_pct_dev_baseline, coalesce((mem - mem_baseline) / nullif(mem_baseline, 0), 0) as mem_pct_dev_baseline,
+  (io_total_rate + 1) / (l_io_read_ops_rate + l_io_write_ops_rate + 1) as io_bytes_per_op,
+  coalesce(l_ctx_involuntary_rate / nullif(ctx_total_rate, 0), 0) as ctx_involuntary_ratio from l_base),
+v_alarm as (select *, score / 16.0 as probability from (
+  select *, cast({RULE_SCORE} as double) as score from (
+    select * replace (l_io_write_rate as io_write_rate, l_children_rate as children_rate), 20000.0 as io_threshold from v_live) x) y),
+v_first as (select * from (select *, row_number() over (partition by session_id, pid order by ts, seq) as nth from v_alarm where probability >= 0.4) t where nth = 1)"""
+
+LIVE_CTE = [V_PROC, F_DELTA, LIVE]
 FEATURES_CTE = [V_PROC, F_DELTA, F_EMA, F_ALL]
 LABEL_CTE = [V_PROC, V_EVLOG, PERIODS, LABELED]
 RULE_CTE = [V_PROC, V_EVLOG, PERIODS, LABELED, SPLIT, F_DELTA, F_EMA, F_ALL, RULED]
