@@ -11,11 +11,11 @@ from pyspark.sql import types as T
 from telltale import oracles as o
 from telltale.functions import scalars as sc
 from telltale.functions.scalars import rounded
-from telltale.operators import (attack, features as ft, labeling as lb, metrics as mt, ordering as od, rules,
-                                sampling as sp, stats as st, tree)
+from telltale.operators import (attack, features as ft, labeling as lb, learning as ml, metrics as mt, neighbours as nb,
+                                ordering as od, rules, sampling as sp, scaling as sca, stats as st, tree)
 from telltale.operators.blocks import process_series
-from telltale.plans import live, prepare
-from telltale.schemas import ENGINEERED, METRICS, PROCESS_STREAM
+from telltale.plans import live, prepare, train as training
+from telltale.schemas import ENGINEERED, METRICS, MODEL_FEATURES, PROCESS_STREAM
 from telltale.session import materialized, scratch_path
 from telltale.sources import fixtures as fx, logs, sinks
 from telltale.streaming.alerts import LiveDetector, alert_totals, rule_scorer, threshold_alerts
@@ -950,3 +950,210 @@ def _(spark, sf):
     job.processAllAvailable()
     job.stop()
     return spark.read.parquet(out).select("seq", "cpu")
+
+
+# ---- machine learning --------------------------------------------------------------------------
+# Small presets: full ones (hundreds of deep trees) are for training jobs, not for checks.
+SMALL = dict(maxIter=5, maxDepth=3)
+MODEL_COLUMNS = [c for c in MODEL_FEATURES if c != "status"]
+_MODELS: dict[tuple, object] = {}
+
+
+def _parts(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Train, validation and test rows of the prepared dataset."""
+    cut = _once(spark, sf, "parts", lambda: sp.stratified_split(_dataset(spark, sf)))
+    inner = _once(spark, sf, "inner", lambda: sp.validation_split(cut.where(F.col("split") == "train")))
+    return (inner.where(F.col("split") == "train").drop("split"), inner.where(F.col("split") == "validation").drop("split"),
+            cut.where(F.col("split") == "test").drop("split"))
+
+
+def _fitted(spark, sf, name: str, fit: Callable[[], object]):
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _MODELS:
+        _MODELS[key] = fit()
+    return _MODELS[key]
+
+
+def _gbt(spark, sf, preset: str = "primary"):
+    return _fitted(spark, sf, preset, lambda: ml.fit_gbt(_parts(spark, sf)[0], MODEL_COLUMNS, preset, **SMALL))
+
+
+def _gbt_scores(spark, sf, preset: str) -> DataFrame:
+    return ml.score_rows(_parts(spark, sf)[2], _gbt(spark, sf, preset)).select("seq", "label", *_r("score"), "pred")
+
+
+SCALED = ["cpu", "mem", "num_fds", "io_read_bytes", "label_const"]
+
+
+@query("robust_scale", o.sql("select seq, " + ", ".join(
+    f"{o.r(f'({c} - m_{c}) / case when s_{c} = 0 then 1 else s_{c} end')} as {c}" for c in SCALED[:4])
+    + ", 0.0::double as label_const from v_proc join v_cut using (seq) cross join v_fit",
+    o.V_PROC, MARKED_SQL, SPLIT_SQL, "v_fit as (select " + ", ".join(
+        f"quantile_cont({c}, 0.5) as m_{c}, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) as s_{c}" for c in SCALED[:4])
+    + " from v_proc join v_cut using (seq) where split = 'train')"))
+def _(spark, sf):
+    p = fx.process_view(spark, sf).withColumns({"label": (F.col("exe") == "error").cast("int"), "label_const": F.lit(7.0)})
+    cut = sp.stratified_split(p)
+    fitted = sca.fit_robust_scaler(cut.where(F.col("split") == "train"), SCALED)
+    return sca.robust_scale(cut, fitted).select("seq", *_r(*SCALED))
+
+
+@query("smote_neighbours", """
+select a.vec_id as id, b.vec_id as neighbour, round(d, 5) as distance, cast(rank as int) as rank from (
+  select x.vec_id as aid, y.vec_id as bid, list_distance(x.embedding::double[], y.embedding::double[]) as d,
+         row_number() over (partition by x.vec_id order by list_distance(x.embedding::double[], y.embedding::double[]), y.vec_id) as rank
+  from embeddings x join embeddings y on x.vec_id <> y.vec_id) t join embeddings a on a.vec_id = aid join embeddings b on b.vec_id = bid
+where rank <= 5""")
+def _(spark, sf):
+    near = nb.nearest_neighbours(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 5)
+    return near.select("id", "neighbour", rounded(F.col("distance"), 5).alias("distance"), "rank")
+
+
+SMOTE_FEATURES = ["cpu", "mem", "num_connections"]
+SMOTE_SQL = f"""
+select seq, {o.r('cpu')} as cpu, {o.r('mem')} as mem, {o.r('num_connections')} as num_connections, label, 0 as synthetic from s_train
+union all
+select c.seq, {o.r('c.cpu + u * (n.cpu - c.cpu)')}, {o.r('c.mem + u * (n.mem - c.mem)')}, {o.r('c.num_connections + u * (n.num_connections - c.num_connections)')}, 1, 1
+from (select *, cast(('0x' || substr(d, 1, 8)) as bigint) % 5 + 1 as pick, cast(('0x' || substr(d, 9, 8)) as bigint) / 4294967296.0::double as u from (
+    select *, md5(concat('42n:', cast(seq as varchar), ':', cast(copy as varchar))) as d from (
+      select *, unnest(range(1, cast(need // few + case when rk <= need % few then 1 else 0 end as bigint) + 1)) as copy from s_few) x) y) c
+join s_near on s_near.seq = c.seq and rank = pick join s_few n on n.seq = s_near.other"""
+SMOTE_CTE = ["s_train as (select seq, cpu, mem, cast(num_connections as double) as num_connections, label from v_proc join v_cut using (seq) where split = 'train')",
+             f"""s_few as (select *, count(*) over () as few, (select count(*) from s_train where label = 0) - count(*) over () as need,
+  row_number() over (order by {_draw_sql('42')}, seq) as rk from s_train where label = 1)""",
+             """s_near as (select * from (select a.seq, b.seq as other, row_number() over (partition by a.seq order by
+  pow(a.cpu - b.cpu, 2) + pow(a.mem - b.mem, 2) + pow(a.num_connections - b.num_connections, 2), b.seq) as rank
+  from s_few a join s_few b on a.seq <> b.seq) t where rank <= 5)"""]
+
+
+@query("smote_oversample", o.sql(SMOTE_SQL, o.V_PROC, MARKED_SQL, SPLIT_SQL, *SMOTE_CTE))
+def _(spark, sf):
+    p = fx.process_view(spark, sf).withColumn("label", (F.col("exe") == "error").cast("int"))
+    train = sp.stratified_split(p.select("seq", *SMOTE_FEATURES, "label")).where(F.col("split") == "train")
+    out = nb.smote_oversample(train, SMOTE_FEATURES)
+    return out.select("seq", *_r(*SMOTE_FEATURES), "label", "synthetic")
+
+
+@query("gbt_primary")
+def _(spark, sf):
+    return _gbt_scores(spark, sf, "primary")
+
+
+@query("gbt_secondary")
+def _(spark, sf):
+    return _gbt_scores(spark, sf, "secondary")
+
+
+@query("gbt_plain")
+def _(spark, sf):
+    return _gbt_scores(spark, sf, "plain")
+
+
+@query("mlp")
+def _(spark, sf):
+    train, _, test = _parts(spark, sf)
+    fitted = _fitted(spark, sf, "mlp", lambda: ml.fit_mlp(train, MODEL_COLUMNS, max_iter=10))
+    return ml.score_mlp(test.select("seq", "label", *MODEL_COLUMNS), fitted).select("seq", "label", *_r("score"), "pred")
+
+
+@query("voting_soft")
+def _(spark, sf):
+    train, _, test = _parts(spark, sf)
+    voters = _fitted(spark, sf, "voting", lambda: ml.fit_voting(train, MODEL_COLUMNS, **SMALL))
+    return ml.voting_soft(test, voters).select("seq", "label", *_r("score_0", "score_1", "score_2", "score"), "pred")
+
+
+@query("average_scores", o.sql(f"select seq, {o.r('(mem / 100.0 + least(cpu / 500.0, 1.0) + (num_fds / 300.0)) / 3')} as score from v_proc", o.V_PROC))
+def _(spark, sf):
+    p = fx.process_view(spark, sf).select("seq", (F.col("mem") / 100).alias("a"), F.least(F.col("cpu") / 500, F.lit(1.0)).alias("b"),
+                                          (F.col("num_fds") / 300).alias("c"))
+    return ml.average_scores(p, ["a", "b", "c"]).select("seq", *_r("score"))
+
+
+@query("stacking")
+def _(spark, sf):
+    train, _, test = _parts(spark, sf)
+    fitted = _fitted(spark, sf, "stacking", lambda: ml.fit_stacking(train, MODEL_COLUMNS, maxIter=2, maxDepth=2))
+    return ml.score_stacking(test, fitted).select("seq", "label", *_r("score"), "pred")
+
+
+@query("train_tuned")
+def _(spark, sf):
+    train, validation, test = _parts(spark, sf)
+    _, scored = _fitted(spark, sf, "tuned", lambda: training.train_tuned(train.unionByName(validation), test, MODEL_COLUMNS, **SMALL))
+    return scored.select("model", "seq", "label", *_r("score"), "pred")
+
+
+def _trials(spark, sf):
+    train, validation, test = _parts(spark, sf)
+    return _fitted(spark, sf, "tune", lambda: training.tune_and_refit(train, validation, test, MODEL_COLUMNS, trials=3, maxIter=4, maxDepth=3))
+
+
+@query("tune")
+def _(spark, sf):
+    return _trials(spark, sf)[2].select("model", "seq", "label", *_r("score"), "pred")
+
+
+@query("tuning_history")
+def _(spark, sf):
+    return ml.tuning_history(spark, _trials(spark, sf)[0]).select("trial", F.size("params").alias("parameters"), *_r("roc_auc", "gain"), "best")
+
+
+@query("feature_importance")
+def _(spark, sf):
+    return ml.feature_importance(spark, _gbt(spark, sf)).select("feature", *_r("importance"))
+
+
+@query("top_features")
+def _(spark, sf):
+    return ml.top_features(ml.feature_importance(spark, _gbt(spark, sf))).select("feature", *_r("importance"))
+
+
+@query("score_rows")
+def _(spark, sf):
+    """Live rows lack some training features; those are 0."""
+    return ml.score_rows(_parts(spark, sf)[2].drop("cpu_norm_parent", "mem_norm_parent"), _gbt(spark, sf)).select("seq", *_r("score"), "pred")
+
+
+@query("model_store")
+def _(spark, sf):
+    path = sinks.save_model(_gbt(spark, sf), scratch_path(spark, "model"))
+    return ml.score_rows(_parts(spark, sf)[2], sinks.load_model(path)).select("seq", "label", *_r("score"), "pred")
+
+
+@query("select_best_model", o.sql(f"select model, {_rs('roc_auc')} from v_results order by v_results.roc_auc desc, model limit 1", o.V_PROC, o.RESULTS))
+def _(spark, sf):
+    return mt.select_best_model(_results(spark, sf)).select("model", *_r("roc_auc"))
+
+
+@query("early_stop")
+def _(spark, sf):
+    train, validation, test = _parts(spark, sf)
+    model, rounds = _fitted(spark, sf, "early", lambda: ml.early_stop(train, validation, MODEL_COLUMNS, patience=2, **SMALL))
+    return ml.score_rows(test, model).select("seq", "label", *_r("score"), "pred").withColumn("rounds", F.lit(rounds))
+
+
+TRAIN_EXTRA = [*EXTREMA, "cpu_trend", "mem_trend", "cpu_acceleration", "cpu_volatility", "mem_volatility", "cpu_pct_rank", "mem_pct_rank",
+               "resource_pressure", "cpu_jump", "mem_jump", "cpu_dev_from_avg", "mem_dev_from_avg"]
+EXTRA_SQL = ("select seq, " + ", ".join(f"{o.r(o.over(x.split('_')[1], int(x.split('_')[2]), x.split('_')[0]))} as {x}" for x in EXTREMA)
+             + f", {_rs('cpu_trend', 'mem_trend')}, {o.r(f'coalesce(cpu_trend - lag(cpu_trend) over ({o.KEY}), 0)')} as cpu_acceleration, "
+             + ", ".join(f"{o.r('coalesce(' + o.over('stddev_samp', 10, c) + ', 0)')} as {c}_volatility" for c in ("cpu", "mem"))
+             + f", {_rank_sql('cpu')}, {_rank_sql('mem')}, {o.r('cpu + mem')} as resource_pressure, {_jump_sql('delta_cpu')} as cpu_jump, {_jump_sql('delta_mem')} as mem_jump, "
+             + ", ".join(f"{o.r(f'{c} - avg({c}) over (partition by session_id, pid)')} as {c}_dev_from_avg" for c in ("cpu", "mem")) + " from x_trend")
+EXTRA_TREND = TREND_SQL.replace("v_trend", "x_trend").replace("from v_proc", "from f_delta")
+
+
+@query("training_features", o.sql(EXTRA_SQL, o.V_PROC, o.F_DELTA, EXTRA_TREND))
+def _(spark, sf):
+    out = prepare.training_features(_dataset(spark, sf))
+    flags = ("cpu_jump", "mem_jump")
+    return out.select("seq", *_r(*[c for c in TRAIN_EXTRA if c not in flags]), *flags)
+
+
+@query("combine_sessions", o.sql(f"""
+select seq, label from (select *, row_number() over (partition by label order by {_draw_sql('42')}, seq) as rk from v_mark) t
+where rk <= (select min(n) from (select count(*) as n from v_mark group by label) c) and substr({_draw_sql('42s')}, 1, 8) < '80000000'""", o.V_PROC, MARKED_SQL))
+def _(spark, sf):
+    m = _marked(spark, sf)
+    frames = [m.where(F.col("session_id") == s) for s in ("s0", "s1", "s2")]
+    return prepare.combine_sessions(frames, balance=True, fraction=0.5).select("seq", "label")
