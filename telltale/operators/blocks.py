@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telltale.session import broadcast_if_small, pinned, rows_per_block
+from telltale.session import broadcast_if_small, materialized, pinned, rows_per_block
 
 CELLS_PER_BLOCK = 16
 BLOCK, HOT, HALO = "_blk", "_hot", "_halo"
@@ -37,46 +37,46 @@ def plan_blocks(df: DataFrame, keys, position: Column, limit: int | None = None)
     """
     limit = limit or rows_per_block(df.sparkSession)
     keys = tuple(keys)
-    narrow = df.select(*keys, position.alias("_p"))
+    narrow = df.select(*keys, position.alias("_b_p"))
     groups = (
         narrow.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
-        .where(F.col("_n") > limit)
-        .withColumn("_cells", (F.ceil(F.col("_n") / limit) * CELLS_PER_BLOCK).cast("long"))
-        .withColumn("_width", (F.col("_hi") - F.col("_lo")).cast("double") / F.col("_cells"))
-        .select(*keys, "_lo", "_cells",
-                F.when(F.col("_width") > 0, F.col("_width")).otherwise(F.lit(1.0)).alias("_width"))
+        .agg(F.count(F.lit(1)).alias("_b_n"), F.min("_b_p").alias("_b_lo"), F.max("_b_p").alias("_b_hi"))
+        .where(F.col("_b_n") > limit)
+        .withColumn("_b_cells", (F.ceil(F.col("_b_n") / limit) * CELLS_PER_BLOCK).cast("long"))
+        .withColumn("_b_width", (F.col("_b_hi") - F.col("_b_lo")).cast("double") / F.col("_b_cells"))
+        .select(*keys, "_b_lo", "_b_cells",
+                F.when(F.col("_b_width") > 0, F.col("_b_width")).otherwise(F.lit(1.0)).alias("_b_width"))
     )
     if groups.limit(1).count() == 0:
         return None
     groups = pinned(groups)
-    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_b_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = (
         narrow.join(broadcast_if_small(groups), list(keys))
-        .withColumn("_cell", _cell(F.col("_p")))
-        .groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn(BLOCK, F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / limit).cast("long"))
-        .drop("_n")
+        .withColumn("_b_cell", _cell(F.col("_b_p")))
+        .groupBy(*keys, "_b_cell").agg(F.count(F.lit(1)).alias("_b_n"))
+        .withColumn(BLOCK, F.floor(F.coalesce(F.sum("_b_n").over(before), F.lit(0)) / limit).cast("long"))
+        .drop("_b_n")
     )
     return BlockMap(keys, groups, pinned(cells))
 
 
 def _cell(position: Column) -> Column:
-    raw = F.floor((position - F.col("_lo")) / F.col("_width")).cast("long")
-    return F.least(raw, F.col("_cells") - 1)
+    raw = F.floor((position - F.col("_b_lo")) / F.col("_b_width")).cast("long")
+    return F.least(raw, F.col("_b_cells") - 1)
 
 
 def assign_blocks(df: DataFrame, blocks: BlockMap, position: Column) -> DataFrame:
     """Add the block number (0 for ordinary groups) and the hot flag."""
     keys = list(blocks.keys)
     return (
-        df.withColumn("_p", position)
+        df.withColumn("_b_p", position)
         .join(broadcast_if_small(blocks.groups), keys, "left")
-        .withColumn("_cell", F.when(F.col("_lo").isNotNull(), _cell(F.col("_p"))))
-        .join(broadcast_if_small(blocks.cells), keys + ["_cell"], "left")
-        .withColumn(HOT, F.col("_lo").isNotNull())
+        .withColumn("_b_cell", F.when(F.col("_b_lo").isNotNull(), _cell(F.col("_b_p"))))
+        .join(broadcast_if_small(blocks.cells), keys + ["_b_cell"], "left")
+        .withColumn(HOT, F.col("_b_lo").isNotNull())
         .withColumn(BLOCK, F.coalesce(F.col(BLOCK), F.lit(0)).cast("long"))
-        .drop("_p", "_lo", "_cells", "_width", "_cell")
+        .drop("_b_p", "_b_lo", "_b_cells", "_b_width", "_b_cell")
     )
 
 
@@ -85,14 +85,16 @@ class Series:
 
     def __init__(self, df: DataFrame, keys, order, position: Column | None = None, halo: int = 0,
                  limit: int | None = None, blocks: BlockMap | None | str = "plan"):
-        self.keys, self.order = list(keys), list(order)
+        self.keys, self.order, self.halo = list(keys), list(order), halo
         self.columns = df.columns
         position = F.col(self.order[0]) if position is None else position
         self.blocks = plan_blocks(df, keys, position, limit) if blocks == "plan" else blocks
         self.part = self.keys
         if self.blocks is not None:
-            df = assign_blocks(df, self.blocks, position)
-            self.part = self.keys + [BLOCK]
+            # written once: the passes below then read only the columns and groups they need
+            df = materialized(assign_blocks(df, self.blocks, position), "blocks")
+            # HOT follows from the keys; as a window key it lets filters on it reach the scan
+            self.part = self.keys + [BLOCK, HOT]
             df = self._with_halo(df, halo)
         self.df = df
 
@@ -124,24 +126,34 @@ class Series:
         if self.blocks is None:
             w = Window.partitionBy(*self.part)
             return self.add(**{name: agg.over(w) for name, agg in aggs.items()})
-        real = self.df.where(~F.col(HALO))
-        hot = (real.where(HOT).groupBy(*self.keys)
-               .agg(*[agg.alias(f"_w_{name}") for name, agg in aggs.items()]))
+        self._join_hot(self._real_hot_rows(), aggs)
         w = Window.partitionBy(*self.part)
-        local = self.df.withColumns({f"_l_{name}": agg.over(w) for name, agg in aggs.items()})
-        joined = local.join(broadcast_if_small(hot), self.keys, "left")
-        joined = joined.withColumns({
-            name: F.when(F.col(HOT), F.col(f"_w_{name}")).otherwise(F.col(f"_l_{name}")) for name in aggs})
-        self.df = joined.drop(*[f"_w_{n}" for n in aggs], *[f"_l_{n}" for n in aggs])
+        self.add(**{name: F.when(F.col(HOT), F.col(f"_w_{name}")).otherwise(agg.over(w)) for name, agg in aggs.items()})
+        self.df = self.df.drop(*[f"_w_{n}" for n in aggs])
         return self
 
+    def _real_hot_rows(self) -> DataFrame:
+        return self.df.where(F.col(HOT)).where(~F.col(HALO))
+
+    def _join_hot(self, rows: DataFrame, aggs: dict[str, Column]) -> None:
+        """Join one pre-aggregated row per hot group."""
+        table = pinned(rows.groupBy(*self.keys).agg(*[agg.alias(f"_w_{name}") for name, agg in aggs.items()]))
+        self.df = self.df.join(broadcast_if_small(table), self.keys, "left")
+
     def head_mean(self, n: int, **columns: Column) -> "Series":
         """Mean over the first ``n`` rows of the group, on every row."""
         self.add(_i=self.index)
-        first = F.col("_i") <= n
-        if self.blocks is not None:
-            first = first & (F.col(BLOCK) == 0)
-        self.whole(**{name: F.avg(F.when(first, c)) for name, c in columns.items()})
+        means = {name: F.avg(F.when(F.col("_i") <= n, c)) for name, c in columns.items()}
+        if self.blocks is None:
+            self.whole(**means)
+        elif self.halo < n:
+            raise ValueError(f"head_mean over {n} rows needs a halo of {n}")
+        else:  # the index is exact up to the halo length, and the head lies in the first blocks
+            head = self._real_hot_rows().where(F.col(BLOCK) < n).where(F.col("_i") <= n)
+            self._join_hot(head, {name: F.avg(c) for name, c in columns.items()})
+            w = Window.partitionBy(*self.part)
+            self.add(**{name: F.when(F.col(HOT), F.col(f"_w_{name}")).otherwise(mean.over(w)) for name, mean in means.items()})
+            self.df = self.df.drop(*[f"_w_{name}" for name in columns])
         self.df = self.df.drop("_i")
         return self
 
@@ -183,9 +195,9 @@ class Series:
     def _carry(self, aggs, fn, start, end) -> None:
         """Per block: each block aggregate, combined by ``fn`` over other blocks of its group."""
         w = Window.partitionBy(*self.keys).orderBy(BLOCK).rowsBetween(start, end)
-        table = (self.df.where(F.col(HOT) & ~F.col(HALO)).groupBy(*self.keys, BLOCK)
-                 .agg(*[agg.alias(f"_v{name}") for name, agg in aggs.items()])
-                 .select(*self.keys, BLOCK, *[fn(F.col(f"_v{name}")).over(w).alias(name) for name in aggs]))
+        table = pinned(self._real_hot_rows().groupBy(*self.keys, BLOCK)
+                       .agg(*[agg.alias(f"_v{name}") for name, agg in aggs.items()])
+                       .select(*self.keys, BLOCK, *[fn(F.col(f"_v{name}")).over(w).alias(name) for name in aggs]))
         self.df = self.df.join(broadcast_if_small(table), self.keys + [BLOCK], "left")
 
     # -- block plumbing ----------------------------------------------------------------------
@@ -193,15 +205,15 @@ class Series:
         if n == 0:
             return df.withColumn(HALO, F.lit(False))
         newest = Window.partitionBy(*self.keys, BLOCK).orderBy(*[F.col(c).desc() for c in self.order])
-        tails = (df.where(HOT).withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= n)
-                 .withColumn("_t", F.row_number().over(
-                     Window.partitionBy(*self.keys).orderBy(BLOCK, F.col("_r").desc())))
-                 .drop("_r"))
-        first = F.min("_t").alias("_s")
-        wanted = (tails.groupBy(*self.keys, BLOCK).agg(first).where(F.col("_s") > 1)
-                  .withColumn("_t", F.explode(F.sequence(F.greatest(F.col("_s") - n, F.lit(1)), F.col("_s") - 1)))
-                  .drop("_s"))
-        halo = tails.drop(BLOCK).join(wanted, self.keys + ["_t"]).drop("_t")
+        tails = (df.where(F.col(HOT)).withColumn("_b_r", F.row_number().over(newest)).where(F.col("_b_r") <= n)
+                 .withColumn("_b_t", F.row_number().over(
+                     Window.partitionBy(*self.keys).orderBy(BLOCK, F.col("_b_r").desc())))
+                 .drop("_b_r"))
+        first = F.min("_b_t").alias("_b_s")
+        wanted = (tails.groupBy(*self.keys, BLOCK).agg(first).where(F.col("_b_s") > 1)
+                  .withColumn("_b_t", F.explode(F.sequence(F.greatest(F.col("_b_s") - n, F.lit(1)), F.col("_b_s") - 1)))
+                  .drop("_b_s"))
+        halo = pinned(tails.drop(BLOCK).join(wanted, self.keys + ["_b_t"]).drop("_b_t"))
         return (df.withColumn(HALO, F.lit(False))
                 .unionByName(halo.withColumn(HALO, F.lit(True))))
 

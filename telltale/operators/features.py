@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telltale.functions import scalars as sc
-from telltale.operators.blocks import Series, process_series
+from telltale.operators.blocks import Series, plan_blocks, process_series
+from telltale.session import pinned
 
 # Which counter or gauge each first difference is taken of.
 DELTAS = {
@@ -130,13 +131,12 @@ def percentile_rank(df: DataFrame, keys=("session_id", "pid"), columns=USAGE) ->
     keys = list(keys)
     for c in columns:
         name = f"{c}_pct_rank"
-        plan = Series(df.select(*keys, c), keys, (c,))
-        if plan.blocks is None:
+        if plan_blocks(df, keys, F.col(c)) is None:
             group, ties = Window.partitionBy(*keys), Window.partitionBy(*keys, c)
             df = df.withColumn(name, (F.rank().over(group.orderBy(c)) + (F.count(F.lit(1)).over(ties) - 1) / 2)
                                / F.count(F.lit(1)).over(group))
             continue
-        counts = df.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_t"))
+        counts = pinned(df.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_t")))
         s = Series(counts, keys, (c,)).running(F.sum, _upto=F.col("_t")).whole(_all=F.sum("_t"))
         ranks = s.done().select(*keys, c, ((F.col("_upto") - (F.col("_t") - 1) / 2) / F.col("_all")).alias(name))
         df = df.join(ranks, keys + [c], "left")

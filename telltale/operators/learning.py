@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telltale.functions.scalars import finite, number
+from telltale.functions.scalars import finite_features
 from telltale.operators import metrics
 from telltale.operators.sampling import draw
 from telltale.operators.scaling import fit_robust_scaler, robust_scale
@@ -63,11 +63,6 @@ def spark_params(tuned: dict) -> dict:
                 minInstancesPerNode=tuned.get("min_child_samples", tuned.get("min_child_weight", 1)))
 
 
-def _inputs(df: DataFrame, features: list[str]) -> DataFrame:
-    """Feature columns as finite doubles; features the rows lack are 0."""
-    return df.withColumns({c: finite(number(c)) if c in df.columns else F.lit(0.0) for c in features})
-
-
 def weighted(train: DataFrame) -> DataFrame:
     """Positives weigh negatives/positives, read from one aggregate row."""
     w = float(class_weight(train).first().weight) or 1.0
@@ -86,7 +81,7 @@ def fit_gbt(train: DataFrame, features: list[str], preset: str = "primary", **ov
     """Boosted trees with class weights. Feature order is fixed by the assembler."""
     params = {**PRESETS[preset], **overrides}
     gbt = GBTClassifier(featuresCol="features", labelCol="label", seed=SEED, lossType="logistic", cacheNodeIds=True, **params)
-    rows = _inputs(train, features)
+    rows = finite_features(train, features)
     if preset not in UNWEIGHTED:
         gbt.setWeightCol("weight")
         rows = weighted(rows)
@@ -99,7 +94,7 @@ def feature_names(model: PipelineModel) -> list[str]:
 
 def score_rows(df: DataFrame, model: PipelineModel, name: str = "score") -> DataFrame:
     """P(anomaly) per row from features in training order, and the predicted class."""
-    ready = _inputs(df, feature_names(model)) if len(model.stages) > 1 else df
+    ready = finite_features(df, feature_names(model)) if len(model.stages) > 1 else df
     out = model.transform(ready)
     return out.select(*df.columns, probability().alias(name), F.col("prediction").cast("int").alias("pred"))
 
@@ -108,7 +103,7 @@ def early_stop(train: DataFrame, validation: DataFrame, features: list[str], pre
                patience: int = PATIENCE, **overrides) -> tuple[PipelineModel, int]:
     """Refit at the round after which ``patience`` rounds brought no better validation loss."""
     model = fit_gbt(train, features, preset, **overrides)
-    ready = model.stages[0].transform(_inputs(validation, features))
+    ready = model.stages[0].transform(finite_features(validation, features)).withColumn("weight", F.lit(1.0))
     losses = model.stages[1].evaluateEachIteration(ready)  # one number per round
     best = best_round(losses, patience)
     if best == len(losses):
@@ -129,7 +124,7 @@ def best_round(losses: list[float], patience: int = PATIENCE) -> int:
 
 def fit_mlp(train: DataFrame, features: list[str], hidden=(128, 64, 32), max_iter: int = 300):
     """A 128-64-32 network on robustly scaled rows: (scaler, model)."""
-    ready = _inputs(train, features)
+    ready = finite_features(train, features)
     scaler = fit_robust_scaler(ready, features)
     net = MultilayerPerceptronClassifier(layers=[len(features), *hidden, 2], maxIter=max_iter, seed=SEED,
                                          blockSize=256, featuresCol="features", labelCol="label")
@@ -138,7 +133,7 @@ def fit_mlp(train: DataFrame, features: list[str], hidden=(128, 64, 32), max_ite
 
 def score_mlp(df: DataFrame, fitted, name: str = "score") -> DataFrame:
     scaler, model = fitted
-    scaled = robust_scale(_inputs(df, feature_names(model)), scaler)
+    scaled = robust_scale(finite_features(df, feature_names(model)), scaler)
     out = model.transform(scaled).select("seq", probability().alias(name), F.col("prediction").cast("int").alias("pred"))
     return df.join(out, "seq")
 
@@ -151,7 +146,7 @@ def fit_voting(train: DataFrame, features: list[str], **overrides) -> list[Pipel
 def _all_scores(df: DataFrame, models: list[PipelineModel]) -> DataFrame:
     """Each model's probability as score_0, score_1, … in one pass over the rows."""
     names = feature_names(models[0])
-    out = models[0].stages[0].transform(_inputs(df, names))
+    out = models[0].stages[0].transform(finite_features(df, names))
     for i, m in enumerate(models):
         out = (m.stages[1].transform(out).withColumn(f"score_{i}", probability())
                .drop("rawPrediction", "probability", "prediction"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telltale.operators.blocks import Series
-from telltale.session import rows_per_block
+from telltale.session import pinned, rows_per_block
 
 
 def exact_quantiles(df: DataFrame, keys, column: str, quantiles: dict[str, float], limit: int | None = None) -> DataFrame:
@@ -24,7 +24,8 @@ def exact_quantiles(df: DataFrame, keys, column: str, quantiles: dict[str, float
     if sizes.limit(1).count() == 0:
         return narrow.groupBy(*keys).agg(*[F.percentile("_x", F.lit(q)).alias(n) for n, q in quantiles.items()])
     group = keys or ["_all"]
-    counts = (narrow if keys else narrow.withColumn("_all", F.lit(0))).groupBy(*group, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    counts = pinned((narrow if keys else narrow.withColumn("_all", F.lit(0)))
+                    .groupBy(*group, "_x").agg(F.count(F.lit(1)).alias("_c")))
     s = Series(counts, group, ("_x",), limit=limit).running(F.sum, _upto=F.col("_c")).whole(_n=F.sum("_c"))
     aggs = []
     for name, q in quantiles.items():

@@ -33,10 +33,8 @@ def engineer(stream: DataFrame, keys=("session_id", "pid")) -> DataFrame:
 
 def training_features(dataset: DataFrame, keys=("session_id", "pid")) -> DataFrame:
     """The extra temporal and per-process columns a training run adds."""
-    s = temporal_features(series_for_features(dataset, keys))
-    jumped = global_jump(s)
-    ranked = percentile_rank(jumped, keys)
-    return clean(process_stats_join(ranked, keys))
+    s = temporal_features(series_for_features(percentile_rank(dataset, keys), keys))
+    return clean(process_stats_join(global_jump(s), keys))
 
 
 def combine_sessions(frames: list[DataFrame], balance: bool = False, fraction: float | None = None,
