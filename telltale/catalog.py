@@ -351,10 +351,10 @@ def _(spark, sf):
     return st.process_stats(_aged(spark, sf)).select("session_id", "pid", *_r8(*STATS), "num_children_max", "observation_count")
 
 
-@query("deviation_from_avg", o.sql(f"select seq, {o.r('cpu - cpu_mean')} as cpu_dev_from_avg, {o.r('mem - mem_mean')} as mem_dev_from_avg from v_proc join v_stats using (session_id, pid)", o.V_PROC, STATS_SQL))
+@query("deviation_from_avg", o.sql(f"select seq, {o.r('cpu - cpu_mean', 8)} as cpu_dev_from_avg, {o.r('mem - mem_mean', 8)} as mem_dev_from_avg from v_proc join v_stats using (session_id, pid)", o.V_PROC, STATS_SQL))
 def _(spark, sf):
     s = _series(spark, sf, halo=False).whole(cpu_mean=F.avg("cpu"), mem_mean=F.avg("mem"))
-    return st.deviation_from_avg(s.done()).select("seq", *_r("cpu_dev_from_avg", "mem_dev_from_avg"))
+    return st.deviation_from_avg(s.done()).select("seq", *_r8("cpu_dev_from_avg", "mem_dev_from_avg"))
 
 
 @query("child_count", o.sql("select snap_ts, ppid, count(*) as num_children from v_snapshot where ppid is not null group by all", o.V_PROC, o.V_SNAPSHOT))
@@ -1134,12 +1134,12 @@ def _(spark, sf):
 
 
 TRAIN_EXTRA = [*EXTREMA, "cpu_trend", "mem_trend", "cpu_acceleration", "cpu_volatility", "mem_volatility", "cpu_pct_rank", "mem_pct_rank",
-               "resource_pressure", "cpu_jump", "mem_jump", "cpu_dev_from_avg", "mem_dev_from_avg"]
+               "resource_pressure", "cpu_jump", "mem_jump"]
 EXTRA_SQL = ("select seq, " + ", ".join(f"{o.r(o.over(x.split('_')[1], int(x.split('_')[2]), x.split('_')[0]))} as {x}" for x in EXTREMA)
              + f", {_rs('cpu_trend', 'mem_trend')}, {o.r(f'coalesce(cpu_trend - lag(cpu_trend) over ({o.KEY}), 0)')} as cpu_acceleration, "
              + ", ".join(f"{o.r('coalesce(' + o.over('stddev_samp', 10, c) + ', 0)')} as {c}_volatility" for c in ("cpu", "mem"))
              + f", {_rank_sql('cpu')}, {_rank_sql('mem')}, {o.r('cpu + mem')} as resource_pressure, {_jump_sql('delta_cpu')} as cpu_jump, {_jump_sql('delta_mem')} as mem_jump, "
-             + ", ".join(f"{o.r(f'{c} - avg({c}) over (partition by session_id, pid)')} as {c}_dev_from_avg" for c in ("cpu", "mem")) + " from x_trend")
+             + ", ".join(f"{o.r(f'{c} - avg({c}) over (partition by session_id, pid)', 8)} as {c}_dev_from_avg" for c in ("cpu", "mem")) + " from x_trend")
 EXTRA_TREND = TREND_SQL.replace("v_trend", "x_trend").replace("from v_proc", "from f_delta")
 
 
@@ -1147,7 +1147,7 @@ EXTRA_TREND = TREND_SQL.replace("v_trend", "x_trend").replace("from v_proc", "fr
 def _(spark, sf):
     out = prepare.training_features(_dataset(spark, sf))
     flags = ("cpu_jump", "mem_jump")
-    return out.select("seq", *_r(*[c for c in TRAIN_EXTRA if c not in flags]), *flags)
+    return out.select("seq", *_r(*[c for c in TRAIN_EXTRA if c not in flags]), *flags, *_r8("cpu_dev_from_avg", "mem_dev_from_avg"))
 
 
 @query("combine_sessions", o.sql(f"""

@@ -10,6 +10,7 @@ are carried in from the blocks before. Results are the same either way.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -224,6 +225,12 @@ class Series:
         return self.df.where(~F.col(HALO)).drop(BLOCK, HOT, HALO)
 
 
+def time_rank() -> Column:
+    """(timestamp, seq) as one number, so ``max_by`` keeps a flat buffer and hashes instead of sorting."""
+    micros = F.unix_micros("timestamp").cast("decimal(17,0)")
+    return micros * F.lit(Decimal(10) ** 19).cast("decimal(20,0)") + F.col("seq").cast("decimal(19,0)")
+
+
 def process_series(df: DataFrame, keys=("session_id", "pid"), halo: int = 0, limit: int | None = None,
                    blocks="plan") -> Series:
     """One series per process, in time order, ties broken by ``seq``."""

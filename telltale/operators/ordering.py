@@ -11,8 +11,9 @@ from telltale.session import pinned
 
 
 def order_series(df: DataFrame) -> DataFrame:
-    """Rows clustered by process and sorted in time inside it, for writing or scanning."""
-    return df.repartition("session_id", "pid").sortWithinPartitions("session_id", "pid", "timestamp", "seq")
+    """Sorted by process and time, in ranges: a long series spans several of them."""
+    order = ["session_id", "pid", "timestamp", "seq"]
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def order_combined(df: DataFrame) -> DataFrame:

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telltale.functions.scalars import finite, ratio
-from telltale.operators.blocks import Series
+from telltale.operators.blocks import Series, time_rank
 from telltale.session import broadcast_if_small
 
 
 def last_per_process(df: DataFrame, keys=("session_id", "pid")) -> DataFrame:
     """Last known cpu and mem of each process."""
-    at = F.struct("timestamp", "seq")
+    at = time_rank()
     return df.groupBy(*keys).agg(*[
         F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"last_{c}") for c in ("cpu", "mem")])
 

@@ -18,9 +18,13 @@ from telltale.schemas import ENGINEERED, METRICS
 
 def prepare_dataset(stream: DataFrame, events: DataFrame, buffer_seconds: float = 2,
                     keys=("session_id", "pid"), nesting: str = "flat") -> DataFrame:
-    """Raw columns, ``label`` and the 48 engineered columns."""
-    labeled = label_windows(stream, pair_periods(events, stream, nesting), buffer_seconds)
-    return engineer(labeled, keys)
+    """Raw columns, ``label`` and the 48 engineered columns.
+
+    Labels do not depend on features, so they are joined last: size checks then only ever read
+    the raw stream.
+    """
+    periods = pair_periods(events, stream, nesting)
+    return label_windows(engineer(stream, keys), periods, buffer_seconds)
 
 
 def engineer(stream: DataFrame, keys=("session_id", "pid")) -> DataFrame:

@@ -79,10 +79,10 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
 
 
 def within_broadcast_bound(df: DataFrame, max_rows: int | None = None) -> bool:
-    """Count at most ``max_rows + 1`` rows to decide whether ``df`` may be broadcast."""
+    """Count ``df`` (per-partition counts only) to decide whether it may be broadcast."""
     if max_rows is None:
         max_rows = int(df.sparkSession.conf.get(BROADCAST_ROWS_CONF, str(BROADCAST_ROWS)))
-    return df.limit(max_rows + 1).count() <= max_rows
+    return df.count() <= max_rows
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
