@@ -840,7 +840,7 @@ def _detector(spark, sf) -> LiveDetector:
     if key not in _DETECTORS:
         p = fx.process_view(spark, sf)
         detector = LiveDetector(rule_scorer(LIVE_IO_LIMIT), scratch_path(spark, "live"), TOP_INPUTS, IMPORTANCE,
-                                threshold=LIVE_THRESHOLD, keep_history=True)
+                                threshold=LIVE_THRESHOLD, keep_history=True, state_partitions=spark.sparkContext.defaultParallelism)
         _DETECTORS[key] = live.replay(spark, p, live.time_slices(p, [15]), detector)
     return _DETECTORS[key]
 
@@ -993,7 +993,7 @@ SCALED = ["cpu", "mem", "num_fds", "io_read_bytes", "label_const"]
     + " from v_proc join v_cut using (seq) where split = 'train')"))
 def _(spark, sf):
     p = fx.process_view(spark, sf).withColumns({"label": (F.col("exe") == "error").cast("int"), "label_const": F.lit(7.0)})
-    cut = sp.stratified_split(p)
+    cut = _once(spark, sf, "scaled", lambda: sp.stratified_split(p.select("seq", "label", *SCALED)))
     fitted = sca.fit_robust_scaler(cut.where(F.col("split") == "train"), SCALED)
     return sca.robust_scale(cut, fitted).select("seq", *_r(*SCALED))
 

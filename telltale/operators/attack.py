@@ -105,8 +105,11 @@ def matching_attacks(metrics: str = "suspicious_metrics") -> Column:
 
 
 def attack_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        ATTACKS, "attack_type string, confidence double, description string, recommendations array<string>")
+    """One row per type: a literal table, built without Python workers."""
+    rows = [F.struct(F.lit(name).alias("attack_type"), F.lit(confidence).alias("confidence"), F.lit(text).alias("description"),
+                     F.array(*[F.lit(step) for step in steps]).alias("recommendations"))
+            for name, confidence, text, steps in ATTACKS]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def attack_lookup(df: DataFrame) -> DataFrame:

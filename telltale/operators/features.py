@@ -129,9 +129,10 @@ def fill_forward_back(s: Series, columns=USAGE) -> Series:
 def percentile_rank(df: DataFrame, keys=("session_id", "pid"), columns=USAGE) -> DataFrame:
     """Average-tie rank divided by group size, for rows of each process."""
     keys = list(keys)
+    fits = plan_blocks(df, keys, F.col(columns[0])) is None
     for c in columns:
         name = f"{c}_pct_rank"
-        if plan_blocks(df, keys, F.col(c)) is None:
+        if fits:
             group, ties = Window.partitionBy(*keys), Window.partitionBy(*keys, c)
             df = df.withColumn(name, (F.rank().over(group.orderBy(c)) + (F.count(F.lit(1)).over(ties) - 1) / 2)
                                / F.count(F.lit(1)).over(group))

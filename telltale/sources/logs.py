@@ -75,9 +75,12 @@ def scan_sessions(spark: SparkSession, root: str, names: list[str], fmt: str = "
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def stream_process_snapshots(spark: SparkSession, path: str, fmt: str = "csv", files_per_trigger: int | None = None,
+def stream_process_snapshots(spark: SparkSession, path: str, fmt: str = "csv", files_per_trigger: int | None = 64,
                              schema: T.StructType = PROCESS_STREAM) -> DataFrame:
-    """Snapshots that an agent lands as files, as a stream."""
+    """Snapshots that an agent lands as files, as a stream.
+
+    ``files_per_trigger`` bounds a micro-batch, and with it what one process can hold in a task.
+    """
     use_utc(spark)
     reader = spark.readStream.schema(schema).option("header", True)
     if files_per_trigger:

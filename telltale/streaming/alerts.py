@@ -78,6 +78,7 @@ class LiveDetector:
     late: str = "10 minutes"
     idle_seconds: float | None = None
     keep_history: bool = False
+    state_partitions: int | None = None  # fixed for the life of a checkpoint; default: shuffle partitions
     keys: tuple[str, ...] = field(default=KEYS)
 
     @property
@@ -90,10 +91,16 @@ class LiveDetector:
 
     def start(self, stream: DataFrame, checkpoint: str, every: str | None = None) -> StreamingQuery:
         """Run once over what has landed, or every ``every`` (e.g. '2 seconds')."""
+        conf, name = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+        before = conf.get(name)
         rows = self.score(live_features(live_history(stream, self.late, self.idle_seconds), self.keep_history))
         writer = rows.writeStream.foreachBatch(self._write).option("checkpointLocation", checkpoint)
         writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-        return writer.start()
+        conf.set(name, str(self.state_partitions or before))
+        try:
+            return writer.start()  # the query keeps the settings it starts with
+        finally:
+            conf.set(name, before)
 
     def _write(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
