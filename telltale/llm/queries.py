@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from telltale.llm import exact_dedup, secret_scan
-from telltale.llm.common import documents
+from telltale.llm import bpe, exact_dedup, secret_scan, toxicity
+from telltale.llm.common import documents, remainder
+
+VOCABULARY = "word_bpe_49k.json"
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(documents(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("doc_id", (remainder(F.col("doc_id"), toxicity.HELD_OUT) == 1).alias("held_out"),
+                         F.col("_score").alias("score"), F.col("_toxic").alias("predicted"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_exact_dedup)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op4_exact_dedup, op10_bpe)}
 
 ORACLES = {
     "op4_exact_dedup": r"""
