@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain, islice
 
@@ -28,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from telltale.llm.common import chunks, texts
+from telltale.llm.common import Numbered, chunks, texts
 
 # Fixed word pattern of the vocabulary.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -170,8 +169,7 @@ class TextEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: defaultdict[str, int] = defaultdict()
-        self.known.default_factory = self.known.__len__
+        self.known = Numbered()
         self.ids, self.count, self.start = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, batch: list[str]) -> Iterator[np.ndarray]:
@@ -192,8 +190,7 @@ class TextEncoder:
 
     def _learn(self, strings: list[str]) -> None:
         """Encode new strings: their distinct words first, then the strings from those."""
-        words: defaultdict[str, int] = defaultdict()
-        words.default_factory = words.__len__
+        words = Numbered()
         pieces = [[words[w] for w in self.bpe.pieces(s)] for s in strings]
         marked = {i: self.bpe.special[w[1:]] for w, i in words.items() if w[0] == "\0" and w[1:] in self.bpe.special}
         ids, count = self.bpe.encode_words([w if i not in marked else "!" for w, i in words.items()])

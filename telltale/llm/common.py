@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 # White space of all contracts: the space and the five controls U+0009 to U+000D.
 SPACE = "[\\x20\\x09-\\x0D]"
-_WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,11 +40,14 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[
             yield batch.slice(at, step)
 
 
-def lowered(text: str) -> str:
-    """A-Z in lower case, all else as it is."""
-    return text.encode().lower().decode()
+def words(text: str) -> list[bytes]:
+    """Runs of other than the six white-space characters as UTF-8, A-Z in lower case."""
+    return text.encode().lower().split()  # on bytes, both know ASCII alone
 
 
-def words(text: str) -> list[str]:
-    """Runs of other than the six white-space characters, A-Z in lower case."""
-    return _WORD.findall(lowered(text))
+class Numbered(defaultdict):
+    """Numbers each new key by its order."""
+
+    def __init__(self):
+        super().__init__()
+        self.default_factory = self.__len__

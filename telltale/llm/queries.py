@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telltale.llm import bpe, exact_dedup, secret_scan, toxicity
+from telltale.llm import bpe, exact_dedup, minhash, secret_scan, toxicity
 from telltale.llm.common import documents, remainder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -27,11 +27,15 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op4_exact_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op4_exact_dedup, op6_minhash, op10_bpe)}
 
 ORACLES = {
     "op4_exact_dedup": r"""
