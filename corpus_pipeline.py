@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from telltale.llm import exact_dedup
+from telltale.llm import bpe, exact_dedup, minhash, mixing, queries, toxicity
 from telltale.session import materialized
 
 
-def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject (score below 0.7)."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score_toxicity(docs, labels).where("_toxic = 0").select(*docs.columns)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one stays."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
-STAGES = [("exact_dedup", exact_copies)]
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies one stays."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def sampled_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled towards the target weights of sources, languages and topics."""
+    return mixing.sample_mixed(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document left, with its ids."""
+    return bpe.encode(docs, public_tokenizers.path(queries.VOCABULARY))
+
+
+STAGES = [("toxicity", without_toxic), ("exact_dedup", without_copies), ("near_dedup", without_near_copies),
+          ("mixing", sampled_mix), ("bpe", token_ids)]
 
 # Learned scores, set similarities and merges can't be stated in SQL; tests/llm has brute-force twins.
 ORACLE_SQL = None

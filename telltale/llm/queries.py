@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telltale.llm import bpe, exact_dedup, minhash, secret_scan, toxicity
+from telltale.llm import bpe, exact_dedup, minhash, mixing, secret_scan, toxicity
 from telltale.llm.common import documents, remainder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -31,11 +31,17 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
+                        F.round("_p", 6).alias("p"), F.col("_kept").alias("kept"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op4_exact_dedup, op6_minhash, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op4_exact_dedup, op6_minhash, op8_mixing, op10_bpe)}
 
 ORACLES = {
     "op4_exact_dedup": r"""
@@ -45,4 +51,5 @@ with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]',
                   count(*) over (partition by norm) as group_size
            from d window w as (partition by norm order by n desc, doc_id))
 select doc_id, keep_id, group_size, rn = 1 as kept, sha256(norm) as text_sha256 from k""",
+    "op8_mixing": mixing.oracle(),
 }
