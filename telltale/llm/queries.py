@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telltale.llm import bpe, exact_dedup, minhash, mixing, secret_scan, toxicity
+from telltale.llm import bpe, class_lm, exact_dedup, minhash, mixing, secret_scan, toxicity
 from telltale.llm.common import documents, remainder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -27,6 +27,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_texts(documents(spark, sf_dir))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
@@ -41,7 +45,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op4_exact_dedup, op6_minhash, op8_mixing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op4_exact_dedup, op5_class_lm, op6_minhash, op8_mixing, op10_bpe)}
 
 ORACLES = {
     "op4_exact_dedup": r"""
