@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telltale.llm import bpe, class_lm, exact_dedup, minhash, mixing, secret_scan, toxicity
+from telltale.llm import bpe, class_lm, exact_dedup, minhash, mixing, secret_scan, suffix_dedup, toxicity
 from telltale.llm.common import documents, remainder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -35,6 +35,11 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.drop_repeats(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
@@ -45,7 +50,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op4_exact_dedup, op5_class_lm, op6_minhash, op8_mixing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op4_exact_dedup, op5_class_lm, op6_minhash, op7_suffix_dedup, op8_mixing, op10_bpe)}
 
 ORACLES = {
     "op4_exact_dedup": r"""
