@@ -4,14 +4,15 @@
    whole set, and ``hashes`` minima of universal hashes. Documents with equal sets form a class that
    its smallest id stands for.
 2. The minima are cut into bands of ``rows``. Representatives that agree on a band share a bucket.
-3. First each representative is compared with the smallest id among its buckets' smallest; confirmed
-   links give first components. Then, in every bucket that still holds several components, all pairs
-   of different components are compared, in tiles of bounded size. Pairs inside one component
-   can't change the result, so nothing is lost by leaving them out, and a large group of near copies
-   costs about one comparison a member.
-4. A pair is dropped early only if its signatures agree on fewer than ``threshold - MARGIN``
-   of the minima (more than five standard deviations); all others are confirmed on the full sets of
-   shingles made from both whole texts.
+3. Links are confirmed in three steps, with components found in between: each representative with the
+   smallest id among its buckets' smallest; then, in buckets that still hold several components,
+   with its most similar partner from another component; then all pairs of different components
+   that share a bucket, in tiles of bounded size. Pairs inside one component can't change the
+   result, so nothing is lost by leaving them out, and a large group of near copies costs a few
+   comparisons a member.
+4. A pair is dropped early only if its signatures (8 bits of each minimum) agree on fewer than
+   ``threshold - MARGIN`` of the places, more than four standard deviations; all others are confirmed
+   on the full sets of shingles made from both whole texts.
 5. Components of the links come from alternating large-star and small-star steps.
 
 With 36 bands of 4 a pair at the threshold 0.75 shares no bucket with probability 1e-6, and a closer
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ from telltale.llm.components import components
 from telltale.session import materialized
 
 BANDS, ROWS = 36, 4
-MARGIN = 0.2
+MARGIN = 0.16
 TILE = 1000  # rows of one bucket that are compared with as many others in one task
 WORDS_KEPT = 1_000_000
 MEMBERS = 200  # texts confirmed against one other in one task
@@ -98,7 +100,7 @@ class Minima:
 
 
 def signatures(docs: DataFrame, width: int, hashes: int) -> DataFrame:
-    """doc_id, n_shingles, set_key, minima (little-endian 32-bit)."""
+    """doc_id, n_shingles, set_key, minima (little-endian 32-bit), sketch (their lowest bytes)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, minima = Shingles(width), Minima(hashes)
@@ -110,30 +112,32 @@ def signatures(docs: DataFrame, width: int, hashes: int) -> DataFrame:
                 key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sig.append(minima.of(s).astype("<u4").tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(key, pa.binary()),
-                                              pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "set_key", "minima"])
+                                              pa.array(sig, pa.binary()), pa.array([x and x[::4] for x in sig], pa.binary())],
+                                             ["doc_id", "n_shingles", "set_key", "minima", "sketch"])
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, minima binary")
+    return docs.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, minima binary, sketch binary")
 
 
 def buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(bucket, id): one row for each band of a representative."""
+    """(bucket, band, id): one row for each band of a representative."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = _matrix(batch.column("minima"))[:, :bands * rows].reshape(-1, bands, rows).astype(np.uint64)
+            sig = _matrix(batch.column("minima"), "<u4").reshape(-1, bands, rows).astype(np.uint64)
             key = np.arange(bands, dtype=np.uint64)[None, :] + np.uint64(1)
             for r in range(rows):
                 key = mix(key + sig[:, :, r] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()),
-                                              pa.array(np.repeat(batch.column("id").to_numpy(), bands))], ["bucket", "id"])
+                                              pa.array(np.tile(np.arange(bands, dtype=np.int32), len(sig))),
+                                              pa.array(np.repeat(batch.column("id").to_numpy(), bands))], ["bucket", "band", "id"])
 
-    return reps.select("id", "minima").mapInArrow(cut, "bucket long, id long")
+    return reps.select("id", "minima").mapInArrow(cut, "bucket long, band int, id long")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), -1)
+def _matrix(column: pa.Array, kind: str = "u1") -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
 def _alike(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -145,16 +149,27 @@ def _alike(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
                 ok = (_matrix(batch.column("sig_a")) == _matrix(batch.column("sig_b"))).mean(axis=1) >= least
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
 
-    both = (pairs.join(reps.select(F.col("id").alias("b"), F.col("minima").alias("sig_b")), "b")
-            .join(reps.select(F.col("id").alias("a"), F.col("minima").alias("sig_a")), "a"))
+    both = (pairs.join(reps.select(F.col("id").alias("b"), F.col("sketch").alias("sig_b")), "b")
+            .join(reps.select(F.col("id").alias("a"), F.col("sketch").alias("sig_a")), "a"))
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
+def _pool(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, packed): the compressed texts of documents that share a bucket with another."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = [zip_.compress(t.encode()) for t in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+
+    return docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(pack, "doc_id long, packed binary")
+
+
+def _confirmed(pairs: DataFrame, pool: DataFrame, width: int, threshold: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= threshold * union on the full sets.
 
-    The members b of one a are split over tasks of about MEMBERS texts; a's text goes to each. Texts
-    are fetched once for all requests.
+    The members b of one a are split over tasks of about MEMBERS texts; a's text goes to each.
     """
     # written: the number of parts of each a is counted from these very rows
     pairs = materialized(pairs, "pairs")
@@ -162,63 +177,68 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) ->
     asked = (pairs.join(parts, "a")
              .select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("doc_id")))
     heads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc_id"))
-    wanted = asked.unionByName(heads)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(width)
-        heads: list[tuple[int, np.ndarray]] = []
+        shingles, unzip = Shingles(width), zstandard.ZstdDecompressor()
+        heads: list[np.ndarray] = []
         now = None
-        a, b = [], []
         for batch in batches:
-            for key, part, one, head, t in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "doc_id", "head", "text"))):
+            a, b = [], []
+            for key, part, one, head, packed in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "doc_id", "head", "packed"))):
                 if now != (key, part):
                     now, heads = (key, part), []
-                s = shingles.of(t or "")
+                s = shingles.of(unzip.decompress(packed).decode())
                 if head:
                     heads.append(s)
-                    continue
-                for h in heads:
-                    both = len(np.intersect1d(h, s, assume_unique=True))
-                    if 100 * both >= threshold * (len(h) + len(s) - both) and both:
-                        a.append(key)
-                        b.append(one)
-                        break
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
-
-    rows = (docs.join(wanted, "doc_id").withColumn("head", F.col("doc_id") == F.col("a"))
+                elif any(_linked(h, s, threshold) for h in heads):
+                    a.append(key)
+                    b.append(one)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    rows = (pool.join(asked.unionByName(heads), "doc_id").withColumn("head", F.col("doc_id") == F.col("a"))
             .repartition("a", "part").sortWithinPartitions("a", "part", F.desc("head")))
-    return rows.select("a", "part", "doc_id", "head", "text").mapInArrow(check, "a long, b long").distinct()
+    return rows.select("a", "part", "doc_id", "head", "packed").mapInArrow(check, "a long, b long").distinct()
+
+
+def _linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= threshold * (len(a) + len(b) - both)
 
 
-def _tiles(members: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """All alike pairs of different components that share a bucket.
+def _across(all_buckets: DataFrame, parts: DataFrame, reps: DataFrame, bands: int, least: float, best: bool) -> DataFrame:
+    """Alike pairs (a, b) of different components that share a bucket; with ``best``, one a member and tile.
 
-    ``members`` (bucket, id, component) holds the buckets with several components. A bucket's rows are
-    numbered and cut into tiles; each pair of tiles meets in one group of at most 2 * TILE rows.
+    A bucket's rows are dealt over tiles of about TILE rows by a hash of the id; each pair of tiles meets
+    in one group. A pair that shares several buckets is emitted in the first of their bands.
     """
-    placed = members.withColumn("tile", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / TILE)).cast("int"))
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    keyed = (spread.withColumn("x", F.least("tile", "other")).withColumn("y", F.greatest("tile", "other"))
-             .join(reps.select("id", "minima"), "id"))
+    placed = (all_buckets.select("bucket", "band", "id").join(parts, "id", "left")
+              .select("bucket", "band", "id", F.coalesce("component", "id").alias("component")))
+    several = (placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+               .where("lo < hi").select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
+    spread = (placed.join(several, "bucket").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+              .withColumn("x", F.least("tile", "other")).withColumn("y", F.greatest("tile", "other")).drop("tiles", "other"))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
         ids, comp, tile = (table.column(c).to_numpy() for c in ("id", "component", "tile"))
-        sig = _matrix(table.column("minima"))
-        lone = table.column("x")[0].as_py() == table.column("y")[0].as_py()
-        need = least * sig.shape[1]
-        a, b = [], []
-        for i in np.flatnonzero(tile == table.column("x")[0].as_py()):
-            js = np.flatnonzero((comp != comp[i]) & ((ids > ids[i]) if lone else (tile != tile[i])))
-            js = js[(sig[js] == sig[i]).sum(axis=1) >= need]
-            a += [min(ids[i], ids[j]) for j in js]
-            b += [max(ids[i], ids[j]) for j in js]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    cols = keyed.select("bucket", "x", "y", "id", "component", "tile", "minima")
+        x, y, band = (table.column(c)[0].as_py() for c in ("x", "y", "band"))
+        sig = _matrix(table.column("sketch"))
+        found = []
+        for i in np.flatnonzero(tile == x):
+            js = np.flatnonzero((comp != comp[i]) & (tile == y) & ((ids > ids[i]) | (x != y) | best))
+            same = sig[js] == sig[i]
+            alike = same.mean(axis=1)
+            if best:
+                js = js[[int(alike.argmax())]] if alike.max(initial=0) >= least else js[:0]
+            else:
+                js, same = js[alike >= least], same[alike >= least]
+                js = js[same.reshape(len(js), bands, sig.shape[1] // bands).all(axis=2).argmax(axis=1) == band]
+            found.append(np.c_[np.minimum(ids[js], ids[i]), np.maximum(ids[js], ids[i])])
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    cols = spread.join(reps, "id").select("bucket", "x", "y", "band", "id", "component", "tile", "sketch")
     return cols.groupBy("bucket", "x", "y").applyInArrow(pair, "a long, b long").distinct()
 
 
@@ -231,28 +251,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75, bands:
                .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     members = materialized(signed.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "rep"), "set_key", "left"),
                            "members")
-    reps = materialized(signed.where("doc_id is not null").join(classes.select("set_key", F.col("rep").alias("doc_id")),
-                                                               ["set_key", "doc_id"], "left_semi")
-                        .select(F.col("doc_id").alias("id"), "minima").distinct(), "reps")
+    chosen = (signed.where("doc_id is not null")
+              .join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
+              .withColumnRenamed("doc_id", "id"))
+    reps = materialized(chosen.select("id", "sketch").distinct(), "reps")
     least = threshold / 100 - MARGIN
 
-    all_buckets = materialized(_shared(buckets(reps, bands, rows)), "buckets")
+    all_buckets = materialized(_shared(buckets(chosen.select("id", "minima").distinct(), bands, rows)), "buckets")
+    pool = materialized(_pool(given, all_buckets.select("id").distinct()), "pool")
     first = (all_buckets.where(F.col("id") != F.col("least"))
              .groupBy(F.col("id").alias("b")).agg(F.min("least").alias("a")))
-    links = materialized(_confirmed(_alike(first, reps, least), given, width, threshold), "links")
-    parts = materialized(components(links), "parts")
-
-    # buckets whose members lie in several components: every such pair is compared
-    placed = (all_buckets.select("bucket", "id").join(parts, "id", "left")
-              .select("bucket", "id", F.coalesce("component", "id").alias("component")))
-    mixed = (placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo < hi").select("bucket", "n"))
-    across = materialized(_tiles(placed.join(mixed, "bucket"), reps, least), "across")
-    more = _confirmed(across, given, width, threshold)
+    links = materialized(_confirmed(_alike(first, reps, least), pool, width, threshold), "links")
+    for best in (True, False):
+        pairs = _across(all_buckets, materialized(components(links), "parts"), reps, bands, least, best)
+        links = materialized(links.unionByName(_confirmed(pairs, pool, width, threshold)), "links")
     # rows with one id are one document, so its sets are linked as well
     same = members.where("rep is not null and doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     own = members.groupBy("doc_id").agg(F.countDistinct("set_key").alias("sets")).where("sets > 1").select(F.col("doc_id").alias("b"))
-    joined = links.unionByName(more).unionByName(same.join(own, "b").select("a", "b")).distinct()
+    joined = links.unionByName(same.join(own, "b").select("a", "b")).distinct()
     final = components(joined)
     return (members.join(final.withColumnRenamed("id", "rep"), "rep", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
