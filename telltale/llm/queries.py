@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telltale.llm import bpe, class_lm, exact_dedup, minhash, mixing, secret_scan, suffix_dedup, toxicity
+from telltale.llm import bm25, bpe, class_lm, exact_dedup, minhash, mixing, secret_scan, suffix_dedup, toxicity
 from telltale.llm.common import documents, remainder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -22,6 +22,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("_score").alias("score"), F.col("_toxic").alias("predicted"))
 
 
+def op3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    asked = docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    return bm25.search(docs, asked).withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -50,7 +56,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op4_exact_dedup, op5_class_lm, op6_minhash, op7_suffix_dedup, op8_mixing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_search, op4_exact_dedup, op5_class_lm, op6_minhash, op7_suffix_dedup, op8_mixing, op10_bpe)}
 
 ORACLES = {
     "op4_exact_dedup": r"""
@@ -61,4 +67,17 @@ with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]',
            from d window w as (partition by norm order by n desc, doc_id))
 select doc_id, keep_id, group_size, rn = 1 as kept, sha256(norm) as text_sha256 from k""",
     "op8_mixing": mixing.oracle(),
+    "op3_search": r"""
+with d as (select doc_id, list_filter(string_split_regex(regexp_replace(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D]', ' ', 'g'), ' +'), lambda x: x <> '') as w from documents),
+     s as (select count(*) as n, avg(len(w)) as mean from d),
+     t as (select doc_id, w, count(*) as tf, any_value(l) as l from (select doc_id, len(w) as l, unnest(w) as w from d) group by 1, 2),
+     f as (select w, count(*) as df from t group by 1),
+     q as (select doc_id as query_id, w from t where doc_id % 100 = 0),
+     r as (select query_id, t.doc_id,
+                  sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))) as score
+           from q join t using (w) join f using (w), s group by 1, 2)
+select query_id, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as rank, doc_id,
+       round(score, 6) as score from r
+qualify rank <= 10""",
 }
