@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telltale.llm import bm25, bpe, class_lm, exact_dedup, minhash, mixing, secret_scan, suffix_dedup, toxicity
+from telltale.llm import bm25, bpe, chat, class_lm, exact_dedup, minhash, mixing, secret_scan, suffix_dedup, toxicity
 from telltale.llm.common import documents, remainder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -52,11 +52,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.round("_p", 6).alias("p"), F.col("_kept").alias("kept"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles recovered from the transcript alone; the role column only trains, on two thirds of the conversations."""
+    turns = chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"), use_roles=False)
+    return turns.select("conv_id", "turn", "segment", "given", "role", "n_lines", "rendered")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_search, op4_exact_dedup, op5_class_lm, op6_minhash, op7_suffix_dedup, op8_mixing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_search, op4_exact_dedup, op5_class_lm, op6_minhash, op7_suffix_dedup, op8_mixing, op9_chat, op10_bpe)}
 
 ORACLES = {
     "op4_exact_dedup": r"""
