@@ -11,8 +11,7 @@ from telltale.session import materialized
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject (score below 0.7)."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.score_toxicity(docs, labels).where("_toxic = 0").select(*docs.columns)
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

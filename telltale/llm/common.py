@@ -26,6 +26,14 @@ def text_or_empty(df: DataFrame, text: str = "text") -> Column:
     return F.coalesce(df[text].cast("string"), F.lit(""))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column's strings, null as the empty one."""
     return ["" if t is None else t for t in batch.column(column).to_pylist()]

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telltale.llm.common import SPACE, text_or_empty
+from telltale.llm.common import SPACE, text_or_empty, unused
 from telltale.session import materialized
 
 FAN_IN_BITS = 3  # runs merged at once: 8
@@ -82,11 +82,12 @@ def runs_in(df: DataFrame, runs: int) -> int:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = (exact_duplicates(docs).where("kept")
-            .select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"), F.col("n_points").alias("_keep_n")))
+    sha, n, row = (unused(c, docs.columns) for c in ("_sha", "_n", "_row"))
+    keep_id, keep_sha, keep_n = (unused(c, docs.columns) for c in ("_keep_id", "_keep_sha", "_keep_n"))
+    kept = exact_duplicates(docs).where("kept").select(
+        F.col("doc_id").alias(keep_id), F.col("text_sha256").alias(keep_sha), F.col("n_points").alias(keep_n))
     plain = text_or_empty(docs)
-    keyed = docs.withColumns({"_sha": F.sha2(F.regexp_replace(plain, SPACE, ""), 256), "_n": F.length(plain)})
-    found = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_keep_id"]) & (F.col("_sha") == F.col("_keep_sha"))
-                       & (F.col("_n") == F.col("_keep_n")))
-    one = Window.partitionBy("_keep_id", "_sha", "_n").orderBy("_n")  # rows equal in all three count once
-    return found.withColumn("_row", F.row_number().over(one)).where("_row = 1").select(*docs.columns)
+    keyed = docs.withColumns({sha: F.sha2(F.regexp_replace(plain, SPACE, ""), 256), n: F.length(plain)})
+    found = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept[keep_id]) & (F.col(sha) == F.col(keep_sha)) & (F.col(n) == F.col(keep_n)))
+    one = Window.partitionBy(keep_id, keep_sha, keep_n).orderBy(keep_n)  # rows equal in all three count once
+    return found.withColumn(row, F.row_number().over(one)).where(F.col(row) == 1).select(*docs.columns)

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telltale.llm.common import Numbered, chunks, texts, words
+from telltale.llm.common import Numbered, chunks, texts, unused, words
 from telltale.llm.components import components
 from telltale.session import materialized
 
@@ -283,5 +283,6 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay, one of each group, with all their columns."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = unused("_gone", docs.columns)
+    dropped = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, docs["doc_id"] == dropped[gone], "left_anti")

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting, then sampling documents.
 
 Token counts are summed per cell (source, language, topic). Raking scales the cells' weights to the
-source, language and topic targets in turn until every marginal holds; only the cells move, never the
+source, language and topic targets in turn, at most ROUNDS times (fewer once nothing moves); only the cells move, never the
 documents. A cell's inclusion probability is proportional to its raked weight over its share of tokens,
 at most 1; the common factor is set so that the expected tokens kept are ``rate`` of all. A document stays
 if its uniform draw (from a hash of its id) is below its cell's probability, so results don't depend
@@ -20,12 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telltale.llm.common import text_or_empty
+from telltale.llm.common import text_or_empty, unused
 from telltale.session import broadcast_if_small, materialized
 
 SIDES = ("source", "lang", "topic")
 ALPHA, RATE, SEED = 0.5, 0.9, "mix"
-ROUNDS, TOLERANCE = 40, 1e-9
+ROUNDS, TOLERANCE = 20, 1e-12
 FACTOR_ROUNDS = 12
 
 
@@ -37,16 +37,17 @@ def topic_of(text: Column) -> Column:
             .when(text.contains("@"), "contact").otherwise("prose"))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with its cell in _source, _lang, _topic, its tokens in _tokens and its draw in _draw."""
+def measured(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with source, language, topic, tokens and draw in new columns, and those columns' names."""
     text = text_or_empty(docs)
-    return docs.withColumns({
-        "_source": F.coalesce(docs["source"].cast("string"), F.lit("\x00none")),
-        "_lang": F.coalesce(docs["lang"].cast("string"), F.lit("\x00none")),
-        "_topic": topic_of(text),
-        "_tokens": F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long"),
-        "_draw": F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(docs["doc_id"].cast("string"), F.lit("")))), 1, 13),
-                        16, 10).cast("double") / F.lit(float(1 << 52))})
+    name = [unused(c, docs.columns) for c in ("_source", "_lang", "_topic", "_tokens", "_draw")]
+    return docs.withColumns(dict(zip(name, (
+        F.coalesce(docs["source"].cast("string"), F.lit("\x00none")),
+        F.coalesce(docs["lang"].cast("string"), F.lit("\x00none")),
+        topic_of(text),
+        F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long"),
+        F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(docs["doc_id"].cast("string"), F.lit("")))), 1, 13),
+               16, 10).cast("double") / F.lit(float(1 << 52)))))), name
 
 
 def _shares(cells: DataFrame, side: str, given: dict[str, float] | None, alpha: float) -> DataFrame:
@@ -99,22 +100,27 @@ def probabilities(cells: DataFrame, rate: float = RATE) -> DataFrame:
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA,
           rate: float = RATE) -> DataFrame:
-    """``docs`` with _topic, _tokens, _p (inclusion probability) and _kept."""
-    rows = measured(docs)
-    cells = materialized(rows.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"))
-                         .agg(F.sum("_tokens").alias("tokens")), "cells")
+    """``docs`` with topic, tokens, inclusion probability and whether it is kept, in the last four columns.
+
+    They are called _topic, _tokens, _p and _kept, with more underscores where ``docs`` has such columns.
+    """
+    rows, (source, lang, topic, tokens, draw) = measured(docs)
+    p, kept = (unused(c, docs.columns) for c in ("_p", "_kept"))
+    cells = materialized(rows.groupBy(F.col(source).alias("source"), F.col(lang).alias("lang"), F.col(topic).alias("topic"))
+                         .agg(F.sum(tokens).alias("tokens")), "cells")
     chances = probabilities(raked(cells, targets, alpha), rate).select(
-        F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), F.col("p").alias("_p"))
-    found = rows.join(broadcast_if_small(materialized(chances, "chances")), ["_source", "_lang", "_topic"])
-    return found.select(*docs.columns, "_topic", "_tokens", "_p", (F.col("_draw") < F.col("_p")).alias("_kept"))
+        F.col("source").alias(source), F.col("lang").alias(lang), F.col("topic").alias(topic), F.col("p").alias(p))
+    found = rows.join(broadcast_if_small(materialized(chances, "chances")), [source, lang, topic])
+    return found.select(*docs.columns, topic, tokens, p, (F.col(draw) < F.col(p)).alias(kept))
 
 
 def sample_mixed(docs: DataFrame, **options) -> DataFrame:
     """The sampled documents, with all their columns."""
-    return mixed(docs, **options).where("_kept").select(*docs.columns)
+    found = mixed(docs, **options)
+    return found.where(F.col(found.columns[-1])).select(*docs.columns)
 
 
-def oracle(rounds: int = 20) -> str:
+def oracle(rounds: int = ROUNDS) -> str:
     """The same in SQL: raking unrolled over a fixed number of rounds."""
     parts = [r"""
 d as (select doc_id, coalesce(source, chr(0) || 'none') as source, coalesce(lang, chr(0) || 'none') as lang,

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telltale.llm.common import remainder, texts
+from telltale.llm.common import remainder, texts, unused
 
 # Fixed seed lexicon.
 LEXICON = ("idiot", "moron", "stupid", "pathetic", "scum", "loser", "clown", "trash", "worthless", "disgusting",
@@ -207,8 +207,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> tuple[l
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 20_000) -> DataFrame:
-    """``docs`` with a score in [0, 1] and the decision, in columns _score and _toxic."""
+    """``docs`` with a score in [0, 1] and the decision (1 at ``threshold`` or above), in the last two columns.
+
+    They are called _score and _toxic, with more underscores where ``docs`` has such columns.
+    """
     lexicon, model = train(docs, labels, max_rows)
+    names = [unused(c, docs.columns) for c in ("_score", "_toxic")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(lexicon)
@@ -216,7 +220,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, m
             counts = np.array([voters.counts(t) for t in texts(batch)]).reshape(-1, len(voters.names))
             s = model.score(counts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))],
-                                             [*batch.schema.names, "_score", "_toxic"])
+                                             [*batch.schema.names, *names])
 
-    added = [T.StructField("_score", T.DoubleType()), T.StructField("_toxic", T.IntegerType())]
+    added = [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]
     return docs.mapInArrow(score, T.StructType([*docs.schema.fields, *added]))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The documents that are not rejected, with all their columns."""
+    scored = score_toxicity(docs, labels, **options)
+    return scored.where(F.col(scored.columns[-1]) == 0).select(*docs.columns)
