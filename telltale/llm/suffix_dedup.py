@@ -41,7 +41,7 @@ from telltale.llm.common import chunks
 from telltale.llm.minhash import mix
 from telltale.session import materialized
 
-LENGTH, KMER, RUN = 50, 16, 128
+LENGTH, KMER, RUN = 50, 16, 36
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 2 << 20
 HOT_DOCS = 2000
@@ -163,13 +163,16 @@ def shared_keys(packed: DataFrame, buckets: int, length: int, hot_docs: int) ->
 
 # -- run texts -------------------------------------------------------------------------------------
 def run_texts(packed: DataFrame, shared: DataFrame, key_buckets: int, buckets: int, length: int) -> DataFrame:
-    """(chunk, bucket, ...): the different run texts of a chunk under shared keys, with their smallest ids."""
+    """(chunk, bucket, n, runs): the different run texts of a chunk under shared keys, with their smallest ids.
+
+    A bucket compares keys by 32 bits: keys that agree by chance are ordered together, which changes nothing.
+    """
 
     def cut(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {name: [] for name in kinds.names}
         if left.num_rows and right.num_rows:
             head = left.to_pylist()[0]
-            c = Chunk(head["packed"], head["ids"], head["sizes"], length)
+            c, zip_ = Chunk(head["packed"], head["ids"], head["sizes"], length), zstandard.ZstdCompressor(level=3)
             state = _states(c.key, right, key_buckets)
             found: dict[bytes, list[int]] = {}
             for i in np.flatnonzero(state):
@@ -189,16 +192,26 @@ def run_texts(packed: DataFrame, shared: DataFrame, key_buckets: int, buckets: i
             order, cuts = _cuts(home)
             for a, b in zip(cuts, cuts[1:]):
                 i = order[a:b]
-                for name, value in (("chunk", head["chunk"]), ("bucket", int(home[i[0]])), ("texts", b"".join(texts[j] for j in i)),
-                                    ("sizes", bytes(len(texts[j]) for j in i)), ("keys", keys[i].tobytes()),
-                                    ("least", least[i].tobytes()), ("rows", rows[i].tobytes()), ("at", at[i].tobytes())):
+                sizes = np.array([len(texts[j]) for j in i], "u1")
+                blob = [sizes.tobytes(), (keys[i] >> np.uint64(32)).astype("<u4").tobytes(), least[i].tobytes(), rows[i].tobytes(),
+                        at[i].tobytes(), *(texts[j] for j in i)]
+                for name, value in (("chunk", head["chunk"]), ("bucket", int(home[i[0]])), ("n", len(i)),
+                                    ("runs", zip_.compress(b"".join(blob)))):
                     out[name].append(value)
         return pa.Table.from_pydict(out, kinds)
 
-    kinds = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()),
-                       *((c, pa.binary()) for c in ("texts", "sizes", "keys", "least", "rows", "at"))])
-    return packed.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(
-        cut, "chunk long, bucket long, texts binary, sizes binary, keys binary, least binary, rows binary, at binary")
+    kinds = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("runs", pa.binary())])
+    return packed.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(cut, "chunk long, bucket long, n long, runs binary")
+
+
+def _unpacked(n: int, raw: bytes) -> tuple[list[bytes], list[int], list[int], list[int], list[int]]:
+    """Texts, keys, ids, rows and places of n run texts."""
+    sizes, out, at = np.frombuffer(raw, "u1", n), [], n
+    for kind in ("<u4", "<i8", "<i4", "<i4"):
+        out.append(np.frombuffer(raw, kind, n, at).tolist())
+        at += n * int(kind[2])
+    ends = (at + np.cumsum(sizes, dtype=np.int64)).tolist()
+    return [raw[a:b] for a, b in zip([at, *ends], ends)], *out
 
 
 def _states(key: np.ndarray, shared: pa.Table, buckets: int) -> np.ndarray:
@@ -227,47 +240,46 @@ def collection_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     m = len(texts)
     size = np.fromiter(map(len, texts), np.int64, m)
     flat, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size)
-    text = np.arange(m, dtype=np.int32)
-    suffix, prefix, before = np.zeros(m, np.uint8), np.zeros(m, np.uint8), np.zeros(m, np.uint8)
-    place = np.arange(m)  # where each text's longest suffix so far stands
-    live = np.flatnonzero(size > 0)
+    entry = np.arange(m, dtype=np.int64 if m * int(size.max(initial=0) + 1) >= 2**31 else np.int32)  # suffix length * m + text
+    prefix, before = np.zeros(m, np.uint8), np.zeros(m, np.uint8)
+    new, added = np.arange(m), np.arange(m)  # where the suffixes of the round before stand, and whose they are
     for j in range(1, int(size.max(initial=0)) + 1):
-        live = live[size[live] >= j]
-        before[place[live]] = flat[ends[live] - j] + np.uint8(1)  # 0 stands before whole texts; UTF-8 has no byte above 0xF4
+        live = size[added] >= j
+        new, added = new[live], added[live]
+        before[new] = flat[ends[added] - j] + np.uint8(1)  # 0 stands before whole texts; UTF-8 has no byte above 0xF4
+        grows = np.zeros(len(before), bool)
+        grows[new] = True
         order = np.argsort(before, kind="stable")
         order = order[np.count_nonzero(before == 0):]
-        to = np.empty(len(before), np.int64)
-        to[order] = np.arange(m, m + len(order))
-        new = to[place[live]]
+        new = np.flatnonzero(grows[order])
+        added = entry[order[new]] % m
         total = m + len(order)
-        old = np.ones(total, bool)
-        old[new] = False
         # common prefixes change at the new places and right after them
-        asked = np.zeros(total + 1, bool)
+        asked = np.zeros(len(order) + 1, bool)
         asked[new] = asked[new + 1] = True
-        asked = np.flatnonzero(asked[:total])
-        k = asked - m
+        k = np.flatnonzero(asked[:-1])
         at, above = order[k], order[np.maximum(k - 1, 0)]
         joined = (k > 0) & (before[at] == before[above])
-        shared = np.zeros(len(asked), np.uint8)
+        shared = np.zeros(len(k), np.uint8)
         if joined.any():
             pairs = np.empty(2 * int(joined.sum()), np.int64)
             pairs[::2], pairs[1::2] = above[joined] + 1, at[joined] + 1
             shared[joined] = np.minimum.reduceat(np.r_[prefix, np.uint8(255)], pairs)[::2] + np.uint8(1)
+        new += m
+        old = np.ones(total, bool)
+        old[new] = False
         grown = []
-        for column, value in ((text, live.astype(np.int32)), (suffix, np.uint8(j)), (prefix, np.uint8(0)), (before, np.uint8(0))):
+        for column, value in ((entry, (j * m + added).astype(entry.dtype)), (prefix, np.uint8(0)), (before, np.uint8(0))):
             made = np.empty(total, column.dtype)
             made[old], made[new] = column, value
             grown.append(made)
-        text, suffix, prefix, before = grown
-        prefix[asked] = shared
-        place = np.flatnonzero(old)[place]
-        place[live] = new
-    return text, suffix, prefix
+        entry, prefix, before = grown
+        prefix[k + m] = shared
+    return entry % max(m, 1), entry // max(m, 1), prefix
 
 
-def least_ids(texts: list[bytes], ids: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each window of each text, the smallest id among all texts that hold it."""
+def least_ids(texts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each text, the smallest id among all texts that hold it; and where each text's windows begin."""
     text, suffix, prefix = collection_order(texts)
     full = np.flatnonzero(suffix >= length)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -276,9 +288,8 @@ def least_ids(texts: list[bytes], ids: np.ndarray, length: int) -> list[np.ndarr
     out = np.empty(int(windows.sum()), np.int64)
     group = np.flatnonzero(prefix[full] < length)
     least = np.minimum.reduceat(ids[text[full]], group)
-    of = np.repeat(least, np.diff(np.r_[group, len(full)]))
-    out[starts[text[full]] + size[text[full]] - suffix[full]] = of
-    return np.split(out, starts[1:])
+    out[starts[text[full]] + size[text[full]] - suffix[full]] = np.repeat(least, np.diff(np.r_[group, len(full)]))
+    return out, starts
 
 
 def answers(runs: DataFrame, length: int) -> DataFrame:
@@ -287,16 +298,16 @@ def answers(runs: DataFrame, length: int) -> DataFrame:
     def order(table: pa.Table) -> pa.Table:
         found: dict[bytes, list[int]] = {}
         asked = []
-        for chunk, blob, sizes, keys, least, rows, at in zip(*(table.column(c).to_pylist() for c in names)):
-            ids, keys = np.frombuffer(least, "<i8").tolist(), np.frombuffer(keys, "<u8").tolist()
-            end, own = 0, []
-            for n, doc, k in zip(sizes, ids, keys):
-                t = blob[end:end + n]
-                end += n
+        unzip = zstandard.ZstdDecompressor()
+        for chunk, n, blob in zip(*(table.column(c).to_pylist() for c in ("chunk", "n", "runs"))):
+            run, keys, ids, rows, at = _unpacked(n, unzip.decompress(blob))
+            own = []
+            for t, doc, k in zip(run, ids, keys):
                 had = found.setdefault(t, [doc, k, len(found)])
-                had[0] = min(had[0], doc)
+                if doc < had[0]:
+                    had[0] = doc
                 own.append(had[2])
-            asked.append((chunk, own, ids, np.frombuffer(rows, "<i4"), np.frombuffer(at, "<i4")))
+            asked.append((chunk, own, ids, rows, at))
         texts = list(found)
         ids = np.array([v[0] for v in found.values()], np.int64)
         key = np.array([v[1] for v in found.values()], np.uint64)
@@ -309,17 +320,21 @@ def answers(runs: DataFrame, length: int) -> DataFrame:
             while several and sum(map(len, part)) + len(several[-1]) <= COLLECTION:
                 part.append(several.pop())
             part = np.concatenate(part)
-            for i, windows in zip(part, least_ids([texts[i] for i in part], ids[part], length)):
-                best[i] = windows
-        chunk_of, blobs = [], []
+            windows, starts = least_ids([texts[i] for i in part], ids[part], length)
+            low, high = np.minimum.reduceat(windows, starts), np.maximum.reduceat(windows, starts)
+            ids[part] = low
+            for i in np.flatnonzero(low < high):  # the others have one id for all windows
+                best[part[i]] = windows[starts[i]:starts[i + 1] if i + 1 < len(starts) else None]
+        chunk_of, blobs, least = [], [], ids.tolist()
         for chunk, own, mine, rows, at in asked:
             lines = []
-            for i, doc, row, place in zip(own, mine, rows.tolist(), at.tolist()):
+            for i, doc, row, place in zip(own, mine, rows, at):
                 n = len(texts[i])
+                if least[i] >= doc:
+                    continue
                 if best[i] is None:
-                    if ids[i] < doc:
-                        lines.append((row, place, n, 0, n - length + 1, ids[i]))
-                elif (best[i] < doc).any():
+                    lines.append((row, place, n, 0, n - length + 1, least[i]))
+                else:
                     edge = np.flatnonzero(np.r_[True, best[i][1:] != best[i][:-1], True])
                     lines += [(row, place, n, a, b - a, best[i][a]) for a, b in zip(edge, edge[1:]) if best[i][a] < doc]
             if lines:
@@ -327,8 +342,7 @@ def answers(runs: DataFrame, length: int) -> DataFrame:
                 blobs.append(np.array(lines, ANSWER).tobytes())
         return pa.Table.from_pydict({"chunk": chunk_of, "found": blobs}, pa.schema([("chunk", pa.int64()), ("found", pa.binary())]))
 
-    names = ("chunk", "texts", "sizes", "keys", "least", "rows", "at")
-    return runs.select("bucket", *names).groupBy("bucket").applyInArrow(order, "chunk long, found binary")
+    return runs.groupBy("bucket").applyInArrow(order, "chunk long, found binary")
 
 
 # -- cutting -------------------------------------------------------------------------------------------
@@ -342,31 +356,13 @@ def removed(packed: DataFrame, shared: DataFrame, answered: DataFrame, key_bucke
             mask = np.array([f is None for f in right.column("found").to_pylist()], bool)
             hot = _states(c.key, right.filter(pa.array(mask)), key_buckets) == 2
             lines = [x for f in right.filter(pa.array(~mask)).column("found").to_pylist() for x in np.frombuffer(f, ANSWER).tolist()]
-            marks = [[] for _ in c.texts]
-            units = list(_units(c, hot, lines, length))
-            least: dict[bytes, int] = {}
-            for text, doc, _, _ in units:
-                least[text] = min(doc, least.get(text, NO_ID))
-            better: dict[bytes, np.ndarray] = {}
-            for row, at, n, first, windows, doc in lines:
-                text = c.texts[row][at:at + n]
-                if text not in better:
-                    better[text] = np.full(n - length + 1, least.get(text, NO_ID))
-                better[text][first:first + windows] = doc
-            for text, doc, row, at in units:
-                if text in better:
-                    hit = better[text] < doc
-                    edge = np.flatnonzero(np.diff(np.r_[0, hit.view(np.int8), 0]))
-                    marks[row] += [(at + a, at + b - 1 + length) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
-                elif least[text] < doc:
-                    marks[row].append((at, at + len(text)))
+            marks = covered(c, hot, lines, length)
             for i, text, spans in zip(head["ids"], c.texts, marks):
                 data = np.frombuffer(text, np.uint8)
                 step = np.zeros(len(data) + 1, np.int64)
                 if spans:
                     a, b = np.array(spans).T
-                    np.add.at(step, a, 1)
-                    np.add.at(step, b, -1)
+                    step += np.bincount(a, minlength=len(step)) - np.bincount(b, minlength=len(step))
                 gone = np.cumsum(step[:-1]) > 0
                 for name, v in (("doc_id", i), ("n_bytes", len(data)), ("n_removed", int(gone.sum())),
                                 ("n_spans", int(np.count_nonzero(np.diff(np.r_[0, gone.view(np.int8)]) == 1))),
@@ -381,6 +377,36 @@ def removed(packed: DataFrame, shared: DataFrame, answered: DataFrame, key_bucke
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def covered(c: Chunk, hot: np.ndarray, lines: list[tuple], length: int) -> list[list[tuple[int, int]]]:
+    """For each text of a chunk, the byte ranges that windows of smaller ids cover."""
+    marks: list[list[tuple[int, int]]] = [[] for _ in c.texts]
+    units = list(_units(c, hot, lines, length))
+    least: dict[bytes, int] = {}
+    for text, doc, _, _ in units:
+        if doc < least.get(text, NO_ID):
+            least[text] = doc
+    better: dict[bytes, np.ndarray] = {}
+    for row, at, n, first, windows, doc in lines:
+        text = c.texts[row][at:at + n]
+        if windows == n - length + 1:
+            least[text] = min(doc, least.get(text, NO_ID))
+            continue
+        if text not in better:
+            better[text] = np.full(n - length + 1, least.get(text, NO_ID))
+        better[text][first:first + windows] = doc
+    for text, doc, row, at in units:
+        if text in better:
+            hit = better[text] < doc
+            if hit.all():
+                marks[row].append((at, at + len(text)))
+            else:
+                edge = np.flatnonzero(np.diff(np.r_[0, hit.view(np.int8), 0]))
+                marks[row] += [(at + a, at + b - 1 + length) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
+        elif least.get(text, NO_ID) < doc:
+            marks[row].append((at, at + len(text)))
+    return marks
+
+
 def _units(c: Chunk, hot: np.ndarray, lines: list[tuple], length: int) -> Iterator[tuple[bytes, int, int, int]]:
     """(text, id, row, place) of the runs to look at: keys of several rows, keys with an answer, and hot windows."""
     base = np.cumsum([0, *map(len, c.texts)])
