@@ -4,12 +4,11 @@
    whole set, and ``hashes`` minima of universal hashes. Documents with equal sets form a class that
    its smallest id stands for.
 2. The minima are cut into bands of ``rows``. Representatives that agree on a band share a bucket.
-3. Links are confirmed in three steps, with components found in between: each representative with the
-   smallest id among its buckets' smallest; then, in buckets that still hold several components,
-   with its most similar partner from another component; then all pairs of different components
-   that share a bucket, in tiles of bounded size. Pairs inside one component can't change the
-   result, so nothing is lost by leaving them out, and a large group of near copies costs a few
-   comparisons a member.
+3. Links are confirmed in two steps: each representative with the smallest id among its buckets'
+   smallest; then, in buckets that hold several components after that, all pairs of different
+   components, in tiles of bounded size. Pairs inside one component can't change the result, so
+   nothing is lost by leaving them out, and a large group of near copies costs a few comparisons a
+   member.
 4. A pair is dropped early only if its signatures (8 bits of each minimum) agree on fewer than
    ``threshold - MARGIN`` of the places, more than four standard deviations; all others are confirmed
    on the full sets of shingles made from both whole texts.
@@ -40,7 +39,7 @@ from telltale.session import materialized
 
 BANDS, ROWS = 36, 4
 MARGIN = 0.16
-TILE = 1000  # rows of one bucket that are compared with as many others in one task
+TILE = 500  # rows of one bucket that are compared with as many others in one task
 WORDS_KEPT = 1_000_000
 MEMBERS = 200  # texts confirmed against one other in one task
 
@@ -205,11 +204,14 @@ def _linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     return both > 0 and 100 * both >= threshold * (len(a) + len(b) - both)
 
 
-def _across(all_buckets: DataFrame, parts: DataFrame, reps: DataFrame, bands: int, least: float, best: bool) -> DataFrame:
-    """Alike pairs (a, b) of different components that share a bucket; with ``best``, one a member and tile.
+def _across(all_buckets: DataFrame, parts: DataFrame, reps: DataFrame, pool: DataFrame, width: int, threshold: int,
+            bands: int) -> DataFrame:
+    """Links (a, b) that join different components of a bucket: enough of them to connect what is connected.
 
     A bucket's rows are dealt over tiles of about TILE rows by a hash of the id; each pair of tiles meets
-    in one group. A pair that shares several buckets is emitted in the first of their bands.
+    in one group, with sketches and texts. There a pair is confirmed on its full sets unless its
+    components are connected already, most similar partners first; a pair that shares several
+    buckets is looked at in the first of their bands. No group hands on more links than it has rows.
     """
     placed = (all_buckets.select("bucket", "band", "id").join(parts, "id", "left")
               .select("bucket", "band", "id", F.coalesce("component", "id").alias("component")))
@@ -218,28 +220,45 @@ def _across(all_buckets: DataFrame, parts: DataFrame, reps: DataFrame, bands: in
     spread = (placed.join(several, "bucket").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
               .withColumn("x", F.least("tile", "other")).withColumn("y", F.greatest("tile", "other")).drop("tiles", "other"))
+    least = threshold / 100 - MARGIN
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches)
+    def pair(table: pa.Table) -> pa.Table:
         ids, comp, tile = (table.column(c).to_numpy() for c in ("id", "component", "tile"))
         x, y, band = (table.column(c)[0].as_py() for c in ("x", "y", "band"))
-        sig = _matrix(table.column("sketch"))
-        found = []
-        for i in np.flatnonzero(tile == x):
-            js = np.flatnonzero((comp != comp[i]) & (tile == y) & ((ids > ids[i]) | (x != y) | best))
+        sig, packed = _matrix(table.column("sketch")), table.column("packed")
+        shingles, unzip = Shingles(width), zstandard.ZstdDecompressor()
+        sets: dict[int, np.ndarray] = {}
+        root = {c: c for c in comp.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        def shingled(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingles.of(unzip.decompress(packed[i].as_py()).decode())
+            return sets[i]
+
+        out = []
+        for i in np.flatnonzero(tile == x).tolist():
+            js = np.flatnonzero((comp != comp[i]) & (tile == y) & ((ids > ids[i]) | (x != y)))
             same = sig[js] == sig[i]
             alike = same.mean(axis=1)
-            if best:
-                js = js[[int(alike.argmax())]] if alike.max(initial=0) >= least else js[:0]
-            else:
-                js, same = js[alike >= least], same[alike >= least]
-                js = js[same.reshape(len(js), bands, sig.shape[1] // bands).all(axis=2).argmax(axis=1) == band]
-            found.append(np.c_[np.minimum(ids[js], ids[i]), np.maximum(ids[js], ids[i])])
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    cols = spread.join(reps, "id").select("bucket", "x", "y", "band", "id", "component", "tile", "sketch")
-    return cols.groupBy("bucket", "x", "y").applyInArrow(pair, "a long, b long").distinct()
+            keep = alike >= least
+            js, same, alike = js[keep], same[keep], alike[keep]
+            here = same.reshape(len(js), bands, sig.shape[1] // bands).all(axis=2).argmax(axis=1) == band
+            for j in js[here][np.argsort(-alike[here], kind="stable")].tolist():
+                a, b = find(int(comp[i])), find(int(comp[j]))
+                if a != b and _linked(shingled(i), shingled(j), threshold):
+                    root[max(a, b)] = min(a, b)
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    rows = (spread.join(reps, "id").join(pool.withColumnRenamed("doc_id", "id"), "id")
+            .select("bucket", "x", "y", "band", "id", "component", "tile", "sketch", "packed"))
+    return rows.groupBy("bucket", "x", "y").applyInArrow(pair, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75, bands: int = BANDS, rows: int = ROWS,
@@ -262,9 +281,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75, bands:
     first = (all_buckets.where(F.col("id") != F.col("least"))
              .groupBy(F.col("id").alias("b")).agg(F.min("least").alias("a")))
     links = materialized(_confirmed(_alike(first, reps, least), pool, width, threshold), "links")
-    for best in (True, False):
-        pairs = _across(all_buckets, materialized(components(links), "parts"), reps, bands, least, best)
-        links = materialized(links.unionByName(_confirmed(pairs, pool, width, threshold)), "links")
+    more = _across(all_buckets, materialized(components(links), "parts"), reps, pool, width, threshold, bands)
+    links = materialized(links.unionByName(more), "links")
     # rows with one id are one document, so its sets are linked as well
     same = members.where("rep is not null and doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     own = members.groupBy("doc_id").agg(F.countDistinct("set_key").alias("sets")).where("sets > 1").select(F.col("doc_id").alias("b"))
