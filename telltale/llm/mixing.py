@@ -25,7 +25,7 @@ from telltale.session import broadcast_if_small, materialized
 
 SIDES = ("source", "lang", "topic")
 ALPHA, RATE, SEED = 0.5, 0.9, "mix"
-ROUNDS, TOLERANCE = 20, 1e-12
+ROUNDS, TOLERANCE = 10, 1e-12
 FACTOR_ROUNDS = 12
 
 
