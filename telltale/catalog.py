@@ -127,14 +127,20 @@ def _lines(spark, sf) -> DataFrame:
 
 
 @query("scan_event_log", o.sql("""
-select ts, event_type, details from (
-  select try_cast(split_part(value, ',', 1) as timestamp) as ts, split_part(value, ',', 2) as event_type,
-         array_to_string(string_split(value, ',')[3:], ',') as details from lines where contains(value, ',')) t
+select seq, ts, event_type, details from (
+  select seq, try_cast(split_part(value, ',', 1) as timestamp) as ts, split_part(value, ',', 2) as event_type,
+         array_to_string(string_split(value, ',')[3:], ',') as details
+  from (select value, row_number() over (order by seq) - 1 as seq from lines) n where contains(value, ',')) t
 where ts is not null""", LINES_SQL))
 def _(spark, sf):
     path = scratch_path(spark, "eventlog")
-    _lines(spark, sf).select("value").write.text(path)
-    return _dated(logs.scan_event_log(spark, path).select(F.col("timestamp").alias("ts"), "event_type", "details"))
+    # several files of unequal size: the reader takes the largest first
+    lines = _lines(spark, sf)
+    part = F.floor(F.sqrt(F.col("seq") / (lines.agg(F.max("seq")).first()[0] + 1)) * 5).cast("int")
+    for i in range(5):
+        one = lines.where(part == i).coalesce(1).sortWithinPartitions("seq")
+        one.select("value").write.text(f"{path}/n={i}")
+    return _dated(logs.scan_event_log(spark, f"{path}/*").select("seq", F.col("timestamp").alias("ts"), "event_type", "details"))
 
 
 @query("parse_timestamps", o.sql("""
@@ -153,11 +159,9 @@ def _(spark, sf):
 
 @query("scan_sessions", o.sql("select seq, session_id, cpu, session_id as session from v_proc", o.V_PROC))
 def _(spark, sf):
-    root = scratch_path(spark, "sessions")
-    p = fx.process_view(spark, sf).select("seq", "session_id", "cpu")
-    p.withColumn("name", F.col("session_id")).write.partitionBy("name").parquet(root)
-    names = ["name=s0", "name=s1", "name=s2", "name=absent", "name=s0"]
-    return logs.scan_sessions(spark, root, names).withColumn("session", F.regexp_replace("session", "name=", ""))
+    root = sinks.sink_labeled(fx.process_view(spark, sf).select("seq", "session_id", "cpu"), scratch_path(spark, "sessions"))
+    found = logs.scan_sessions(spark, root).withColumn("session", F.regexp_replace("session", "session_id=", ""))
+    return found.select("seq", "session_id", "cpu", "session")
 
 
 @query("sink_labeled", o.sql("select seq, session_id, pid, cpu, label from v_proc join v_label using (seq)", *o.LABEL_CTE))
@@ -838,10 +842,10 @@ def _detector(spark, sf) -> LiveDetector:
     """The live job, run once per application and input; each query below reads what it wrote."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _DETECTORS:
-        p = fx.process_view(spark, sf)
+        p = fx.process_view(spark, sf).withColumn("child_entropy", F.col("mem") / 50)
         detector = LiveDetector(rule_scorer(LIVE_IO_LIMIT), scratch_path(spark, "live"), TOP_INPUTS, IMPORTANCE,
                                 threshold=LIVE_THRESHOLD, keep_history=True, state_partitions=spark.sparkContext.defaultParallelism)
-        _DETECTORS[key] = live.replay(spark, p, live.time_slices(p, [15]), detector)
+        _DETECTORS[key] = live.replay(spark, p, live.time_slices(p, 2), detector, files=150)
     return _DETECTORS[key]
 
 
@@ -898,9 +902,9 @@ def _(spark, sf):
 
 
 @query("live_row_features", o.sql(f"""select seq, cast(num_children > 0 as int) as has_children, {o.r('cpu * mem')} as cpu_mem_product, {o.r('cpu + mem')} as resource_pressure,
-  {o.r('cpu / (proc_age + 1)')} as cpu_per_age, {o.r('l_io_write_rate / (proc_age + 1)')} as io_per_age, {_rs('io_bytes_per_op')}, 0.0::double as cpu_norm_parent, 0.0::double as cpu_max_20 from v_live""", *o.LIVE_CTE))
+  {o.r('cpu / (proc_age + 1)')} as cpu_per_age, {o.r('l_io_write_rate / (proc_age + 1)')} as io_per_age, {_rs('io_bytes_per_op')}, {o.r('mem / 50')} as child_entropy, 0.0::double as cpu_norm_parent, 0.0::double as cpu_max_20 from v_live""", *o.LIVE_CTE))
 def _(spark, sf):
-    return _live(spark, sf).select("seq", "has_children", *_r("cpu_mem_product", "resource_pressure", "cpu_per_age", "io_per_age", "io_bytes_per_op"),
+    return _live(spark, sf).select("seq", "has_children", *_r("cpu_mem_product", "resource_pressure", "cpu_per_age", "io_per_age", "io_bytes_per_op", "child_entropy"),
                                    "cpu_norm_parent", "cpu_max_20")
 
 
@@ -1155,5 +1159,6 @@ select seq, label from (select *, row_number() over (partition by label order by
 where rk <= (select min(n) from (select count(*) as n from v_mark group by label) c) and substr({_draw_sql('42s')}, 1, 8) < '80000000'""", o.V_PROC, MARKED_SQL))
 def _(spark, sf):
     m = _marked(spark, sf)
-    frames = [m.where(F.col("session_id") == s) for s in ("s0", "s1", "s2")]
+    names = [r.session_id for r in m.select("session_id").distinct().collect()]  # one row a session
+    frames = [m.where(F.col("session_id") == s) for s in sorted(names)]
     return prepare.combine_sessions(frames, balance=True, fraction=0.5).select("seq", "label")

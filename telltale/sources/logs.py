@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telltale.functions.scalars import coerce_metrics, with_session_tag
 from telltale.schemas import ENGINEERED, METRICS, PROCESS_STREAM
-from telltale.session import use_utc
+from telltale.session import broadcast_if_small, use_utc
+
+BATCH_BYTES = 256 << 20  # what a micro-batch reads at most, a single file aside
 
 
 def parse_timestamp(text: Column) -> Column:
@@ -25,16 +27,33 @@ def drop_unparsed(df: DataFrame, column: str = "timestamp") -> DataFrame:
 def scan_process_stream(spark: SparkSession, path, **options) -> DataFrame:
     """A session's snapshots from CSV, schema fixed, rows without a readable time dropped.
 
-    ``seq`` is added when the files carry none; it follows file order inside each split and only
-    breaks ties between samples of the same process and time.
+    ``seq`` is added when the files carry none: file by name, then place in the file. It only breaks
+    ties between samples of the same process and time.
     """
     use_utc(spark)
     schema = T.StructType(PROCESS_STREAM.fields)
     if options.pop("with_seq", False):
         schema = T.StructType([T.StructField("seq", T.LongType())] + PROCESS_STREAM.fields)
     df = spark.read.schema(schema).options(header=True, mode="PERMISSIVE", **options).csv(path)
-    df = drop_unparsed(df)
-    return df if "seq" in df.columns else df.withColumn("seq", F.monotonically_increasing_id())
+    if "seq" not in schema.names:
+        df = in_file_order(df)
+    return drop_unparsed(df)
+
+
+def in_file_order(df: DataFrame) -> DataFrame:
+    """Add ``seq``, which orders rows by file name and place in the file, however the files are split.
+
+    The reader numbers rows within a task's split; blocks of one file follow each other by their start.
+    Ranks of (file, block) come from one row a block, so no row is sorted.
+    """
+    numbered = df.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"),
+                               "_row": F.monotonically_increasing_id()})
+    blocks = (numbered.groupBy("_file", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")))
+    # one row a block: its rank needs them in one place
+    upto = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.withColumn("_start", F.coalesce(F.sum("_n").over(upto), F.lit(0))).drop("_n")
+    return (numbered.join(broadcast_if_small(starts), ["_file", "_block"])
+            .withColumn("seq", F.col("_start") + F.col("_row") - F.col("_first")).drop("_file", "_block", "_row", "_first", "_start"))
 
 
 def parse_event_lines(lines: DataFrame, *keep: str) -> DataFrame:
@@ -47,9 +66,9 @@ def parse_event_lines(lines: DataFrame, *keep: str) -> DataFrame:
 
 
 def scan_event_log(spark: SparkSession, path, session_id: str | None = None) -> DataFrame:
-    """An event log file with ``seq`` in file order."""
+    """Event log files with ``seq`` in order of file name and line."""
     use_utc(spark)
-    lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
+    lines = in_file_order(spark.read.text(path))
     out = parse_event_lines(lines, "seq")
     return out if session_id is None else out.withColumn("session_id", F.lit(session_id))
 
@@ -61,28 +80,33 @@ def scan_labeled(spark: SparkSession, path, fmt: str = "parquet", columns=tuple(
     return coerce_metrics(reader.format(fmt).load(path), columns)
 
 
-def scan_sessions(spark: SparkSession, root: str, names: list[str], fmt: str = "parquet") -> DataFrame:
-    """Datasets of several sessions under ``root``, absent ones skipped, each row tagged."""
+def scan_sessions(spark: SparkSession, root: str, names: list[str] | None = None, fmt: str = "parquet", **options) -> DataFrame:
+    """Datasets of several sessions under ``root``, absent ones skipped, each row tagged with its folder.
+
+    Without ``names`` every folder under ``root`` is a session. Columns that the path spells
+    (``name=value``) are kept, and CSV files have a header.
+    """
     use_utc(spark)
-    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = spark._jvm.org.apache.hadoop.fs
+    top = fs.Path(root)
+    files = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    there = {f.getPath().getName() for f in files.listStatus(top) if f.isDirectory() and f.getPath().getName()[0] not in "._"}
     frames = []
-    for name in dict.fromkeys(names):
-        path = jvm.Path(f"{root}/{name}")
-        if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
-            frames.append(with_session_tag(spark.read.format(fmt).load(str(path)), name))
+    for name in dict.fromkeys(sorted(there) if names is None else names):
+        if name in there:
+            reader = spark.read.options(**{"header": True, "basePath": root, **options})
+            frames.append(with_session_tag(reader.format(fmt).load(f"{root}/{name}"), name))
     if not frames:
         raise FileNotFoundError(f"no session of {names} under {root}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def stream_process_snapshots(spark: SparkSession, path: str, fmt: str = "csv", files_per_trigger: int | None = 64,
+def stream_process_snapshots(spark: SparkSession, path: str, fmt: str = "csv", batch_bytes: int = BATCH_BYTES,
                              schema: T.StructType = PROCESS_STREAM) -> DataFrame:
-    """Snapshots that an agent lands as files, as a stream.
+    """Snapshots that an agent lands as files, as a stream, oldest files first.
 
-    ``files_per_trigger`` bounds a micro-batch, and with it what one process can hold in a task.
+    ``batch_bytes`` bounds a micro-batch, and with it what one process can hold in a task.
     """
     use_utc(spark)
-    reader = spark.readStream.schema(schema).option("header", True)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    reader = spark.readStream.schema(schema).option("header", True).option("maxBytesPerTrigger", batch_bytes)
     return reader.format(fmt).load(path)

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from telltale.functions.scalars import confidence_band
 from telltale.operators import rules
 from telltale.operators.attack import explain_alerts
 from telltale.streaming.features import live_features
+from telltale.session import ROCKSDB_PROVIDER
+from telltale.sources.logs import BATCH_BYTES
 from telltale.streaming.history import live_history
 
+# Ship the processor itself to workers that do not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 THRESHOLD = 0.7  # fixed value: default alert probability
 KEYS = ("session_id", "pid")
 
@@ -37,15 +46,41 @@ def first_alerts(candidates: DataFrame, keys=KEYS) -> DataFrame:
     return candidates.groupBy(*keys).agg(F.min_by(row, F.struct("timestamp", "seq")).alias("_r")).select("_r.*")
 
 
-def alert_once(candidates: DataFrame, keys=KEYS, horizon: str | None = None) -> DataFrame:
-    """Streaming form: one alert per process ever, or per ``horizon`` of event time.
+class FirstAlert(StatefulProcessor):
+    """Hands on the first candidate of a process by time, then none until ``horizon_us`` have passed (never, if None)."""
+
+    def __init__(self, columns: list[str], horizon_us: int | None):
+        self.columns, self.horizon_us = columns, horizon_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.alerted = handle.getValueState("alerted_us", T.StructType([T.StructField("at", T.LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues):
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["timestamp", "seq"], ignore_index=True)
+        stamps = batch["timestamp"].astype("datetime64[us]").astype("int64").tolist()
+        last = self.alerted.get()[0] if self.alerted.exists() else None
+        chosen = []
+        for i, at in enumerate(stamps):
+            if last is None or (self.horizon_us is not None and at >= last + self.horizon_us):
+                chosen.append(i)
+                last = at
+        if chosen:
+            self.alerted.update((last,))
+            yield batch.loc[chosen, self.columns]
+
+    def close(self) -> None:
+        pass
+
 
-    Without a horizon the state grows with the processes alerted; with one it is bounded and a
-    reused process id can alert again.
+def alert_once(candidates: DataFrame, keys=KEYS, horizon_seconds: float | None = None) -> DataFrame:
+    """Streaming form: one alert per process ever, or one per ``horizon_seconds`` of event time.
+
+    State is one time per process alerted. Within a micro-batch the earliest row alerts.
     """
-    if horizon is None:
-        return candidates.dropDuplicates(list(keys))
-    return candidates.withWatermark("timestamp", horizon).dropDuplicatesWithinWatermark(list(keys))
+    candidates.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    horizon = None if horizon_seconds is None else int(horizon_seconds * 1e6)
+    return candidates.groupBy(*keys).transformWithStateInPandas(
+        FirstAlert(candidates.columns, horizon), candidates.schema, "Append", "None")
 
 
 def alert_rows(alerts: DataFrame, features: list[str], importances: dict[str, float] | None = None) -> DataFrame:
@@ -66,8 +101,10 @@ def alert_totals(alerts: DataFrame) -> DataFrame:
 class LiveDetector:
     """Stream of snapshots → live features → scores → alert table.
 
-    Each micro-batch writes its features and its new alerts under its batch number, replacing a
-    previous attempt of the same batch, so a retry neither loses nor repeats an alert.
+    Two queries. The first writes each micro-batch's scored rows under its batch number, replacing a
+    previous attempt of the same batch, and rows that came too late to a table of their own. The second
+    reads the scored table as a stream and keeps in its state which processes have alerted, so no
+    alert is read again, lost or repeated.
     """
 
     score: Callable[[DataFrame], DataFrame]
@@ -75,8 +112,9 @@ class LiveDetector:
     features: list[str]
     importances: dict[str, float] | None = None
     threshold: float = THRESHOLD
-    late: str = "10 minutes"
+    late_seconds: float = 600
     idle_seconds: float | None = None
+    horizon_seconds: float | None = None
     keep_history: bool = False
     state_partitions: int | None = None  # fixed for the life of a checkpoint; default: shuffle partitions
     keys: tuple[str, ...] = field(default=KEYS)
@@ -85,16 +123,30 @@ class LiveDetector:
     def feature_path(self) -> str:
         return f"{self.output}/features"
 
+    @property
+    def late_path(self) -> str:
+        return f"{self.output}/late"
+
     @property
     def alert_path(self) -> str:
         return f"{self.output}/alerts"
 
     def start(self, stream: DataFrame, checkpoint: str, every: str | None = None) -> StreamingQuery:
-        """Run once over what has landed, or every ``every`` (e.g. '2 seconds')."""
-        conf, name = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+        """Score what has landed once, or every ``every`` (e.g. '2 seconds')."""
+        rows = self.score(live_features(live_history(stream, self.late_seconds, self.idle_seconds), self.keep_history))
+        return self._run(rows.writeStream.foreachBatch(self._write), f"{checkpoint}/rows", every)
+
+    def start_alerts(self, spark: SparkSession, checkpoint: str, every: str | None = None) -> StreamingQuery:
+        """Turn scored rows into alerts; to be started once the first rows are written."""
+        schema = spark.read.parquet(self.feature_path).schema
+        scored = spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(self.feature_path)
+        alerts = alert_once(threshold_alerts(scored, self.threshold), self.keys, self.horizon_seconds)
+        return self._run(alerts.writeStream.foreachBatch(self._sink), f"{checkpoint}/alerts", every)
+
+    def _run(self, writer, checkpoint: str, every: str | None) -> StreamingQuery:
+        conf, name = self._session().conf, "spark.sql.shuffle.partitions"
         before = conf.get(name)
-        rows = self.score(live_features(live_history(stream, self.late, self.idle_seconds), self.keep_history))
-        writer = rows.writeStream.foreachBatch(self._write).option("checkpointLocation", checkpoint)
+        writer = writer.option("checkpointLocation", checkpoint)
         writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
         conf.set(name, str(self.state_partitions or before))
         try:
@@ -102,32 +154,31 @@ class LiveDetector:
         finally:
             conf.set(name, before)
 
+    @staticmethod
+    def _session() -> SparkSession:
+        return SparkSession.getActiveSession()
+
     def _write(self, batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        place = f"{self.feature_path}/batch={number}"
-        batch.write.mode("overwrite").parquet(place)
-        scored = spark.read.parquet(place)
-        if number > 0 and scored.limit(1).count() == 0:
-            return  # a batch that only moved the watermark
-        sink_alerts(first_alerts(threshold_alerts(scored, self.threshold), self.keys), self, number)
+        # every batch leaves a file in both tables, so their schemas can always be read
+        batch.persist()
+        batch.where(~F.col("late")).drop("late").write.mode("overwrite").parquet(f"{self.feature_path}/batch={number}")
+        batch.where(F.col("late")).drop("late").write.mode("overwrite").parquet(f"{self.late_path}/batch={number}")
+        batch.unpersist()
+
+    def _sink(self, new: DataFrame, number: int) -> None:
+        sink_alerts(new, self, number)
 
     def feature_table(self, spark) -> DataFrame:
         return spark.read.parquet(self.feature_path)
 
+    def late_table(self, spark) -> DataFrame:
+        return spark.read.parquet(self.late_path)
+
     def alert_table(self, spark) -> DataFrame:
         return spark.read.parquet(self.alert_path)
 
 
 def sink_alerts(new: DataFrame, detector: LiveDetector, number: int) -> None:
-    """Append alerts of processes that earlier batches have not alerted."""
-    spark = new.sparkSession
-    place = f"{detector.alert_path}/batch={number}"
-    if number > 0 and _exists(spark, detector.alert_path):
-        earlier = spark.read.parquet(detector.alert_path).where(F.col("batch") < number).select(*detector.keys)
-        new = new.join(earlier, list(detector.keys), "left_anti")
-    alert_rows(new, detector.features, detector.importances).write.mode("overwrite").parquet(place)
-
-
-def _exists(spark, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+    """Write a batch's alerts under its number; a repeated batch replaces itself."""
+    told = alert_rows(new, detector.features, detector.importances)
+    told.write.mode("overwrite").parquet(f"{detector.alert_path}/batch={number}")

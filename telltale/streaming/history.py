@@ -10,6 +10,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -24,16 +25,17 @@ from telltale.session import ROCKSDB_PROVIDER
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 HELD = 20  # fixed value: samples kept per process
+SLICE = 4096  # rows of a process that are laid out at once
 HISTORIES = {"cpu_hist": "cpu", "mem_hist": "mem", "io_hist": "io_write_bytes"}
 PREVIOUS = ["cpu", "mem", "num_children", "io_read_bytes", "io_write_bytes", "io_read_count", "io_write_count",
             "num_connections", "num_threads", "num_fds", "ctx_switches_voluntary", "ctx_switches_involuntary"]
 NUMBER = T.DoubleType()
 
 STATE = T.StructType([
-    T.StructField("first_us", T.LongType()), T.StructField("prev", T.ArrayType(NUMBER)),
+    T.StructField("first_us", T.LongType()), T.StructField("last_us", T.LongType()), T.StructField("prev", T.ArrayType(NUMBER)),
     *[T.StructField(h, T.ArrayType(NUMBER)) for h in HISTORIES]])
 
-PASSED = ["seq", "timestamp", "ppid", "exe", "status", *PREVIOUS]
+PASSED = ["seq", "timestamp", "ppid", "exe", "status", "child_entropy", *PREVIOUS]
 
 
 def output_schema() -> T.StructType:
@@ -41,16 +43,21 @@ def output_schema() -> T.StructType:
     return T.StructType(
         [T.StructField("session_id", T.StringType()), T.StructField("pid", T.LongType())]
         + [T.StructField(c, kinds.get(c, NUMBER)) for c in PASSED]
-        + [T.StructField("held", T.IntegerType()), T.StructField("first_us", T.LongType())]
+        + [T.StructField("held", T.IntegerType()), T.StructField("first_us", T.LongType()), T.StructField("late", T.BooleanType())]
         + [T.StructField(f"prev_{c}", NUMBER) for c in PREVIOUS]
         + [T.StructField(h, T.ArrayType(NUMBER)) for h in HISTORIES])
 
 
 class HistoryProcessor(StatefulProcessor):
-    """Keeps one small buffer per process; rows of a micro-batch are taken in time order."""
+    """Keeps one small buffer per process; rows of a micro-batch are taken in time order.
 
-    def __init__(self, idle_seconds: float | None = None):
-        self.idle_ms = None if idle_seconds is None else int(idle_seconds * 1000)
+    A row more than ``late_us`` older than the newest one its process has shown is handed on marked
+    late, with no history, and leaves the buffer as it is.
+    """
+
+    def __init__(self, late_us: int, idle_seconds: float | None = None):
+        self.late_us = late_us
+        self.idle_us = np.inf if idle_seconds is None else idle_seconds * 1e6
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -58,69 +65,74 @@ class HistoryProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["timestamp", "seq"], ignore_index=True)
-        stamps = batch["timestamp"].astype("datetime64[us]").astype("int64").tolist()
+        stamps = batch["timestamp"].astype("datetime64[us]").astype("int64")
+        first, last, prev, past = int(stamps.iloc[0]), None, None, [[] for _ in HISTORIES]
         if self.buffer.exists():
-            first, prev, *past = self.buffer.get()
-            past = [list(p) for p in past]
-        else:
-            first, prev, past = stamps[0], None, [[] for _ in HISTORIES]
-        values = batch[PREVIOUS].astype(float).values.tolist()
-        spots = [PREVIOUS.index(c) for c in HISTORIES.values()]
-        held, befores, hists = [], [], [[] for _ in HISTORIES]
-        for row in values:
-            for past_values, out, spot in zip(past, hists, spots):
-                past_values.append(row[spot])
-                if len(past_values) > HELD:
-                    del past_values[0]
-                out.append(list(past_values))
-            held.append(len(past[0]))
-            befores.append(prev if prev is not None else [None] * len(PREVIOUS))
-            prev = row
-        self.buffer.update((first, list(prev), *past))
-        self._rearm(stamps[-1] // 1000)
-        out = pd.concat([batch[PASSED], pd.DataFrame(befores, columns=[f"prev_{c}" for c in PREVIOUS], dtype=float)], axis=1)
+            first, last, prev, *past = self.buffer.get()
+        late = stamps < (last if last is not None else stamps.iloc[0]) - self.late_us
+        if late.any():
+            yield self._framed(key, batch[late].reset_index(drop=True), first, 0, None, [None] * len(HISTORIES), True)
+        batch, stamps = batch[~late].reset_index(drop=True), stamps[~late].to_numpy()
+        old = [np.array(list(p), float) for p in past]
+        # a silence of idle_us ends a process: what follows starts with an empty buffer
+        begins = np.diff(stamps, prepend=stamps[:1] if last is None else last) > self.idle_us if len(stamps) else []
+        edges = [0, *(int(i) for i in np.flatnonzero(begins) if i), len(batch)]
+        for begin, end in zip(edges, edges[1:]):
+            if begin < end and begins[begin]:
+                first, prev, old = int(stamps[begin]), None, [np.zeros(0) for _ in HISTORIES]
+            for at in range(begin, end, SLICE):
+                part = batch.iloc[at:min(at + SLICE, end)].reset_index(drop=True)
+                values = part[PREVIOUS].to_numpy(float)
+                before = np.vstack([[np.nan] * len(PREVIOUS) if prev is None else prev, values[:-1]])
+                held = np.minimum(len(old[0]) + 1 + np.arange(len(part)), HELD)
+                hists = []
+                for i, c in enumerate(HISTORIES.values()):
+                    line = np.r_[old[i], values[:, PREVIOUS.index(c)]]
+                    ends = len(old[i]) + 1 + np.arange(len(part))
+                    hists.append([line[e - n:e] for e, n in zip(ends, held)])
+                    old[i] = line[-HELD:]
+                prev = values[-1].tolist()
+                yield self._framed(key, part, first, held, before, hists, False)
+        if len(batch):
+            newest = max(int(stamps[-1]), last if last is not None else 0)
+            self.buffer.update((first, newest, prev, *[o.tolist() for o in old]))
+
+    @staticmethod
+    def _framed(key, part, first, held, before, hists, late) -> pd.DataFrame:
+        out = part[PASSED].copy()
         out.insert(0, "pid", key[1])
         out.insert(0, "session_id", key[0])
-        out["held"], out["first_us"] = held, first
+        out[[f"prev_{c}" for c in PREVIOUS]] = np.nan if before is None else before
+        out["held"], out["first_us"], out["late"] = np.int32(0) + held, first, late
         for name, lists in zip(HISTORIES, hists):
-            out[name] = lists
-        yield out[output_schema().fieldNames()]
-
-    def _rearm(self, last_ms: int) -> None:
-        if self.idle_ms is None:
-            return
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last_ms + self.idle_ms)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.buffer.clear()
-        return iter([])
+            out[name] = pd.Series([[]] * len(out) if lists is None else lists, index=out.index, dtype=object)
+        return out[output_schema().fieldNames()]
 
     def close(self) -> None:
         pass
 
 
 def _ready(df: DataFrame) -> DataFrame:
-    return df.select("session_id", "pid", "seq", "timestamp", "ppid", "exe", "status",
+    entropy = F.coalesce(F.col("child_entropy").cast("double"), F.lit(0.0)) if "child_entropy" in df.columns else F.lit(0.0)
+    return df.select("session_id", "pid", "seq", "timestamp", "ppid", "exe", "status", entropy.alias("child_entropy"),
                      *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in PREVIOUS])
 
 
-def live_history(stream: DataFrame, late: str = "10 minutes", idle_seconds: float | None = None) -> DataFrame:
-    """The stream with each row's history. Rows later than the watermark are dropped.
+def live_history(stream: DataFrame, late_seconds: float = 600, idle_seconds: float | None = None) -> DataFrame:
+    """The stream with each row's history. No row is dropped: late ones come out with ``late`` set.
 
-    State is one buffer of 20 samples per process. Without ``idle_seconds`` it is kept for good;
-    with it, a process that stays silent that long (in event time) is forgotten.
+    State is one buffer of 20 samples per process seen. With ``idle_seconds``, a process that returns
+    after a silence of that length (in event time) starts anew, as a reused process id does.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    return (_ready(stream.withWatermark("timestamp", late)).groupBy("session_id", "pid")
-            .transformWithStateInPandas(HistoryProcessor(idle_seconds), output_schema(), "Append", "EventTime"))
+    return (_ready(stream).groupBy("session_id", "pid").transformWithStateInPandas(
+        HistoryProcessor(int(late_seconds * 1e6), idle_seconds), output_schema(), "Append", "None"))
 
 
 def batch_history(df: DataFrame, keys=("session_id", "pid"), limit: int | None = None) -> DataFrame:
-    """The same columns for a table, by windows."""
+    """The same columns for a table, by windows; in a table nothing is late."""
     s = process_series(_ready(df), keys, halo=HELD, limit=limit)
     s.whole(first_us=F.min(F.unix_micros("timestamp")))
-    s.add(held=F.least(s.index, F.lit(HELD)), **{f"prev_{c}": F.lag(c).over(s.w) for c in PREVIOUS},
+    s.add(held=F.least(s.index, F.lit(HELD)), late=F.lit(False), **{f"prev_{c}": F.lag(c).over(s.w) for c in PREVIOUS},
           **{h: F.collect_list(c).over(s.last(HELD)) for h, c in HISTORIES.items()})
     return s.done()

@@ -1,3 +1,4 @@
+import pytest
 from conftest import at, by_seq, stream_rows
 from pyspark.sql import functions as F
 
@@ -102,3 +103,22 @@ def test_csv_stream_drops_undated_rows(spark, tmp_path):
     (tmp_path / "p.csv").write_text(f"{head}\n2024-01-01T00:00:01.500000+00:00,{line}\njunk,{line}\n")
     rows = logs.scan_process_stream(spark, str(tmp_path / "p.csv")).collect()
     assert len(rows) == 1 and rows[0].cpu == 1.5 and rows[0].ppid is None and rows[0].num_fds == 7
+
+
+def test_event_files_are_read_by_name_whatever_their_size(spark, tmp_path):
+    (tmp_path / "part-0").write_text("2024-01-01T00:00:00+00:00,anomaly_start\n")
+    (tmp_path / "part-1").write_text("2024-01-01T00:01:00+00:00,anomaly_end,a long detail that makes this file the larger one\n"
+                                     "2024-01-01T00:02:00+00:00,normal_start\n")
+    from telltale.sources import logs
+    got = logs.scan_event_log(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [(r.seq, r.event_type) for r in got] == [(0, "anomaly_start"), (1, "anomaly_end"), (2, "normal_start")]
+
+
+def test_sessions_round_trip_as_csv(spark, tmp_path):
+    from telltale.sources import logs, sinks
+    rows = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 1.5), ("b", 3, 2.5), ("b", 4, 3.5)], "session_id string, pid long, cpu double")
+    for fmt in ("csv", "parquet"):
+        back = logs.scan_sessions(spark, sinks.sink_labeled(rows, str(tmp_path / fmt), fmt), fmt=fmt)
+        assert {(r.session_id, int(r.pid), float(r.cpu)) for r in back.collect()} == {tuple(r) for r in rows.collect()}
+    with pytest.raises(FileNotFoundError):
+        logs.scan_sessions(spark, str(tmp_path / "csv"), ["session_id=absent"])
