@@ -475,8 +475,8 @@ def _(spark, sf):
 
 
 def _rank_sql(c: str) -> str:
-    expr = (f"(rank() over (partition by session_id, pid order by {c}) + (count(*) over (partition by session_id, pid, {c}) - 1) / 2.0)"
-            " / count(*) over (partition by session_id, pid)")
+    expr = (f"(case when {c} is not null then rank() over (partition by session_id, pid order by {c} nulls last) end + (count(*) over (partition by session_id, pid, {c}) - 1) / 2.0)"
+            f" / count({c}) over (partition by session_id, pid)")
     return f"{o.r(expr)} as {c}_pct_rank"
 
 
@@ -959,6 +959,9 @@ def _(spark, sf):
 # ---- machine learning --------------------------------------------------------------------------
 # Small presets: full ones (hundreds of deep trees) are for training jobs, not for checks.
 SMALL = dict(maxIter=5, maxDepth=3)
+# Parameters and search space of the checks' own size: what is stored or drawn is what is fitted.
+SMALL_TUNED = {**ml.TUNED, "n_estimators": 5, "max_depth": 3}
+SMALL_SPACE = {**ml.SPACES["primary"], "n_estimators": (3, 6, "int"), "max_depth": (2, 4, "int")}
 MODEL_COLUMNS = [c for c in MODEL_FEATURES if c != "status"]
 _MODELS: dict[tuple, object] = {}
 
@@ -1084,13 +1087,13 @@ def _(spark, sf):
 @query("train_tuned")
 def _(spark, sf):
     train, validation, test = _parts(spark, sf)
-    _, scored = _fitted(spark, sf, "tuned", lambda: training.train_tuned(train.unionByName(validation), test, MODEL_COLUMNS, **SMALL))
+    _, scored = _fitted(spark, sf, "tuned", lambda: training.train_tuned(train.unionByName(validation), test, MODEL_COLUMNS, SMALL_TUNED))
     return scored.select("model", "seq", "label", *_r("score"), "pred")
 
 
 def _trials(spark, sf):
     train, validation, test = _parts(spark, sf)
-    return _fitted(spark, sf, "tune", lambda: training.tune_and_refit(train, validation, test, MODEL_COLUMNS, trials=3, maxIter=4, maxDepth=3))
+    return _fitted(spark, sf, "tune", lambda: training.tune_and_refit(train, validation, test, MODEL_COLUMNS, trials=3, space=SMALL_SPACE))
 
 
 @query("tune")

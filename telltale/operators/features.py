@@ -127,17 +127,17 @@ def fill_forward_back(s: Series, columns=USAGE) -> Series:
 
 
 def percentile_rank(df: DataFrame, keys=("session_id", "pid"), columns=USAGE) -> DataFrame:
-    """Average-tie rank divided by group size, for rows of each process."""
+    """Average-tie rank among a process's known values, divided by their number; null where the value is null."""
     keys = list(keys)
     fits = plan_blocks(df, keys, F.col(columns[0])) is None
     for c in columns:
         name = f"{c}_pct_rank"
         if fits:
             group, ties = Window.partitionBy(*keys), Window.partitionBy(*keys, c)
-            df = df.withColumn(name, (F.rank().over(group.orderBy(c)) + (F.count(F.lit(1)).over(ties) - 1) / 2)
-                               / F.count(F.lit(1)).over(group))
+            rank = F.rank().over(group.orderBy(F.col(c).asc_nulls_last())) + (F.count(F.lit(1)).over(ties) - 1) / 2
+            df = df.withColumn(name, F.when(F.col(c).isNotNull(), rank / F.count(c).over(group)))
             continue
-        counts = pinned(df.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_t")))
+        counts = pinned(df.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_t")))
         s = Series(counts, keys, (c,)).running(F.sum, _upto=F.col("_t")).whole(_all=F.sum("_t"))
         ranks = s.done().select(*keys, c, ((F.col("_upto") - (F.col("_t") - 1) / 2) / F.col("_all")).alias(name))
         df = df.join(ranks, keys + [c], "left")

@@ -186,13 +186,13 @@ def score_stacking(df: DataFrame, fitted) -> DataFrame:
     return out.select(*df.columns, probability().alias("score"), F.col("prediction").cast("int").alias("pred"))
 
 
-def draw_trials(preset: str = "primary", trials: int = 50, seed: int = SEED) -> list[dict]:
-    """Seeded random parameter sets; learning rates are log-uniform."""
+def draw_trials(preset: str = "primary", trials: int = 50, seed: int = SEED, space: dict | None = None) -> list[dict]:
+    """Seeded random parameter sets from the preset's space, or from ``space``; learning rates are log-uniform."""
     rng = random.Random(seed)
     out = []
     for _ in range(trials):
         one = {}
-        for name, (low, high, kind) in SPACES[preset].items():
+        for name, (low, high, kind) in (space or SPACES[preset]).items():
             if kind == "int":
                 one[name] = rng.randint(low, high)
             elif kind == "log":
@@ -204,26 +204,29 @@ def draw_trials(preset: str = "primary", trials: int = 50, seed: int = SEED) ->
 
 
 def tune(train: DataFrame, validation: DataFrame, features: list[str], preset: str = "primary", trials: int = 50,
-         parallelism: int = 2, seed: int = SEED, **overrides) -> list[tuple[int, dict, float]]:
-    """(trial, parameters, validation ROC-AUC) of each random trial, several fitted at a time."""
+         parallelism: int = 2, seed: int = SEED, space: dict | None = None) -> list[tuple[int, dict, float]]:
+    """(trial, parameters, validation ROC-AUC) of each random trial, several fitted at a time.
+
+    Every fit uses exactly the parameters drawn for it.
+    """
     def run(numbered):
         i, params = numbered
-        model = fit_gbt(train, features, preset, **{**spark_params(params), **overrides})
+        model = fit_gbt(train, features, preset, **spark_params(params))
         auc = metrics.roc_auc(score_rows(validation, model)).first().roc_auc
         return i, params, float(auc)
 
     with ThreadPoolExecutor(parallelism) as pool:
-        return list(pool.map(run, enumerate(draw_trials(preset, trials, seed))))
+        return list(pool.map(run, enumerate(draw_trials(preset, trials, seed, space))))
 
 
-def tuning_history(spark: SparkSession, results: list[tuple[int, dict, float]]) -> DataFrame:
+def tuning_history(spark: SparkSession, results: list[tuple[int, dict, float]], baseline: float = BASELINE_AUC) -> DataFrame:
     """One row per trial: parameters, score, whether it is the best, gain over the baseline."""
     rows = [(i, {k: float(v) for k, v in p.items()}, auc) for i, p, auc in results]
     df = spark.createDataFrame(rows, "trial int, params map<string,double>, roc_auc double")
     best = df.agg(F.max_by("trial", F.struct("roc_auc", -F.col("trial"))).alias("_best"))
     return df.join(F.broadcast(best)).select(  # one row per trial
         "trial", "params", "roc_auc", (F.col("trial") == F.col("_best")).alias("best"),
-        (F.col("roc_auc") - BASELINE_AUC).alias("gain"))
+        (F.col("roc_auc") - F.lit(baseline)).alias("gain"))
 
 
 def best_trial(results: list[tuple[int, dict, float]]) -> dict:

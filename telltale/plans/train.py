@@ -16,9 +16,9 @@ def test_scores(test: DataFrame, model, name: str) -> DataFrame:
 
 
 def train_tuned(train: DataFrame, test: DataFrame, features: list[str], tuned: dict = ml.TUNED, preset: str = "primary",
-                name: str = "tuned", **overrides):
-    """Fit with stored parameters: (model, scored test rows)."""
-    model = ml.fit_gbt(train, features, preset, **{**ml.spark_params(tuned), **overrides})
+                name: str = "tuned"):
+    """Fit with exactly the stored parameters: (model, scored test rows)."""
+    model = ml.fit_gbt(train, features, preset, **ml.spark_params(tuned))
     return model, test_scores(test, model, name)
 
 
@@ -47,9 +47,9 @@ def keep_best(models: dict, results: DataFrame, path: str) -> str:
 
 
 def tune_and_refit(train: DataFrame, validation: DataFrame, test: DataFrame, features: list[str],
-                   preset: str = "primary", trials: int = 50, **overrides):
-    """Search on train/validation, refit on both, score the test rows once."""
-    results = ml.tune(train, validation, features, preset, trials, **overrides)
+                   preset: str = "primary", trials: int = 50, space: dict | None = None):
+    """Search on train/validation, refit the best draw on both, score the test rows once."""
+    results = ml.tune(train, validation, features, preset, trials, space=space)
     both = train.unionByName(validation)
-    model, scored = train_tuned(both, test, features, ml.best_trial(results), preset, **overrides)
+    model, scored = train_tuned(both, test, features, ml.best_trial(results), preset)
     return results, model, scored

@@ -50,6 +50,16 @@ def test_tied_ranks(spark):
     assert by_seq(ft.percentile_rank(df), "cpu_pct_rank") == {0: 0.5, 1: 0.5, 2: 1.0}
 
 
+def test_ranks_leave_nulls_out_in_both_paths(spark):
+    df = stream_rows(spark, [{"cpu": v} for v in (None, 3.0, 1.0, None, 1.0, 5.0, 2.0, None, 4.0)])
+    want = {0: None, 1: 4 / 6, 2: 0.25, 3: None, 4: 0.25, 5: 1.0, 6: 0.5, 7: None, 8: 5 / 6}
+    for limit in ("1000", "4"):
+        spark.conf.set("spark.telltale.rowsPerBlock", limit)
+        got = by_seq(ft.percentile_rank(df, columns=("cpu",)), "cpu_pct_rank")
+        assert got.keys() == want.keys() and all(v is None if want[k] is None else abs(v - want[k]) < 1e-12 for k, v in got.items()), limit
+    spark.conf.unset("spark.telltale.rowsPerBlock")
+
+
 def test_fill_forward_back(spark):
     df = stream_rows(spark, [{"cpu": None}, {"cpu": 4.0}, {"cpu": None}, {"cpu": None, "pid": 2}])
     assert by_seq(ft.fill_forward_back(process_series(df)).done(), "cpu") == {0: 4.0, 1: 4.0, 2: 4.0, 3: 0.0}

@@ -92,7 +92,10 @@ def test_train_compare_save_and_load(spark, rows):
 
 
 def test_tuning(spark, rows):
-    results, _, scored = training.tune_and_refit(*rows, FEATURES, trials=2, **SMALL)
+    space = {**ml.SPACES["primary"], "n_estimators": (2, 3, "int"), "max_depth": (2, 3, "int")}
+    results, model, scored = training.tune_and_refit(*rows, FEATURES, trials=2, space=space)
+    best = ml.spark_params(ml.best_trial(results))
+    assert model.stages[1].getOrDefault("maxIter") == best["maxIter"] and model.stages[1].getOrDefault("maxDepth") == best["maxDepth"]
     assert scored.count() == 100 and len(results) == 2
     history = ml.tuning_history(spark, results).collect()
     assert sum(r.best for r in history) == 1 and max(r.roc_auc for r in history) == [r.roc_auc for r in history if r.best][0]
