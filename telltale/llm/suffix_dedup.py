@@ -172,7 +172,7 @@ def run_texts(packed: DataFrame, shared: DataFrame, key_buckets: int, buckets: i
         out: dict[str, list] = {name: [] for name in kinds.names}
         if left.num_rows and right.num_rows:
             head = left.to_pylist()[0]
-            c, zip_ = Chunk(head["packed"], head["ids"], head["sizes"], length), zstandard.ZstdCompressor(level=3)
+            c, zip_ = Chunk(head["packed"], head["ids"], head["sizes"], length), zstandard.ZstdCompressor(level=1)
             state = _states(c.key, right, key_buckets)
             found: dict[bytes, list[int]] = {}
             for i in np.flatnonzero(state):
@@ -262,9 +262,11 @@ def collection_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
         joined = (k > 0) & (before[at] == before[above])
         shared = np.zeros(len(k), np.uint8)
         if joined.any():
-            pairs = np.empty(2 * int(joined.sum()), np.int64)
-            pairs[::2], pairs[1::2] = above[joined] + 1, at[joined] + 1
-            shared[joined] = np.minimum.reduceat(np.r_[prefix, np.uint8(255)], pairs)[::2] + np.uint8(1)
+            # from the back, so that no range is reduced between one pair's end and the next one's start
+            back = np.flatnonzero(joined)[np.argsort(-above[joined])]
+            pairs = np.empty(2 * len(back), np.int64)
+            pairs[::2], pairs[1::2] = above[back] + 1, at[back] + 1
+            shared[back] = np.minimum.reduceat(np.r_[prefix, np.uint8(255)], pairs)[::2] + np.uint8(1)
         new += m
         old = np.ones(total, bool)
         old[new] = False
@@ -314,12 +316,12 @@ def answers(runs: DataFrame, length: int) -> DataFrame:
         best: list[np.ndarray | None] = [None] * len(texts)
         by_key = np.argsort(key, kind="stable")
         cut = np.flatnonzero(np.r_[True, key[by_key][1:] != key[by_key][:-1], True])
-        several = [by_key[a:b] for a, b in zip(cut, cut[1:]) if b - a > 1]
-        while several:  # whole keys together, COLLECTION texts or one key at a time
-            part = [several.pop()]
-            while several and sum(map(len, part)) + len(several[-1]) <= COLLECTION:
-                part.append(several.pop())
-            part = np.concatenate(part)
+        size = np.diff(cut)
+        grouped = by_key[np.repeat(size > 1, size)]  # texts under keys that have several
+        ends = np.cumsum(size[size > 1])
+        # whole keys together, about COLLECTION texts at a time
+        last = np.flatnonzero(np.diff((ends - 1) // COLLECTION, append=-1) != 0)
+        for part in np.split(grouped, ends[last][:-1]) if len(grouped) else []:
             windows, starts = least_ids([texts[i] for i in part], ids[part], length)
             low, high = np.minimum.reduceat(windows, starts), np.maximum.reduceat(windows, starts)
             ids[part] = low
