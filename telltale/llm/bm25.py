@@ -1,16 +1,17 @@
 """Exact top-k search: BM25 over sharded inverted indexes with block-max pruning.
 
 Documents are indexed in shards of about SHARD_BYTES, each written as one row: terms, and for each term
-the documents with their counts. Scores use statistics of the whole table (documents, mean length, document
+the documents with their counts. Terms of more than a DENSE-th of a shard's documents are a matrix there, so their
+sums for many queries are one product. Scores use statistics of the whole table (documents, mean length, document
 frequency of each query term), so shard results merge exactly. Postings are grouped in blocks of
-BLOCK document numbers. A query adds up, block by block, the largest contribution of each of its terms;
-only blocks whose sum can reach the k-th best score so far are scored, most promising ones first. The k-th
+BLOCK document numbers. A query's bound for a block is the best sum of frequent terms there plus the largest
+contribution of each of its other terms; only blocks whose sum can reach the k-th best score so far are scored, most promising ones first. The k-th
 score carries over from shard to shard within a task, and every task hands on k rows a query.
 
 Queries are a table of texts, taken in blocks of at most QUERY_BYTES that are sent to all shards; all
 distinct words of a query count once. Contribution of a term: ln(1 + (N - df + 0.5) / (df + 0.5)) *
 tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length)). Only documents with a word in common are
-returned, ordered by score, then id.
+returned, ordered by score (to DIGITS digits, so that equal texts tie), then id.
 
 Defined cases: null and empty texts are never found and find nothing; rows with the same id are
 found each; rows without an id are indexed with id null last among ties; an empty table gives an empty result.
@@ -32,6 +33,9 @@ from telltale.session import materialized
 K1, B, K = 1.2, 0.75, 10
 SHARD_BYTES, QUERY_BYTES = 16 << 20, 16 << 20
 BLOCK = 32
+DENSE = 8
+DIGITS = 9
+TOGETHER = 256  # queries whose frequent terms are summed in one product
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -81,12 +85,31 @@ class Shard:
         self.most = np.maximum.reduceat(self.part, group) if len(group) else np.zeros(0)
         self.groups = np.searchsorted(group, np.r_[self.start, len(term)])
         self.n, self.blocks = len(self.ids), -(-len(self.ids) // BLOCK)
-
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        frequent = np.flatnonzero(df * DENSE > self.n)
+        self.row = np.full(len(df) + 1, -1)  # the last one stands for words that the shard lacks
+        self.row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), self.n))
+        posting, of = _ranges(self.start[frequent], self.start[frequent] + df[frequent])
+        self.dense[of, self.docs[posting]] = self.part[posting]
+
+    def sums(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """For each query (terms, idf) and document, the sum over the query's frequent terms."""
+        weight = np.zeros((len(queries), len(self.dense)))
+        for i, (terms, idf) in enumerate(queries):
+            row = self.row[terms]
+            weight[i, row[row >= 0]] = idf[row >= 0]
+        return weight @ self.dense
+
+    def search(self, terms: np.ndarray, idf: np.ndarray, base: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Document numbers and scores that may be among the best k, given k scores of at least ``least``."""
+        if not self.n:
+            return np.zeros(0, np.int64), np.zeros(0)
+        rare = self.row[terms] < 0
+        terms, idf = terms[rare], idf[rare]
         group, of = _ranges(self.groups[terms], self.groups[terms + 1])
         weight = idf[of]
-        bound = np.bincount(self.block[group], weight * self.most[group], self.blocks)
+        bound = (np.bincount(self.block[group], weight * self.most[group], self.blocks)
+                 + np.maximum.reduceat(base, np.arange(0, self.n, BLOCK)))
         touched = np.flatnonzero(bound > 0)
         order = touched[np.argsort(-bound[touched], kind="stable")]
         scores = np.zeros(0)
@@ -94,18 +117,18 @@ class Shard:
         step = -(-2 * k // BLOCK) + 1
         at = 0
         while at < len(order):
-            # sums of bounds and of scores may differ in the last bits
+            # sums of bounds and rounded scores may differ in the last bits
             part = order[at:at + step]
-            part = part[bound[part] * (1 + 1e-9) >= least]
+            part = part[bound[part] * (1 + 1e-9) + 1e-8 >= least]
             if not len(part):
                 break
             wanted = np.zeros(self.blocks, bool)
             wanted[part] = True
             use = wanted[self.block[group]]
             posting, which = _ranges(self.first[group[use]], self.first[group[use] + 1])
-            total = np.bincount(self.docs[posting], weight[use][which] * self.part[posting], self.n)
-            hit = np.flatnonzero(total)
-            found, scores = np.r_[found, hit], np.r_[scores, total[hit]]
+            total = base + np.bincount(self.docs[posting], weight[use][which] * self.part[posting], self.n)
+            hit = np.flatnonzero((total > 0) & np.repeat(wanted, BLOCK)[:self.n])
+            found, scores = np.r_[found, hit], np.r_[scores, np.round(total[hit], DIGITS)]
             if len(scores) > k:
                 best = np.argpartition(-scores, k - 1)
                 cut = scores[best[k - 1]]
@@ -182,15 +205,15 @@ def _search_block(index: DataFrame, block: list[tuple[int, list[bytes]]], n: int
             for row in batch.to_pylist():
                 shard = Shard(row, mean)
                 own = np.fromiter((shard.terms.get(w, -1) for w in terms), np.int64, len(terms))
-                for i, (_, ts) in enumerate(asked):
-                    here = own[ts]
-                    here, weight = here[here >= 0], idf[ts[here >= 0]]
-                    ids, scores = kept[i]
-                    found, more = shard.search(here, weight, k, scores.min() if len(scores) >= k else 0.0)
-                    if len(found):
-                        ids, scores = np.r_[ids, shard.ids[found]], np.r_[scores, more]
-                        order = np.lexsort((ids, -scores))[:k]
-                        kept[i] = ids[order], scores[order]
+                for begin in range(0, len(asked), TOGETHER):
+                    part = [(here[here >= 0], idf[ts[here >= 0]]) for _, ts in asked[begin:begin + TOGETHER] for here in (own[ts],)]
+                    for i, (query, base) in enumerate(zip(part, shard.sums(part)), begin):
+                        ids, scores = kept[i]
+                        found, more = shard.search(*query, base, k, scores.min() if len(scores) >= k else 0.0)
+                        if len(found):
+                            ids, scores = np.r_[ids, shard.ids[found]], np.r_[scores, more]
+                            order = np.lexsort((ids, -scores))[:k]
+                            kept[i] = ids[order], scores[order]
         ids, scores = np.concatenate([x[0] for x in kept]), np.concatenate([x[1] for x in kept])
         of = np.repeat([q for q, _ in asked], [len(x[0]) for x in kept])
         yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(scores)],
