@@ -117,8 +117,8 @@ def signatures(docs: DataFrame, width: int, hashes: int) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, minima binary, sketch binary")
 
 
-def buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(bucket, band, id): one row for each band of a representative."""
+def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(id, sketch, keys): keys holds the bucket of each band (little-endian 64-bit)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,11 +128,23 @@ def buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:
             key = np.arange(bands, dtype=np.uint64)[None, :] + np.uint64(1)
             for r in range(rows):
                 key = mix(key + sig[:, :, r] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()),
-                                              pa.array(np.tile(np.arange(bands, dtype=np.int32), len(sig))),
-                                              pa.array(np.repeat(batch.column("id").to_numpy(), bands))], ["bucket", "band", "id"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sketch"),
+                                              pa.array([k.astype("<u8").tobytes() for k in key], pa.binary())], ["id", "sketch", "keys"])
 
-    return reps.select("id", "minima").mapInArrow(cut, "bucket long, band int, id long")
+    return docs.select("id", "sketch", "minima").mapInArrow(cut, "id long, sketch binary, keys binary")
+
+
+def buckets(reps: DataFrame) -> DataFrame:
+    """(bucket, id): one row for each band of a representative."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = _matrix(batch.column("keys"), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("id").to_numpy(), keys.shape[1]))],
+                                                 ["bucket", "id"])
+
+    return reps.select("id", "keys").mapInArrow(cut, "bucket long, id long")
 
 
 def _matrix(column: pa.Array, kind: str = "u1") -> np.ndarray:
@@ -204,17 +216,17 @@ def _linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     return both > 0 and 100 * both >= threshold * (len(a) + len(b) - both)
 
 
-def _across(all_buckets: DataFrame, parts: DataFrame, reps: DataFrame, pool: DataFrame, width: int, threshold: int,
-            bands: int) -> DataFrame:
+def _across(all_buckets: DataFrame, parts: DataFrame, reps: DataFrame, pool: DataFrame, width: int, threshold: int) -> DataFrame:
     """Links (a, b) that join different components of a bucket: enough of them to connect what is connected.
 
     A bucket's rows are dealt over tiles of about TILE rows by a hash of the id; each pair of tiles meets
-    in one group, with sketches and texts. There a pair is confirmed on its full sets unless its
-    components are connected already, most similar partners first; a pair that shares several
-    buckets is looked at in the first of their bands. No group hands on more links than it has rows.
+    in one group, with sketches, bucket keys and texts. There a pair is confirmed on its full sets unless
+    its components are connected already, most similar partners first; a pair that shares several
+    buckets is looked at in the first of them, by the very keys that make the buckets. No group hands on
+    more links than it has rows.
     """
-    placed = (all_buckets.select("bucket", "band", "id").join(parts, "id", "left")
-              .select("bucket", "band", "id", F.coalesce("component", "id").alias("component")))
+    placed = (all_buckets.select("bucket", "id").join(parts, "id", "left")
+              .select("bucket", "id", F.coalesce("component", "id").alias("component")))
     several = (placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
                .where("lo < hi").select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
     spread = (placed.join(several, "bucket").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
@@ -224,8 +236,8 @@ def _across(all_buckets: DataFrame, parts: DataFrame, reps: DataFrame, pool: Dat
 
     def pair(table: pa.Table) -> pa.Table:
         ids, comp, tile = (table.column(c).to_numpy() for c in ("id", "component", "tile"))
-        x, y, band = (table.column(c)[0].as_py() for c in ("x", "y", "band"))
-        sig, packed = _matrix(table.column("sketch")), table.column("packed")
+        x, y, bucket = (table.column(c)[0].as_py() for c in ("x", "y", "bucket"))
+        sig, keys, packed = _matrix(table.column("sketch")), _matrix(table.column("keys"), "<i8"), table.column("packed")
         shingles, unzip = Shingles(width), zstandard.ZstdDecompressor()
         sets: dict[int, np.ndarray] = {}
         root = {c: c for c in comp.tolist()}
@@ -243,11 +255,11 @@ def _across(all_buckets: DataFrame, parts: DataFrame, reps: DataFrame, pool: Dat
         out = []
         for i in np.flatnonzero(tile == x).tolist():
             js = np.flatnonzero((comp != comp[i]) & (tile == y) & ((ids > ids[i]) | (x != y)))
-            same = sig[js] == sig[i]
-            alike = same.mean(axis=1)
+            alike = (sig[js] == sig[i]).mean(axis=1)
             keep = alike >= least
-            js, same, alike = js[keep], same[keep], alike[keep]
-            here = same.reshape(len(js), bands, sig.shape[1] // bands).all(axis=2).argmax(axis=1) == band
+            js, alike = js[keep], alike[keep]
+            shared = keys[js] == keys[i]
+            here = shared.any(axis=1) & (keys[i][shared.argmax(axis=1)] == bucket)
             for j in js[here][np.argsort(-alike[here], kind="stable")].tolist():
                 a, b = find(int(comp[i])), find(int(comp[j]))
                 if a != b and _linked(shingled(i), shingled(j), threshold):
@@ -257,7 +269,7 @@ def _across(all_buckets: DataFrame, parts: DataFrame, reps: DataFrame, pool: Dat
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     rows = (spread.join(reps, "id").join(pool.withColumnRenamed("doc_id", "id"), "id")
-            .select("bucket", "x", "y", "band", "id", "component", "tile", "sketch", "packed"))
+            .select("bucket", "x", "y", "id", "component", "tile", "sketch", "keys", "packed"))
     return rows.groupBy("bucket", "x", "y").applyInArrow(pair, "a long, b long").distinct()
 
 
@@ -273,15 +285,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75, bands:
     chosen = (signed.where("doc_id is not null")
               .join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
               .withColumnRenamed("doc_id", "id"))
-    reps = materialized(chosen.select("id", "sketch").distinct(), "reps")
+    reps = materialized(banded(chosen.select("id", "sketch", "minima").distinct(), bands, rows), "reps")
     least = threshold / 100 - MARGIN
 
-    all_buckets = materialized(_shared(buckets(chosen.select("id", "minima").distinct(), bands, rows)), "buckets")
+    all_buckets = materialized(_shared(buckets(reps)), "buckets")
     pool = materialized(_pool(given, all_buckets.select("id").distinct()), "pool")
     first = (all_buckets.where(F.col("id") != F.col("least"))
              .groupBy(F.col("id").alias("b")).agg(F.min("least").alias("a")))
     links = materialized(_confirmed(_alike(first, reps, least), pool, width, threshold), "links")
-    more = _across(all_buckets, materialized(components(links), "parts"), reps, pool, width, threshold, bands)
+    more = _across(all_buckets, materialized(components(links), "parts"), reps, pool, width, threshold)
     links = materialized(links.unionByName(more), "links")
     # rows with one id are one document, so its sets are linked as well
     same = members.where("rep is not null and doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))

@@ -174,6 +174,22 @@ def test_near_copies_over_tiles(spark, monkeypatch):
     test_near_copies_and_chains(spark)
 
 
+def test_borderline_links_beside_a_smaller_id(spark):
+    """Thousands of chains a - b - c near the threshold, in which a shares buckets with c but no link."""
+    r, rows, want = random.Random(11), [], {}
+    for g in range(2000):
+        a = [f"w{g}x{k}" for k in range(100)]
+        n, m = r.randrange(5, 8), r.randrange(5, 8)
+        b = a[:10] + [f"b{g}x{k}" for k in range(n)] + a[10 + n:]
+        c = b[:80] + [f"c{g}x{k}" for k in range(m)] + b[80 + m:]
+        three = [(3 * g + k, " ".join(w)) for k, w in enumerate((a, b, c))]
+        rows += three
+        want |= {i: component for i, (_, component) in links_of(three).items()}
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(table(spark, rows)).collect()}
+    assert all(c == i - i % 3 for i, c in want.items()) and all(links_of([rows[k], rows[k + 2]])[k + 2][1] == k + 2 for k in range(0, 6000, 3))
+    assert {i: (c, got[i]) for i, c in want.items() if got[i] != c} == {}
+
+
 # -- repeated passages ------------------------------------------------------------------------------------
 def passages_left(rows, n=50):
     first, out = {}, {}
