@@ -1,8 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting, then sampling documents.
 
 Token counts are summed per cell (source, language, topic). Raking scales the cells' weights to the
-source, language and topic targets in turn, at most ROUNDS times (fewer once nothing moves); only the cells move, never the
-documents. A cell's inclusion probability is proportional to its raked weight over its share of tokens,
+source, language and topic targets in turn until no weight moves by TOLERANCE; only the cells move, never
+the documents. Where no weights meet all targets, that is where the rounds settle. Cells that may be
+broadcast are raked in one task, more of them in a written table a round. ``rounds`` ends it earlier, as
+in the SQL twin, which unrolls a fixed number. A cell's inclusion probability is proportional to its raked weight over its share of tokens,
 at most 1; the common factor is set so that the expected tokens kept are ``rate`` of all. A document stays
 if its uniform draw (from a hash of its id) is below its cell's probability, so results don't depend
 on partitions or retries.
@@ -17,16 +19,22 @@ sampled at ``rate``; an empty table gives an empty result. Extra columns are kep
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telltale.llm.common import text_or_empty, unused
-from telltale.session import broadcast_if_small, materialized
+from telltale.session import broadcast_if_small, materialized, within_broadcast_bound
 
 SIDES = ("source", "lang", "topic")
 ALPHA, RATE, SEED = 0.5, 0.9, "mix"
-ROUNDS, TOLERANCE = 10, 1e-12
-FACTOR_ROUNDS = 12
+TOLERANCE = 1e-12
+ROUNDS, FACTOR_ROUNDS = 10, 12  # what the SQL twin unrolls
 
 
 def topic_of(text: Column) -> Column:
@@ -62,12 +70,43 @@ def _shares(cells: DataFrame, side: str, given: dict[str, float] | None, alpha:
     return sums.join(sums.agg(F.sum("raw").alias("all_raw"))).select(side, (F.col("raw") / F.col("all_raw")).alias("target"))
 
 
-def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA) -> DataFrame:
+def _raked_at_once(cells: DataFrame, targets: dict[str, dict[str, float]], alpha: float, rounds: int | None) -> DataFrame:
+    """``raked`` in one task, over arrays."""
+
+    def rake(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        table = pa.Table.from_batches(rows)
+        tokens = table.column("tokens").to_numpy().astype(float)
+        weight, sides = tokens / max(tokens.sum(), 1.0), []
+        for side in SIDES:
+            code, values = pd.factorize(table.column(side).to_pandas())
+            sums, given = np.bincount(code, tokens, len(values)), targets.get(side)
+            raw = np.where(sums > 0, sums ** alpha if given is None else [given.get(v, 0.0) for v in values], 0.0)
+            sides.append((code, raw / (raw.sum() or 1.0)))
+        for n in count(1):
+            before = weight
+            for code, target in sides:
+                have = np.bincount(code, weight, len(target))
+                weight = weight * np.divide(target, have, out=np.zeros(len(have)), where=have > 0)[code]
+            if np.abs(weight - before).max() < TOLERANCE or n == rounds:
+                break
+        yield from table.append_column("weight", pa.array(weight)).to_batches()
+
+    return (cells.select(*SIDES, F.col("tokens").cast("long")).coalesce(1)
+            .mapInArrow(rake, "source string, lang string, topic string, tokens long, weight double"))
+
+
+def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA,
+          rounds: int | None = None) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) with weight, the raked share of tokens."""
+    if within_broadcast_bound(cells):
+        return _raked_at_once(cells, targets or {}, alpha, rounds)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     now = materialized(cells.withColumn("weight", F.col("tokens") / F.lit(float(max(total, 1)))), "cells")
     wanted = {s: materialized(_shares(cells, s, (targets or {}).get(s), alpha), "targets") for s in SIDES}
-    for _ in range(ROUNDS):
+    for n in count(1):
         step = now.withColumn("before", F.col("weight"))
         for side in SIDES:
             sums = step.groupBy(side).agg(F.sum("weight").alias("have")).join(wanted[side], side)
@@ -75,7 +114,7 @@ def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
             step = scaled.withColumn("weight", F.when(F.col("have") > 0, F.col("weight") * F.col("target") / F.col("have"))
                                      .otherwise(F.lit(0.0))).drop("have", "target")
         now = materialized(step.withColumn("moved", F.abs(F.col("weight") - F.col("before"))).drop("before"), "cells")
-        if (now.agg(F.max("moved")).first()[0] or 0.0) < TOLERANCE:
+        if (now.agg(F.max("moved")).first()[0] or 0.0) < TOLERANCE or n == rounds:
             break
         now = now.drop("moved")
     return now.select(*SIDES, "tokens", "weight")
@@ -87,19 +126,19 @@ def probabilities(cells: DataFrame, rate: float = RATE) -> DataFrame:
     ratio = F.when(F.col("tokens") > 0, F.col("weight") * total / F.col("tokens")).otherwise(F.lit(1.0))
     cells = materialized(cells.withColumn("ratio", ratio), "ratios")
     factor = rate
-    for _ in range(FACTOR_ROUNDS):
+    while True:
         full = F.col("ratio") * factor >= 1
         sums = cells.agg(F.sum(F.when(full, F.col("tokens"))).alias("full"),
                          F.sum(F.when(~full, F.col("tokens") * F.col("ratio"))).alias("rest")).first()
         new = max(factor, (rate * total - (sums["full"] or 0)) / sums["rest"]) if sums["rest"] else factor
-        if new == factor:
+        if new - factor <= TOLERANCE * factor:
             break
         factor = new
     return cells.select(*SIDES, F.least(F.lit(1.0), F.col("ratio") * factor).alias("p"))
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA,
-          rate: float = RATE) -> DataFrame:
+          rate: float = RATE, rounds: int | None = None) -> DataFrame:
     """``docs`` with topic, tokens, inclusion probability and whether it is kept, in the last four columns.
 
     They are called _topic, _tokens, _p and _kept, with more underscores where ``docs`` has such columns.
@@ -108,7 +147,7 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, a
     p, kept = (unused(c, docs.columns) for c in ("_p", "_kept"))
     cells = materialized(rows.groupBy(F.col(source).alias("source"), F.col(lang).alias("lang"), F.col(topic).alias("topic"))
                          .agg(F.sum(tokens).alias("tokens")), "cells")
-    chances = probabilities(raked(cells, targets, alpha), rate).select(
+    chances = probabilities(raked(cells, targets, alpha, rounds), rate).select(
         F.col("source").alias(source), F.col("lang").alias(lang), F.col("topic").alias(topic), F.col("p").alias(p))
     found = rows.join(broadcast_if_small(materialized(chances, "chances")), [source, lang, topic])
     return found.select(*docs.columns, topic, tokens, p, (F.col(draw) < F.col(p)).alias(kept))

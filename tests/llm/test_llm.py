@@ -299,6 +299,35 @@ def test_raked_weights_meet_targets(spark):
                         0.5 * got.tokens.sum(), rel_tol=1e-6) and p.p.between(0, 1).all()
 
 
+def sparse_cells(spark):
+    """Skewed cells, most combinations missing, and targets that weights on those cells can meet."""
+    r = random.Random(2)
+    rows = [(f"s{a}", f"l{b}", f"t{c}", int(10 ** r.uniform(1, 6))) for a in range(20) for b in range(4) for c in range(5) if r.random() < 0.3]
+    wish = [10 ** r.uniform(0, 4) for _ in rows]
+    targets = {side: {} for side in mixing.SIDES}
+    for row, w in zip(rows, wish):
+        for side, value in zip(mixing.SIDES, row):
+            targets[side][value] = targets[side].get(value, 0.0) + w / sum(wish)
+    return spark.createDataFrame(rows, "source string, lang string, topic string, tokens long"), targets
+
+
+def test_raking_ends_at_the_targets_of_sparse_cells(spark):
+    cells, targets = sparse_cells(spark)
+    got = mixing.raked(cells, targets).toPandas()
+    for side, want in targets.items():
+        have = got.groupby(side).weight.sum()
+        assert all(math.isclose(have[k], v, abs_tol=1e-9) for k, v in want.items())
+
+
+def test_raking_by_table_and_at_once(spark, request):
+    cells, targets = sparse_cells(spark)
+    once = mixing.raked(cells, targets, rounds=2).toPandas()
+    request.getfixturevalue("no_broadcast")
+    by_table = mixing.raked(cells, targets, rounds=2).toPandas()
+    both = once.merge(by_table, on=list(mixing.SIDES))
+    assert len(both) == len(once) == len(by_table) and (both.weight_x - both.weight_y).abs().max() < 1e-12
+
+
 # -- chat -------------------------------------------------------------------------------------------------
 def test_roles_of_held_out_conversations(spark):
     got = queries.op9_chat(spark, "/root/testdata/sf0.01").toPandas()
