@@ -5,7 +5,8 @@ source, language and topic targets in turn until no weight moves by TOLERANCE; o
 the documents. Where no weights meet all targets, that is where the rounds settle. Cells that may be
 broadcast are raked in one task, more of them in a written table a round. ``rounds`` ends it earlier, as
 in the SQL twin, which unrolls a fixed number. A cell's inclusion probability is proportional to its raked weight over its share of tokens,
-at most 1; the common factor is set so that the expected tokens kept are ``rate`` of all. A document stays
+at most 1; the common factor is set so that the expected tokens kept are ``rate`` of all. Cells that reach 1
+fall short of their weights, at high rates most small ones; ``rate`` None is the largest without. A document stays
 if its uniform draw (from a hash of its id) is below its cell's probability, so results don't depend
 on partitions or retries.
 
@@ -120,11 +121,18 @@ def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     return now.select(*SIDES, "tokens", "weight")
 
 
-def probabilities(cells: DataFrame, rate: float = RATE) -> DataFrame:
-    """(source, lang, topic, p): least(1, factor * ratio), expected tokens being ``rate`` of all."""
+def probabilities(cells: DataFrame, rate: float | None = RATE) -> DataFrame:
+    """(source, lang, topic, p): least(1, factor * ratio), expected tokens being ``rate`` of all.
+
+    With ``rate`` None the factor is the largest at which no cell with tokens needs p > 1, so the expected
+    shares are the raked ones.
+    """
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     ratio = F.when(F.col("tokens") > 0, F.col("weight") * total / F.col("tokens")).otherwise(F.lit(1.0))
     cells = materialized(cells.withColumn("ratio", ratio), "ratios")
+    if rate is None:
+        most = cells.where("tokens > 0").agg(F.max("ratio")).first()[0]
+        return cells.select(*SIDES, F.least(F.lit(1.0), F.col("ratio") / F.lit(most or 1.0)).alias("p"))
     factor = rate
     while True:
         full = F.col("ratio") * factor >= 1
@@ -138,7 +146,7 @@ def probabilities(cells: DataFrame, rate: float = RATE) -> DataFrame:
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA,
-          rate: float = RATE, rounds: int | None = None) -> DataFrame:
+          rate: float | None = RATE, rounds: int | None = None) -> DataFrame:
     """``docs`` with topic, tokens, inclusion probability and whether it is kept, in the last four columns.
 
     They are called _topic, _tokens, _p and _kept, with more underscores where ``docs`` has such columns.

@@ -328,6 +328,16 @@ def test_raking_by_table_and_at_once(spark, request):
     assert len(both) == len(once) == len(by_table) and (both.weight_x - both.weight_y).abs().max() < 1e-12
 
 
+def test_largest_rate_keeps_the_target_shares(spark):
+    rows = [("hot", "x", "t", 10_000)] + [(f"s{k}", "x", "t", 1000 + k) for k in range(19)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    got = mixing.probabilities(mixing.raked(cells), None).toPandas().set_index("source").p
+    kept = {s: n * got[s] for s, _, _, n in rows}
+    roots = {s: n ** mixing.ALPHA for s, _, _, n in rows}
+    assert all(math.isclose(kept[s] / sum(kept.values()), roots[s] / sum(roots.values()), rel_tol=1e-9) for s in kept)
+    assert math.isclose(got.max(), 1.0)
+
+
 # -- chat -------------------------------------------------------------------------------------------------
 def test_roles_of_held_out_conversations(spark):
     got = queries.op9_chat(spark, "/root/testdata/sf0.01").toPandas()
