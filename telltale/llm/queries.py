@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telltale.llm import bm25, bpe, chat, class_lm, exact_dedup, minhash, mixing, secret_scan, suffix_dedup, toxicity
+from telltale.llm import (bm25, bpe, chat, class_lm, decontaminate, exact_dedup, fill_middle, minhash, mixing, ranked_search, secret_scan,
+                          suffix_dedup, toxicity)
 from telltale.llm.common import documents, remainder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -63,7 +64,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_search, op4_exact_dedup, op5_class_lm, op6_minhash, op7_suffix_dedup, op8_mixing, op9_chat, op10_bpe)}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.restore(fill_middle.fill_in_middle(documents(spark, sf_dir)))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_search, op4_exact_dedup, op5_class_lm, op6_minhash, op7_suffix_dedup, op8_mixing, op9_chat, op10_bpe, op11_fill_middle,
+                                   op12_decontaminate, op13_ranked_search)}
 
 ORACLES = {
     "op4_exact_dedup": r"""
@@ -87,4 +105,45 @@ with d as (select doc_id, list_filter(string_split_regex(regexp_replace(
 select query_id, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as rank, doc_id,
        round(score, 6) as score from r
 qualify rank <= 10""",
+    "op11_fill_middle": r"""
+with d as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+     n as (select doc_id, t, length(t) as n, list_transform([1, 9, 17, 25], lambda k: cast('0x' || substr(h, k, 8) as bigint)) as h from d),
+     c as (select doc_id, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) as a, greatest(h[1] % (n + 1), h[2] % (n + 1)) as b,
+                  case when n = 0 or regexp_matches(t, '<[PSM]>') or h[3] % 100 >= 90 then 'plain'
+                       when h[4] % 100 < 20 then 'spm' else 'psm' end as form from n),
+     p as (select *, substring(t, 1, a) as x, substring(t, a + 1, b - a) as y, substring(t, b + 1) as z from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || x || '<S>' || z || '<M>' || y
+              else '<S>' || z || '<P>' || x || '<M>' || y end) as output_sha256, sha256(t) as restored_sha256 from p""",
+    "op12_decontaminate": r"""
+with raw as (select 'd' as kind, row_number() over () as row, doc_id as id, text from documents
+             union all select 'b', row_number() over (), item_id, text from benchmark),
+     w as (select kind, row, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from raw),
+     runs as (select distinct id, w[s:s + least(len(w), 10) - 1] as run from
+                (select id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as s from w where kind = 'b' and len(w) > 0)),
+     sizes as (select distinct len(run) as n from runs),
+     found as (select row, s, n, run from (select row, s, n, w[s:s + n - 1] as run from
+                (select row, w, n, unnest(range(1, len(w) - n + 2)) as s from w, sizes where kind = 'd' and len(w) >= n))
+               where run in (select run from runs)),
+     hit as (select row, count(distinct p) as n_hit from (select row, unnest(range(s, s + n)) as p from found) group by 1),
+     items as (select row, list_sort(list(distinct cast(id as varchar))) as ids from found join runs using (run) group by 1)
+select w.id as doc_id, len(w.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(len(ids), 0) as n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256, n_hit is not null as contaminated
+from w left join hit using (row) left join items using (row) where kind = 'd'""",
+    "op13_ranked_search": r"""
+with raw as (select 'd' as kind, row_number() over () as row, doc_id as id, text from documents
+             union all select 'b', row_number() over (), item_id, text from benchmark),
+     t as (select kind, row, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from raw),
+     g as (select kind, row, id, term, count(*) as times from t group by all),
+     n as (select row, cast(sum(times) as bigint) as n from g where kind = 'd' group by 1),
+     s as (select count(*) as docs, cast(sum(n) as bigint) as l from n),
+     w as (select term, cast(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) as bigint) as w from g, s where kind = 'd' group by 1),
+     p as (select b.row, b.id as item_id, d.row as at, d.id as doc_id,
+                  cast(sum(b.times * w * ((1000000000 * d.times) // (1000 * d.times + 12 * (75 + (25 * n * docs) // l)))) as bigint) as score
+           from g b join w using (term) join g d using (term) join n on n.row = d.row, s
+           where b.kind = 'b' and d.kind = 'd' group by all)
+select item_id, cast(row_number() over (partition by row order by score desc, doc_id) as int) as rank, doc_id, score
+from p where score > 0 qualify rank <= 20""",
 }
