@@ -1,103 +1,98 @@
 """Ordered groups of any size, split into bounded blocks.
 
 A window over ``(session_id, pid)`` puts a whole series into one task. That is fine for ordinary
-processes and wrong for one that holds a third of all rows. ``Series`` keeps the plain window
-while every group fits ``rows_per_block`` rows. Larger groups are cut along their order into
-blocks; each block receives copies of the rows just before it (its halo), and running values
-are carried in from the blocks before. Results are the same either way.
+processes and wrong for one that holds a third of all rows. ``Series`` counts rows per group first and
+routes by the result: groups of up to ``rows_per_block`` rows stay in the plain window and are not touched
+otherwise; only the rows of larger ones are written, in ranges of equal depth along their order. Each such
+block receives copies of the rows just before it (its halo), and running values are carried in from the
+blocks before. Results are the same either way.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telltale.session import broadcast_if_small, materialized, pinned, rows_per_block
+from telltale.session import broadcast_if_small, materialized, rows_per_block
 
-CELLS_PER_BLOCK = 16
-BLOCK, HOT, HALO = "_blk", "_hot", "_halo"
+BLOCK, HALO = "_blk", "_halo"
 
 
-@dataclass(frozen=True)
-class BlockMap:
-    """Hot groups and their order cells; both tables hold O(rows / rows_per_block) rows."""
+def split_hot(df: DataFrame, keys, limit: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups of up to ``limit`` rows, and those of larger ones (None where there are none).
 
-    keys: tuple[str, ...]
-    groups: DataFrame
-    cells: DataFrame
-
-
-def plan_blocks(df: DataFrame, keys, position: Column, limit: int | None = None) -> BlockMap | None:
-    """Find groups above ``limit`` rows; None when there are none.
-
-    ``position`` is a number that never decreases along the group's order. The pass reads only
-    the keys and the order column, and aggregates before it shuffles.
+    One pass over the keys finds the large groups, of which there are at most rows / limit.
     """
+    keys = list(keys)
     limit = limit or rows_per_block(df.sparkSession)
-    keys = tuple(keys)
-    narrow = df.select(*keys, position.alias("_b_p"))
-    groups = (
-        narrow.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_b_n"), F.min("_b_p").alias("_b_lo"), F.max("_b_p").alias("_b_hi"))
-        .where(F.col("_b_n") > limit)
-        .withColumn("_b_cells", (F.ceil(F.col("_b_n") / limit) * CELLS_PER_BLOCK).cast("long"))
-        .withColumn("_b_width", (F.col("_b_hi") - F.col("_b_lo")).cast("double") / F.col("_b_cells"))
-        .select(*keys, "_b_lo", "_b_cells",
-                F.when(F.col("_b_width") > 0, F.col("_b_width")).otherwise(F.lit(1.0)).alias("_b_width"))
-    )
-    if groups.limit(1).count() == 0:
-        return None
-    groups = pinned(groups)
-    before = Window.partitionBy(*keys).orderBy("_b_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (
-        narrow.join(broadcast_if_small(groups), list(keys))
-        .withColumn("_b_cell", _cell(F.col("_b_p")))
-        .groupBy(*keys, "_b_cell").agg(F.count(F.lit(1)).alias("_b_n"))
-        .withColumn(BLOCK, F.floor(F.coalesce(F.sum("_b_n").over(before), F.lit(0)) / limit).cast("long"))
-        .drop("_b_n")
-    )
-    return BlockMap(keys, groups, pinned(cells))
-
-
-def _cell(position: Column) -> Column:
-    raw = F.floor((position - F.col("_b_lo")) / F.col("_b_width")).cast("long")
-    return F.least(raw, F.col("_b_cells") - 1)
-
-
-def assign_blocks(df: DataFrame, blocks: BlockMap, position: Column) -> DataFrame:
-    """Add the block number (0 for ordinary groups) and the hot flag."""
-    keys = list(blocks.keys)
-    return (
-        df.withColumn("_b_p", position)
-        .join(broadcast_if_small(blocks.groups), keys, "left")
-        .withColumn("_b_cell", F.when(F.col("_b_lo").isNotNull(), _cell(F.col("_b_p"))))
-        .join(broadcast_if_small(blocks.cells), keys + ["_b_cell"], "left")
-        .withColumn(HOT, F.col("_b_lo").isNotNull())
-        .withColumn(BLOCK, F.coalesce(F.col(BLOCK), F.lit(0)).cast("long"))
-        .drop("_b_p", "_b_lo", "_b_cells", "_b_width", "_b_cell")
-    )
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_b_n")).where(F.col("_b_n") > limit).select(*keys)
+    if large.limit(1).count() == 0:
+        return df, None
+    large = broadcast_if_small(materialized(large, "hot-groups"))
+    same = [F.col(f"_g.{k}").eqNullSafe(F.col(f"_h.{k}")) for k in keys]
+    on = same[0]
+    for part in same[1:]:
+        on = on & part
+    return df.alias("_g").join(large.alias("_h"), on, "left_anti"), df.alias("_g").join(large.alias("_h"), on, "left_semi")
+
+
+def equal_depth(df: DataFrame, order: list[str], limit: int, name: str = BLOCK) -> DataFrame:
+    """The rows, written in ranges of ``order`` of at most ``limit`` rows; ``name`` numbers the ranges in order.
+
+    Range bounds are sampled, so depth follows the rows however their values are spread. Ranges that came out
+    too deep are split again on their own, and get a longer number ([3] becomes [3, 0], [3, 1] ...), until
+    that helps no more: only rows that agree in the whole order stay together beyond the limit, with their neighbours at most.
+    """
+    def ranges(rows: DataFrame, n: int) -> DataFrame:
+        return rows.repartitionByRange(max(1, math.ceil(2 * n / limit)), *order).withColumn(
+            name, F.concat(F.col(name), F.array(F.spark_partition_id())))
+
+    def too_deep(rows: DataFrame) -> DataFrame:
+        ends = F.struct(*order)
+        return (rows.groupBy(name).agg(F.count(F.lit(1)).alias("_b_n"), F.min(ends).alias("_b_lo"), F.max(ends).alias("_b_hi"))
+                .where((F.col("_b_n") > limit) & (F.col("_b_lo") != F.col("_b_hi"))).select(name, "_b_n"))
+
+    df = df.withColumn(name, F.array().cast("array<int>"))
+    done, before = [], math.inf
+    rows = materialized(ranges(df, df.count()), "ranges")
+    while True:
+        deep = materialized(too_deep(rows), "deep")
+        n = deep.agg(F.sum("_b_n")).first()[0] or 0
+        if n == 0 or n > 0.9 * before:
+            break
+        before, deep = n, broadcast_if_small(deep.select(name))
+        done.append(rows.join(deep, name, "left_anti"))
+        rows = materialized(ranges(rows.join(deep, name, "left_semi"), n), "ranges")
+    for part in done:
+        rows = rows.unionByName(part)
+    return rows
 
 
 class Series:
-    """Rows grouped by ``keys`` and totally ordered by ``order``, in blocks where needed."""
+    """Rows grouped by ``keys`` and totally ordered by ``order``; large groups in blocks.
 
-    def __init__(self, df: DataFrame, keys, order, position: Column | None = None, halo: int = 0,
-                 limit: int | None = None, blocks: BlockMap | None | str = "plan"):
+    ``cold`` has the ordinary groups, ``hot`` the rows of large ones with their blocks and halos, or is None.
+    Columns are added to both; windows made by the methods below are right for either.
+    """
+
+    def __init__(self, df: DataFrame, keys, order, halo: int = 0, limit: int | None = None):
         self.keys, self.order, self.halo = list(keys), list(order), halo
-        self.columns = df.columns
-        position = F.col(self.order[0]) if position is None else position
-        self.blocks = plan_blocks(df, keys, position, limit) if blocks == "plan" else blocks
+        self.cold, hot = split_hot(df, keys, limit)
+        self.hot: DataFrame | None = None
         self.part = self.keys
-        if self.blocks is not None:
-            # written once: the passes below then read only the columns and groups they need
-            df = materialized(assign_blocks(df, self.blocks, position), "blocks")
-            # HOT follows from the keys; as a window key it lets filters on it reach the scan
-            self.part = self.keys + [BLOCK, HOT]
-            df = self._with_halo(df, halo)
-        self.df = df
+        if hot is not None:
+            self.part = self.keys + [BLOCK]
+            blocks = equal_depth(hot, self.keys + [c for c in self.order if c not in self.keys], limit or rows_per_block(df.sparkSession))
+            self.hot = self._with_halo(blocks, halo)
+            self.cold = self.cold.withColumns({BLOCK: F.array().cast("array<int>"), HALO: F.lit(False)})
+
+    @property
+    def df(self) -> DataFrame:
+        """All rows, with blocks and halo copies."""
+        return self.cold if self.hot is None else self.cold.unionByName(self.hot)
 
     # -- windows ---------------------------------------------------------------------------
     @property
@@ -117,58 +112,69 @@ class Series:
         """1-based row number, exact up to the halo length and never below it after that."""
         return F.row_number().over(self.w)
 
-    def add(self, **columns: Column) -> "Series":
-        self.df = self.df.withColumns(columns)
+    def _each(self, change) -> "Series":
+        self.cold = change(self.cold)
+        if self.hot is not None:
+            self.hot = change(self.hot)
         return self
 
+    def add(self, **columns: Column) -> "Series":
+        return self._each(lambda df: df.withColumns(columns))
+
+    def drop(self, *names: str) -> "Series":
+        return self._each(lambda df: df.drop(*names))
+
     # -- values that span the whole group ----------------------------------------------------
     def whole(self, **aggs: Column) -> "Series":
         """Group-wide aggregates on every row."""
-        if self.blocks is None:
-            w = Window.partitionBy(*self.part)
-            return self.add(**{name: agg.over(w) for name, agg in aggs.items()})
-        self._join_hot(self._real_hot_rows(), aggs)
         w = Window.partitionBy(*self.part)
-        self.add(**{name: F.when(F.col(HOT), F.col(f"_w_{name}")).otherwise(agg.over(w)) for name, agg in aggs.items()})
-        self.df = self.df.drop(*[f"_w_{n}" for n in aggs])
+        self.cold = self.cold.withColumns({name: agg.over(w) for name, agg in aggs.items()})
+        if self.hot is not None:
+            self._join_hot(self._real_hot_rows(), aggs)
         return self
 
     def _real_hot_rows(self) -> DataFrame:
-        return self.df.where(F.col(HOT)).where(~F.col(HALO))
+        return self.hot.where(~F.col(HALO))
 
     def _join_hot(self, rows: DataFrame, aggs: dict[str, Column]) -> None:
         """Join one pre-aggregated row per hot group."""
-        table = pinned(rows.groupBy(*self.keys).agg(*[agg.alias(f"_w_{name}") for name, agg in aggs.items()]))
-        self.df = self.df.join(broadcast_if_small(table), self.keys, "left")
+        table = materialized(rows.groupBy(*self.keys).agg(*[agg.alias(name) for name, agg in aggs.items()]), "whole")
+        self.join_hot(table)
+
+    def join_hot(self, table: DataFrame, on: list[str] | None = None) -> None:
+        """Add the columns of a table of hot groups (or of their blocks) to the hot rows; null keys meet null keys."""
+        on = on or self.keys
+        new = [c for c in table.columns if c not in on]
+        right = broadcast_if_small(table.select(*[F.col(c).alias(f"_k_{i}") for i, c in enumerate(on)], *new))
+        met = F.lit(True)
+        for i, c in enumerate(on):
+            met = met & F.col(c).eqNullSafe(F.col(f"_k_{i}"))
+        self.hot = self.hot.join(right, met, "left").drop(*[f"_k_{i}" for i in range(len(on))])
 
     def head_mean(self, n: int, **columns: Column) -> "Series":
         """Mean over the first ``n`` rows of the group, on every row."""
         self.add(_i=self.index)
-        means = {name: F.avg(F.when(F.col("_i") <= n, c)) for name, c in columns.items()}
-        if self.blocks is None:
-            self.whole(**means)
-        elif self.halo < n:
-            raise ValueError(f"head_mean over {n} rows needs a halo of {n}")
-        else:  # the index is exact up to the halo length, and the head lies in the first blocks
-            head = self._real_hot_rows().where(F.col(BLOCK) < n).where(F.col("_i") <= n)
-            self._join_hot(head, {name: F.avg(c) for name, c in columns.items()})
-            w = Window.partitionBy(*self.part)
-            self.add(**{name: F.when(F.col(HOT), F.col(f"_w_{name}")).otherwise(mean.over(w)) for name, mean in means.items()})
-            self.df = self.df.drop(*[f"_w_{name}" for name in columns])
-        self.df = self.df.drop("_i")
-        return self
+        w = Window.partitionBy(*self.part)
+        self.cold = self.cold.withColumns({name: F.avg(F.when(F.col("_i") <= n, c)).over(w) for name, c in columns.items()})
+        if self.hot is not None:
+            if self.halo < n:
+                raise ValueError(f"head_mean over {n} rows needs a halo of {n}")
+            # the index is exact up to the halo length
+            self._join_hot(self._real_hot_rows().where(F.col("_i") <= n), {name: F.avg(c) for name, c in columns.items()})
+        return self.drop("_i")
 
     def running(self, fn, **values: Column) -> "Series":
         """Running ``fn`` (F.sum, F.max, F.min) from the first row of the group to this one."""
         upto = self.w.rowsBetween(Window.unboundedPreceding, 0)
-        if self.blocks is None:
-            return self.add(**{name: fn(value).over(upto) for name, value in values.items()})
+        self.cold = self.cold.withColumns({name: fn(value).over(upto) for name, value in values.items()})
+        if self.hot is None:
+            return self
         combine = (lambda a, b: a + b) if fn is F.sum else (F.greatest if fn is F.max else F.least)
         self._carry({f"_c_{n}": fn(v) for n, v in values.items()}, fn, Window.unboundedPreceding, -1)
-        self.add(**{f"_i_{n}": fn(F.when(~F.col(HALO), v)).over(upto) for n, v in values.items()})
+        self.hot = self.hot.withColumns({f"_i_{n}": fn(F.when(~F.col(HALO), v)).over(upto) for n, v in values.items()})
         for n in values:
             past, inside = F.col(f"_c_{n}"), F.col(f"_i_{n}")
-            self.df = self.df.withColumn(
+            self.hot = self.hot.withColumn(
                 n, F.when(past.isNull(), inside).when(inside.isNull(), past).otherwise(combine(past, inside))
             ).drop(f"_c_{n}", f"_i_{n}")
         return self
@@ -184,45 +190,49 @@ class Series:
                              self.w.rowsBetween(0, Window.unboundedFollowing))
 
     def _nearest(self, values, pick, pick_by, start, end, frame) -> "Series":
-        if self.blocks is None:
-            return self.add(**{n: pick(v, True).over(frame) for n, v in values.items()})
+        self.cold = self.cold.withColumns({n: pick(v, True).over(frame) for n, v in values.items()})
+        if self.hot is None:
+            return self
         at = F.struct(*self.order)
         self._carry({f"_c_{n}": pick_by(v, F.when(v.isNotNull(), at)) for n, v in values.items()},
                     lambda c: pick(c, True), start, end)
-        self.add(**{n: F.coalesce(pick(v, True).over(frame), F.col(f"_c_{n}")) for n, v in values.items()})
-        self.df = self.df.drop(*[f"_c_{n}" for n in values])
+        self.hot = self.hot.withColumns({n: F.coalesce(pick(v, True).over(frame), F.col(f"_c_{n}")) for n, v in values.items()})
+        self.hot = self.hot.drop(*[f"_c_{n}" for n in values])
         return self
 
     def _carry(self, aggs, fn, start, end) -> None:
         """Per block: each block aggregate, combined by ``fn`` over other blocks of its group."""
         w = Window.partitionBy(*self.keys).orderBy(BLOCK).rowsBetween(start, end)
-        table = pinned(self._real_hot_rows().groupBy(*self.keys, BLOCK)
-                       .agg(*[agg.alias(f"_v{name}") for name, agg in aggs.items()])
-                       .select(*self.keys, BLOCK, *[fn(F.col(f"_v{name}")).over(w).alias(name) for name in aggs]))
-        self.df = self.df.join(broadcast_if_small(table), self.keys + [BLOCK], "left")
+        table = materialized(self._real_hot_rows().groupBy(*self.keys, BLOCK)
+                             .agg(*[agg.alias(f"_v{name}") for name, agg in aggs.items()])
+                             .select(*self.keys, BLOCK, *[fn(F.col(f"_v{name}")).over(w).alias(name) for name in aggs]), "carried")
+        self.join_hot(table, self.keys + [BLOCK])
 
     # -- block plumbing ----------------------------------------------------------------------
     def _with_halo(self, df: DataFrame, n: int) -> DataFrame:
         if n == 0:
             return df.withColumn(HALO, F.lit(False))
         newest = Window.partitionBy(*self.keys, BLOCK).orderBy(*[F.col(c).desc() for c in self.order])
-        tails = (df.where(F.col(HOT)).withColumn("_b_r", F.row_number().over(newest)).where(F.col("_b_r") <= n)
-                 .withColumn("_b_t", F.row_number().over(
-                     Window.partitionBy(*self.keys).orderBy(BLOCK, F.col("_b_r").desc())))
-                 .drop("_b_r"))
+        tails = materialized(
+            df.withColumn("_b_r", F.row_number().over(newest)).where(F.col("_b_r") <= n)
+            .withColumn("_b_t", F.row_number().over(Window.partitionBy(*self.keys).orderBy(BLOCK, F.col("_b_r").desc())))
+            .drop("_b_r"), "tails")
         first = F.min("_b_t").alias("_b_s")
         wanted = (tails.groupBy(*self.keys, BLOCK).agg(first).where(F.col("_b_s") > 1)
-                  .withColumn("_b_t", F.explode(F.sequence(F.greatest(F.col("_b_s") - n, F.lit(1)), F.col("_b_s") - 1)))
-                  .drop("_b_s"))
-        halo = pinned(tails.drop(BLOCK).join(wanted, self.keys + ["_b_t"]).drop("_b_t"))
+                  .withColumn("_w_t", F.explode(F.sequence(F.greatest(F.col("_b_s") - n, F.lit(1)), F.col("_b_s") - 1)))
+                  .select(*[F.col(c).alias(f"_w_{i}") for i, c in enumerate(self.keys)], F.col(BLOCK).alias("_w_b"), "_w_t"))
+        met = F.col("_b_t") == F.col("_w_t")
+        for i, c in enumerate(self.keys):
+            met = met & F.col(c).eqNullSafe(F.col(f"_w_{i}"))
+        halo = tails.drop(BLOCK).join(wanted, met).select(*[c for c in df.columns if c != BLOCK], F.col("_w_b").alias(BLOCK))
         return (df.withColumn(HALO, F.lit(False))
-                .unionByName(halo.withColumn(HALO, F.lit(True))))
+                .unionByName(materialized(halo, "halo").withColumn(HALO, F.lit(True))))
 
     def done(self) -> DataFrame:
         """The rows themselves, without halo copies and block columns."""
-        if self.blocks is None:
-            return self.df
-        return self.df.where(~F.col(HALO)).drop(BLOCK, HOT, HALO)
+        if self.hot is None:
+            return self.cold
+        return self.cold.drop(BLOCK, HALO).unionByName(self._real_hot_rows().drop(BLOCK, HALO))
 
 
 def time_rank() -> Column:
@@ -231,7 +241,6 @@ def time_rank() -> Column:
     return micros * F.lit(Decimal(10) ** 19).cast("decimal(20,0)") + F.col("seq").cast("decimal(19,0)")
 
 
-def process_series(df: DataFrame, keys=("session_id", "pid"), halo: int = 0, limit: int | None = None,
-                   blocks="plan") -> Series:
+def process_series(df: DataFrame, keys=("session_id", "pid"), halo: int = 0, limit: int | None = None) -> Series:
     """One series per process, in time order, ties broken by ``seq``."""
-    return Series(df, keys, ("timestamp", "seq"), F.unix_micros("timestamp"), halo, limit, blocks)
+    return Series(df, keys, ("timestamp", "seq"), halo, limit)

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telltale.functions import scalars as sc
-from telltale.operators.blocks import Series, plan_blocks, process_series
-from telltale.session import pinned
+from telltale.operators.blocks import Series, process_series, split_hot
+from telltale.session import materialized
 
 # Which counter or gauge each first difference is taken of.
 DELTAS = {
@@ -86,8 +86,7 @@ def ema(s: Series, span: int = 10, columns=USAGE) -> Series:
         step *= 4
     norm = F.lit(1 - keep) / (F.lit(1.0) - F.pow(F.lit(keep), F.col("_n")))
     s.add(**{f"{c}_ema": F.col(f"_e_{c}") * norm for c in columns})
-    s.df = s.df.drop("_n", *[f"_e_{c}" for c in columns])
-    return s
+    return s.drop("_n", *[f"_e_{c}" for c in columns])
 
 
 def trend(s: Series, back: int = 5) -> Series:
@@ -113,8 +112,7 @@ def process_age(s: Series) -> Series:
     """Seconds since the process was first seen."""
     s.whole(_first=F.min(F.unix_micros("timestamp")))
     s.add(proc_age=(F.unix_micros("timestamp") - F.col("_first")) / 1e6)
-    s.df = s.df.drop("_first")
-    return s
+    return s.drop("_first")
 
 
 def fill_forward_back(s: Series, columns=USAGE) -> Series:
@@ -122,26 +120,30 @@ def fill_forward_back(s: Series, columns=USAGE) -> Series:
     s.last_known(**{f"_f_{c}": F.col(c) for c in columns})
     s.next_known(**{f"_b_{c}": F.col(c) for c in columns})
     s.add(**{c: F.coalesce(F.col(f"_f_{c}"), F.col(f"_b_{c}"), F.lit(0.0)) for c in columns})
-    s.df = s.df.drop(*[f"_{side}_{c}" for c in columns for side in "fb"])
-    return s
+    return s.drop(*[f"_{side}_{c}" for c in columns for side in "fb"])
 
 
 def percentile_rank(df: DataFrame, keys=("session_id", "pid"), columns=USAGE) -> DataFrame:
     """Average-tie rank among a process's known values, divided by their number; null where the value is null."""
     keys = list(keys)
-    fits = plan_blocks(df, keys, F.col(columns[0])) is None
+    cold, hot = split_hot(df, keys)
+    group = Window.partitionBy(*keys)
     for c in columns:
-        name = f"{c}_pct_rank"
-        if fits:
-            group, ties = Window.partitionBy(*keys), Window.partitionBy(*keys, c)
-            rank = F.rank().over(group.orderBy(F.col(c).asc_nulls_last())) + (F.count(F.lit(1)).over(ties) - 1) / 2
-            df = df.withColumn(name, F.when(F.col(c).isNotNull(), rank / F.count(c).over(group)))
-            continue
-        counts = pinned(df.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_t")))
+        ties = Window.partitionBy(*keys, c)
+        rank = F.rank().over(group.orderBy(F.col(c).asc_nulls_last())) + (F.count(F.lit(1)).over(ties) - 1) / 2
+        cold = cold.withColumn(f"{c}_pct_rank", F.when(F.col(c).isNotNull(), rank / F.count(c).over(group)))
+    if hot is None:
+        return cold
+    for c in columns:  # of large processes, values with their counts are ordered, not rows
+        counts = materialized(hot.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_t")), "value-counts")
         s = Series(counts, keys, (c,)).running(F.sum, _upto=F.col("_t")).whole(_all=F.sum("_t"))
-        ranks = s.done().select(*keys, c, ((F.col("_upto") - (F.col("_t") - 1) / 2) / F.col("_all")).alias(name))
-        df = df.join(ranks, keys + [c], "left")
-    return df
+        ranks = s.done().select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(c).alias("_v"),
+                                ((F.col("_upto") - (F.col("_t") - 1) / 2) / F.col("_all")).alias(f"{c}_pct_rank"))
+        met = F.col(c) == F.col("_v")
+        for k in keys:
+            met = met & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        hot = hot.join(ranks, met, "left").drop("_v", *[f"_k_{k}" for k in keys])
+    return cold.unionByName(hot)
 
 
 def base_features(s: Series) -> Series:

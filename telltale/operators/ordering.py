@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telltale.operators.blocks import Series
 from telltale.operators.features import above_rolling_q95
-from telltale.session import pinned
+from telltale.session import materialized
 
 
 def order_series(df: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def order_combined(df: DataFrame) -> DataFrame:
 
 def global_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     """0-based position of every row in time order, without one global task."""
-    s = Series(df.withColumn("_all", F.lit(0)), ("_all",), ("timestamp", "seq"), F.unix_micros("timestamp"))
+    s = Series(df.withColumn("_all", F.lit(0)), ("_all",), ("timestamp", "seq"))
     s.running(F.sum, **{name: F.lit(1)})
     return s.done().withColumn(name, F.col(name) - 1).drop("_all")
 
@@ -32,41 +32,19 @@ def global_jump(s: Series, frame: int = 20) -> DataFrame:
     """``delta_cpu`` / ``delta_mem`` above the 95th percentile of the last 20 rows of the whole
     table sorted by process and time, so the window runs across process boundaries.
 
-    From its 20th row on a process only sees its own rows. Earlier rows also see the last rows of
-    the processes before it. Those few rows per process are the only ones ordered globally.
+    From its 20th row on a process only sees its own rows, and the series' own window has the answer. Earlier rows
+    also see the last rows of the processes before them: the first and last rows of every process
+    are put into one order, in ranges where they are many, each of which starts with the rows just before it.
+    They travel whole, so nothing is joined back and repeated ``seq`` are no matter.
     """
     names = {"cpu_jump": "delta_cpu", "mem_jump": "delta_mem"}
-    s.add(_i=s.index, **{n: above_rolling_q95(F.col(d), s.before(frame - 1)) for n, d in names.items()})
-    rows = s.done()
-    newest = Window.partitionBy(*s.keys).orderBy(F.col("timestamp").desc(), F.col("seq").desc())
-    if s.blocks is not None:  # newest rows of a hot process sit in few blocks; rank per block, then overall
-        s.add(_b=F.row_number().over(Window.partitionBy(*s.part).orderBy(
-            F.col("_halo").cast("int"), F.col("timestamp").desc(), F.col("seq").desc())))
-        tails = s.done().where(F.col("_b") < frame)
-    else:
-        tails = rows
-    need = ["seq", "timestamp", *s.keys, *names.values()]
-    tails = (tails.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") < frame)
-             .select(*need, "_i", (F.col("_i") < frame).alias("_young")))
-    heads = rows.where(F.col("_i") < frame).select(*need, "_i", F.lit(True).alias("_young"))
-    edge = (heads.unionByName(tails.where(~F.col("_young")))
-            .repartitionByRange(*s.keys, "timestamp", "seq"))
-    edge = pinned(edge).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(*s.keys, "timestamp", "seq")
-    back = Window.partitionBy("_part").orderBy(*[F.col(c).desc() for c in [*s.keys, "timestamp", "seq"]])
-    # the last rows of each range go along to the ranges after it
-    ends = (edge.withColumn("_r", F.row_number().over(back)).where(F.col("_r") < frame)
-            .groupBy("_part").agg(F.sort_array(F.collect_list(F.struct(*s.keys, "timestamp", "seq", *names.values()))).alias("_e")))
-    prior = Window.orderBy("_part").rowsBetween(-(frame - 1), -1)  # one row per partition
-    carried = (ends.withColumn("_prev", F.flatten(F.collect_list("_e").over(prior))).select(
-        "_part", F.explode(F.slice("_prev", F.greatest(F.size("_prev") - (frame - 2), F.lit(1)), frame - 1)).alias("_h"))
-        .select("_part", "_h.*"))
-    both = edge.withColumn("_keep", F.col("_young")).unionByName(
-        carried.withColumn("_keep", F.lit(False)), allowMissingColumns=True)
-    last = w.rowsBetween(-(frame - 1), -1)
+    s.add(_i=s.index, _tail=F.lead("seq", frame - 1).over(s.w).isNull(),
+          **{n: above_rolling_q95(F.col(d), s.before(frame - 1)) for n, d in names.items()})
+    rows = materialized(s.done(), "jumps")
+    young = F.col("_i") < frame
+    edge = Series(rows.where(young | F.col("_tail")).withColumn("_all", F.lit(0)), ("_all",),
+                  [*s.keys, "timestamp", "seq"], halo=frame - 1)
+    last = edge.before(frame - 1)
     full = F.count(F.lit(1)).over(last) == frame - 1
-    fixed = both.withColumns({n: F.when(full, above_rolling_q95(F.col(d), last)).otherwise(F.lit(0))
-                              for n, d in names.items()}).where("_keep").select("seq", *names)
-    old = rows.where(F.col("_i") >= frame).drop("_i")
-    young = rows.where(F.col("_i") < frame).drop("_i", *names).join(fixed, "seq")
-    return old.unionByName(young)
+    edge.add(**{n: F.when(full, above_rolling_q95(F.col(d), last)).otherwise(F.lit(0)) for n, d in names.items()})
+    return rows.where(~young).unionByName(edge.done().drop("_all").where(young)).drop("_i", "_tail")

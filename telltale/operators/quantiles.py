@@ -7,25 +7,25 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telltale.operators.blocks import Series
-from telltale.session import pinned, rows_per_block
+from telltale.operators.blocks import Series, split_hot
+from telltale.session import materialized, rows_per_block
 
 
 def exact_quantiles(df: DataFrame, keys, column: str, quantiles: dict[str, float], limit: int | None = None) -> DataFrame:
     """One row per group with linearly interpolated quantiles of ``column``.
 
     The builtin ``percentile`` keeps every distinct value of a group in one buffer. Groups above
-    the block limit are counted per value instead and walked in blocks of values.
+    the block limit, and only those, are counted per value instead and walked in blocks of values.
     """
     keys = list(keys)
     limit = limit or rows_per_block(df.sparkSession)
     narrow = df.select(*keys, F.col(column).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    sizes = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    if sizes.limit(1).count() == 0:
-        return narrow.groupBy(*keys).agg(*[F.percentile("_x", F.lit(q)).alias(n) for n, q in quantiles.items()])
     group = keys or ["_all"]
-    counts = pinned((narrow if keys else narrow.withColumn("_all", F.lit(0)))
-                    .groupBy(*group, "_x").agg(F.count(F.lit(1)).alias("_c")))
+    cold, hot = split_hot(narrow if keys else narrow.withColumn("_all", F.lit(0)), group, limit)
+    exact = [F.percentile("_x", F.lit(q)).alias(n) for n, q in quantiles.items()]
+    if hot is None:
+        return narrow.groupBy(*keys).agg(*exact)
+    counts = materialized(hot.groupBy(*group, "_x").agg(F.count(F.lit(1)).alias("_c")), "value-counts")
     s = Series(counts, group, ("_x",), limit=limit).running(F.sum, _upto=F.col("_c")).whole(_n=F.sum("_c"))
     aggs = []
     for name, q in quantiles.items():
@@ -34,8 +34,9 @@ def exact_quantiles(df: DataFrame, keys, column: str, quantiles: dict[str, float
             aggs.append(F.min(F.when(F.col("_upto") > at, F.col("_x"))).alias(f"_{side}_{name}"))
     found = s.done().groupBy(*group).agg(F.max("_n").alias("_n"), *aggs)
     part = lambda q: F.lit(q) * (F.col("_n") - 1) - F.floor(F.lit(q) * (F.col("_n") - 1))
-    return found.select(*keys, *[
+    large = found.select(*keys, *[
         (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * part(q)).alias(n) for n, q in quantiles.items()])
+    return large.unionByName(cold.groupBy(*keys).agg(*exact)) if keys else large
 
 
 def quantile_value(df: DataFrame, column: str, q: float) -> float | None:

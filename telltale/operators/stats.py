@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telltale.operators.blocks import Series, process_series
+from telltale.operators.blocks import HALO, Series, process_series
 from telltale.operators.quantiles import exact_quantiles
-from telltale.session import broadcast_if_small
 
 USAGE = ("cpu", "mem")
 
@@ -33,12 +32,11 @@ def process_stats_join(df: DataFrame, keys=("session_id", "pid")) -> DataFrame:
     """The same statistics on every row, with each row's distance from its process mean."""
     s: Series = process_series(df, keys)
     s.whole(**_mergeable())
-    if s.blocks is None:
-        s.whole(**{f"{c}_median": F.percentile(c, F.lit(0.5)) for c in USAGE})
-    else:
+    together = Window.partitionBy(*s.part)
+    s.cold = s.cold.withColumns({f"{c}_median": F.percentile(c, F.lit(0.5)).over(together) for c in USAGE})
+    if s.hot is not None:
         for c in USAGE:
-            medians = exact_quantiles(df, keys, c, {f"{c}_median": 0.5})
-            s.df = s.df.join(broadcast_if_small(medians), list(keys), "left")
+            s.join_hot(exact_quantiles(s.hot.where(~F.col(HALO)), keys, c, {f"{c}_median": 0.5}))
     return deviation_from_avg(s.done())
 
 

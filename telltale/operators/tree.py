@@ -39,7 +39,7 @@ def _parent_as_of(df: DataFrame, keys) -> DataFrame:
     rows = df.where(F.col("ppid").isNotNull()).select(
         *scope, F.col("ppid").alias("_owner"), "timestamp", F.lit(1).alias("_side"), "seq",
         *[F.lit(None).cast("double").alias(f"_p_{c}") for c in ("cpu", "mem")])
-    s = Series(samples.unionByName(rows), scope + ["_owner"], ("timestamp", "_side", "seq"), F.unix_micros("timestamp"))
+    s = Series(samples.unionByName(rows), scope + ["_owner"], ("timestamp", "_side", "seq"))
     s.last_known(**{f"_at_{c}": F.col(f"_p_{c}") for c in ("cpu", "mem")})
     known = s.done().where(F.col("_side") == 1).select(*scope, "seq", "_at_cpu", "_at_mem")
     return df.join(known, scope + ["seq"], "left").select(*df.columns, *[

@@ -118,7 +118,7 @@ def test_blocks_change_nothing(spark, sf):
     plain = build().toPandas()
     spark.conf.set("spark.telltale.rowsPerBlock", "6")
     try:
-        assert ft.series_for_features(fx.process_view(spark, sf)).blocks is not None
+        assert ft.series_for_features(fx.process_view(spark, sf)).hot is not None
         split = build().toPandas()
     finally:
         spark.conf.unset("spark.telltale.rowsPerBlock")
