@@ -37,9 +37,10 @@ def brute(ids, x, k):
 
 @pytest.mark.parametrize("block", [5, 2048])
 def test_neighbours_match_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(nb, "QUERIES_PER_BLOCK", block)
+    monkeypatch.setattr(nb, "BLOCK", block)
+    monkeypatch.setattr(nb, "ROWS_PER_LEAF", 12)
     rng = np.random.default_rng(8)
-    x = np.vstack([rng.normal(0, 1, (150, 3)), rng.normal(6, 0.1, (80, 3)), [[50.0, 50.0, 50.0]], [[0.0, 0.0, 0.0]] * 4])
+    x = np.vstack([rng.normal(0, 1, (150, 3)), rng.normal(6, 0.1, (80, 3)), [[50.0, 50.0, 50.0]], [[0.0, 0.0, 0.0]] * 9])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
     got = {}
     for r in nb.nearest_neighbours(df, "id", "vec", 5).orderBy("id", "rank").collect():
@@ -47,6 +48,25 @@ def test_neighbours_match_brute_force(spark, monkeypatch, block):
     assert got == brute(list(range(len(x))), x.tolist(), 5)
 
 
+def test_few_pairs_are_compared_on_clustered_data(spark, monkeypatch):
+    monkeypatch.setattr(nb, "ROWS_PER_LEAF", 25)
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(0, 0.05, (100, 6)) + c for c in rng.uniform(-10, 10, (30, 6))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    tree = nb.build_tree(df)
+    own = nb.in_own_leaf(tree, tree.placed.select("id", "vec", "leaf"), 6)
+    size = {r.leaf: r.n for r in tree.leaves.collect()}
+    asked = {r.leaf: r["count"] for r in nb.visits(tree, own).groupBy("leaf").count().collect()}
+    compared = sum(n * n for n in size.values()) + sum(n * size[leaf] for leaf, n in asked.items())
+    assert sum(size.values()) == len(x) and compared < len(x) ** 2 / 10
+    got = {}
+    for r in nb.nearest_neighbours(df, "id", "vec", 5).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    assert got == {i: list(np.lexsort((np.arange(len(x)), row))[:5]) for i, row in enumerate(d)}
+
+
 def test_smote_fills_the_minority_between_neighbours(spark, rows):
     train = rows[0]
     out = nb.smote_oversample(train, ["a", "b"])
