@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,15 +77,22 @@ def _pipeline(features: list[str], classifier) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), classifier])
 
 
-def fit_gbt(train: DataFrame, features: list[str], preset: str = "primary", **overrides) -> PipelineModel:
-    """Boosted trees with class weights. Feature order is fixed by the assembler."""
+def fit_gbt(train: DataFrame, features: list[str], preset: str = "primary", validation: DataFrame | None = None,
+            patience: int = PATIENCE, **overrides) -> PipelineModel:
+    """Boosted trees with class weights. Feature order is fixed by the assembler. With ``validation`` rows the
+    ensemble is cut to the rounds before the loss there stopped falling."""
     params = {**PRESETS[preset], **overrides}
     gbt = GBTClassifier(featuresCol="features", labelCol="label", seed=SEED, lossType="logistic", cacheNodeIds=True, **params)
     rows = finite_features(train, features)
     if preset not in UNWEIGHTED:
         gbt.setWeightCol("weight")
         rows = weighted(rows)
-    return _pipeline(features, gbt).fit(rows)
+    model = _pipeline(features, gbt).fit(rows)
+    if validation is None:
+        return model
+    ready = model.stages[0].transform(finite_features(validation, features)).withColumn("weight", F.lit(1.0))
+    best = best_round(model.stages[1].evaluateEachIteration(ready), patience)  # one number per round
+    return PipelineModel([model.stages[0], first_trees(model.stages[1], best)])
 
 
 def feature_names(model: PipelineModel) -> list[str]:
@@ -101,14 +108,23 @@ def score_rows(df: DataFrame, model: PipelineModel, name: str = "score") -> Data
 
 def early_stop(train: DataFrame, validation: DataFrame, features: list[str], preset: str = "primary",
                patience: int = PATIENCE, **overrides) -> tuple[PipelineModel, int]:
-    """Refit at the round after which ``patience`` rounds brought no better validation loss."""
-    model = fit_gbt(train, features, preset, **overrides)
-    ready = model.stages[0].transform(finite_features(validation, features)).withColumn("weight", F.lit(1.0))
-    losses = model.stages[1].evaluateEachIteration(ready)  # one number per round
-    best = best_round(losses, patience)
-    if best == len(losses):
-        return model, best
-    return fit_gbt(train, features, preset, **{**overrides, "maxIter": best}), best
+    """One fit, cut after the round from which ``patience`` rounds brought no better validation loss, and that round."""
+    model = fit_gbt(train, features, preset, validation, patience, **overrides)
+    return model, model.stages[-1].getNumTrees
+
+
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model of the first ``n`` rounds. Boosting adds trees without changing earlier ones, so it is what a
+    fit of ``n`` rounds gives."""
+    sc = model._sc if hasattr(model, "_sc") else SparkSession.active().sparkContext
+    java = model._java_obj
+    trees = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = sc._gateway.new_array(sc._jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(java.trees()[:n], java.treeWeights()[:n])):
+        trees[i], weights[i] = tree, weight
+    cut = GBTClassificationModel(sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        java.uid(), trees, weights, java.numFeatures(), java.numClasses()))
+    return model._copyValues(cut)
 
 
 def best_round(losses: list[float], patience: int = PATIENCE) -> int:

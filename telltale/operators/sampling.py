@@ -6,12 +6,15 @@ the same sample.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PREFIX = 4  # hex digits: 65,536 slots per class
+from telltale.session import broadcast_if_small, materialized, rows_per_block
+
+PREFIX = 4  # hex digits looked at in a round: 65,536 slots per class
 
 
 def draw(seed: int | str, id_column: str | Column) -> Column:
@@ -35,45 +38,77 @@ def sample_fraction(df: DataFrame, fraction: float, seed=42, id_column: str = "s
     return df.where(F.substring(draw(seed, id_column), 1, 8) < F.lit(f"{int(fraction * 16 ** 8):08x}"))
 
 
-def lowest_draws(df: DataFrame, wanted: DataFrame, by: str = "label", seed=42, id_column: str = "seq",
-                 keep_rest: bool = False) -> DataFrame:
-    """Exactly ``wanted.k`` rows per class: those with the lowest draws.
+def lowest_draws(df: DataFrame, wanted: DataFrame | Callable[[DataFrame], DataFrame], by: str = "label", seed=42,
+                 id_column: str = "seq", keep_rest: bool = False) -> DataFrame:
+    """Exactly ``wanted.k`` rows per class: those with the lowest draws. ``wanted`` may be made from (class, n).
 
-    Counts per draw prefix (at most 65,536 per class) say which slots are taken whole, which not
-    at all, and which single slot per class needs ranking. Only that slot is shuffled. With
-    ``keep_rest`` every row is kept and ``picked`` tells the two parts apart.
+    Radix selection: a histogram of the draws' first digits tells in which slot of a class its k-th draw lies; only
+    that slot is looked into again, by its next digits, until it holds no more rows than a block. Rows below their
+    class's slot are taken and rows above it are not; only the slot's are ranked. With ``keep_rest``
+    every row is kept and ``picked`` tells the two parts apart.
     """
-    rows = df.withColumn("_d", draw(seed, id_column)).withColumn("_slot", F.substring("_d", 1, PREFIX))
-    before = Window.partitionBy(by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = (
-        rows.groupBy(by, "_slot").agg(F.count(F.lit(1)).alias("_n"))
-        .join(F.broadcast(wanted.select(by, "k")), by)  # one row per class
-        .withColumn("_left", F.col("k") - F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .select(by, "_slot", "_left", (F.col("_left") >= F.col("_n")).alias("_whole"),
-                ((F.col("_left") > 0) & (F.col("_left") < F.col("_n"))).alias("_edge"))
-    )
-    rows = rows.join(F.broadcast(slots), [by, "_slot"])  # classes x 65,536 rows at most
-    edge = (rows.where("_edge")
-            .withColumn("_r", F.row_number().over(Window.partitionBy(by, "_slot").orderBy("_d", id_column)))
+    rows = df.withColumn("_d", draw(seed, id_column))
+    edges = _edge_slots(rows, wanted, by, rows_per_block(df.sparkSession))
+    rows = rows.join(broadcast_if_small(edges), F.col(by).eqNullSafe(F.col("_by")), "left").withColumn(
+        "_at", F.expr("substring(_d, 1, length(_slot))"))
+    in_slot = F.coalesce(F.col("_at") == F.col("_slot"), F.lit(False))
+    edge = (rows.where(in_slot)
+            .withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy("_d", id_column)))
             .withColumn("picked", F.col("_r") <= F.col("_left")))
-    out = rows.where(~F.col("_edge")).withColumn("picked", F.col("_whole")).unionByName(edge.drop("_r"))
+    rest = rows.where(~in_slot).withColumn("picked", F.coalesce(F.col("_at") < F.col("_slot"), F.lit(False)))
+    out = rest.unionByName(edge.drop("_r"))
     if not keep_rest:
         return out.where("picked").select(*df.columns)
     return out.select(*df.columns, "picked")
 
 
+def _edge_slots(rows: DataFrame, wanted, by: str, limit: int) -> DataFrame:
+    """(_by, _slot, _left): per class the prefix of draws that holds its k-th, and how many rows of it are wanted."""
+    def histogram(some: DataFrame, at: int) -> DataFrame:
+        return materialized(some.groupBy(F.col(by).alias("_by"), F.substring("_d", at + 1, PREFIX).alias("_digits"))
+                            .agg(F.count(F.lit(1)).alias("_n")), "draws")
+
+    def crossed(slots: DataFrame, left: DataFrame) -> DataFrame:
+        upto = Window.partitionBy("_by").orderBy("_digits")  # 65,536 slots at most
+        place = F.coalesce(F.col("_left"), F.lit(0)) - (F.col("_upto") - F.col("_n"))
+        return (slots.withColumn("_upto", F.sum("_n").over(upto)).withColumnRenamed("_by", "_own")
+                .join(broadcast_if_small(left), F.col("_own").eqNullSafe(F.col("_by")))
+                .where((place > 0) & (place <= F.col("_n")))
+                .select("_by", F.concat("_slot", "_digits").alias("_slot"), place.alias("_left"), "_n"))
+
+    slots = histogram(rows, 0)
+    if not isinstance(wanted, DataFrame):
+        wanted = wanted(slots.groupBy(F.col("_by").alias(by)).agg(F.sum("_n").alias("n")))
+    sizes = slots.groupBy(F.col("_by").alias("_own")).agg(F.sum("_n").alias("_all"))
+    left = (wanted.select(F.col(by).alias("_by"), F.col("k").cast("long").alias("k"))
+            .join(sizes, F.col("_by").eqNullSafe(F.col("_own")))  # no more than there are
+            .select("_by", F.lit("").alias("_slot"), F.least("k", "_all").alias("_left")))
+    found = materialized(crossed(slots, left), "edges")
+    depth, done = PREFIX, []
+    while depth < 32 and found.where(F.col("_n") > limit).limit(1).count():
+        done.append(found.where(F.col("_n") <= limit))
+        deep = found.where(F.col("_n") > limit).drop("_n")
+        inside = rows.join(broadcast_if_small(deep), F.col(by).eqNullSafe(F.col("_by")) & F.col("_d").startswith(F.col("_slot")), "left_semi")
+        found = materialized(crossed(histogram(inside, depth), deep), "edges")
+        depth += PREFIX
+    for part in done:
+        found = found.unionByName(part)
+    return found.drop("_n")
+
+
 def balance_classes(df: DataFrame, seed=42, id_column: str = "seq", by: str = "label") -> DataFrame:
     """Every class cut to the size of the smallest one."""
-    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    least = counts.agg(F.min("n").alias("k"))
-    return lowest_draws(df, counts.select(by).join(F.broadcast(least)), by, seed, id_column)
+    def least(counts: DataFrame) -> DataFrame:
+        return counts.select(by).join(F.broadcast(counts.agg(F.min("n").alias("k"))))  # a one-row table
+    return lowest_draws(df, least, by, seed, id_column)
 
 
 def stratified_split(df: DataFrame, held_out: float = 0.25, seed=42, id_column: str = "seq",
                      by: str = "label") -> DataFrame:
     """``split`` = 'test' for an exact share of every class, 'train' for the rest."""
-    wanted = df.groupBy(by).agg(F.floor(F.count(F.lit(1)) * held_out + 0.5).alias("k"))
-    out = lowest_draws(df, wanted, by, seed, id_column, keep_rest=True)
+    def share(counts: DataFrame) -> DataFrame:
+        return counts.select(by, F.floor(F.col("n") * held_out + 0.5).alias("k"))
+    out = lowest_draws(df, share, by, seed, id_column, keep_rest=True)
     return out.select(*df.columns, F.when(F.col("picked"), "test").otherwise("train").alias("split"))
 
 

@@ -93,6 +93,18 @@ def test_robust_scaler(spark, rows):
     assert fitted["a"] == pytest.approx((q2, q3 - q1)) and fitted["k"] == (3.0, 1.0)
 
 
+def test_quartiles_of_many_columns_without_moving_rows(spark):
+    rng = np.random.default_rng(2)
+    x = {"normal": rng.normal(0, 5, 999), "heavy": rng.exponential(1, 999) ** 9 * rng.choice([-1, 1], 999), "few": rng.integers(0, 3, 999) * 1.0,
+         "tiny": rng.random(999) * 1e-300, "zeros": rng.choice([0.0, -0.0], 999), "wide": 10.0 ** rng.uniform(-300, 300, 999)}
+    rows = [tuple(None if (i + j) % 5 == 0 else float(v[i]) for j, v in enumerate(x.values())) for i in range(999)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in x) + "").withColumn("none", F.lit(None).cast("double"))
+    got = {r.feature: (r.q25, r.q50, r.q75) for r in sca.column_quartiles(df.repartition(5), df.columns).collect()}
+    want = {c: tuple(df.agg(*[F.percentile(c, F.lit(q)) for q in (0.25, 0.5, 0.75)]).first()) for c in x}
+    assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c], rel=1e-12) for c in x)
+    assert sca.column_quartiles(df.where("false"), df.columns).count() == 0
+
+
 def test_train_compare_save_and_load(spark, rows):
     train, validation, test = rows
     models, results = training.compare_models(train, test, FEATURES, **SMALL)
@@ -131,6 +143,21 @@ def test_early_stop(spark, rows):
     assert 1 <= rounds <= 3 and model.stages[1].getNumTrees == rounds
 
 
+def test_first_trees_are_the_fit_of_as_many_rounds(spark, rows):
+    train, validation, test = rows
+    long, short = (ml.fit_gbt(train, FEATURES, maxIter=n, maxDepth=3) for n in (6, 2))
+    cut = ml.PipelineModel([long.stages[0], ml.first_trees(long.stages[1], 2)])
+    assert ml.score_rows(test, cut).exceptAll(ml.score_rows(test, short)).count() == 0
+    ready = long.stages[0].transform(validation.withColumn("weight", F.lit(1.0)))
+    losses = long.stages[1].evaluateEachIteration(ready)
+    assert cut.stages[1].evaluateEachIteration(ready) == losses[:2] == short.stages[1].evaluateEachIteration(ready)
+    again = sinks.load_model(sinks.save_model(cut, scratch_path(spark, "cut")))
+    assert ml.score_rows(test, again).exceptAll(ml.score_rows(test, short)).count() == 0 and again.stages[1].getNumTrees == 2
+    stopped = ml.fit_gbt(train, FEATURES, validation=validation, patience=2, maxIter=6, maxDepth=3)
+    assert stopped.stages[1].getNumTrees == ml.best_round(losses, 2)
+    assert len(ml.fit_voting(train, FEATURES, validation=validation, patience=1, maxIter=2, maxDepth=2)) == 3
+
+
 def test_mlp_and_stacking(spark, rows):
     train, _, test = rows
     scored = ml.score_mlp(test, ml.fit_mlp(train, FEATURES, hidden=(8, 4), max_iter=15))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -110,6 +111,23 @@ def test_top_metrics_order_and_floor(spark):
     assert df.select(attack.top_metrics(["a", "b", "c", "d"]).alias("m")).first().m == ["a=50.00", "d=50.00"]
 
 
+def test_draws_are_selected_digit_by_digit(spark, small_blocks, monkeypatch):
+    df = spark.range(3000).select(F.col("id").alias("seq"), F.when(F.col("id") % 7 > 0, F.col("id") % 3).cast("int").alias("label"))
+    wanted = spark.createDataFrame([(0, 400), (1, 0), (2, 10_000), (None, 17)], "label int, k long")
+    want = {}
+    for r in df.collect():
+        want.setdefault(r.label, []).append((hashlib.md5(f"42:{r.seq}".encode()).hexdigest(), r.seq))
+    lowest = {s for label, k in ((0, 400), (2, 10_000), (None, 17)) for _, s in sorted(want[label])[:k]}
+    for digits in (4, 1):  # one digit a round: slots above six rows are looked into again
+        monkeypatch.setattr(sp, "PREFIX", digits)
+        edges = sp._edge_slots(df.withColumn("_d", sp.draw(42, "seq")), wanted, "label", 6)
+        sizes = df.withColumn("_d", sp.draw(42, "seq")).join(edges, F.col("label").eqNullSafe(F.col("_by")) & F.col("_d").startswith(F.col("_slot")))
+        assert max(r["count"] for r in sizes.groupBy("_by").count().collect()) <= 6
+        picked = sp.lowest_draws(df, wanted, keep_rest=True)
+        assert picked.count() == 3000 and {r.seq for r in picked.where("picked").collect()} == lowest
+    assert {r.seq for r in sp.lowest_draws(df, wanted).collect()} == lowest
+
+
 def test_sampling_is_exact_and_repeatable(spark):
     df = spark.range(2000).select(F.col("id").alias("seq"), (F.col("id") % 10 == 0).cast("int").alias("label"))
     even = sp.balance_classes(df)
