@@ -939,6 +939,21 @@ def _(spark, sf):
     return _detector(spark, sf).alert_table(spark).select("seq", "attack.type", "attack.confidence")
 
 
+@query("live_model_alerts")
+def _(spark, sf):
+    """Train on the prepared dataset, store, load, and detect on the stream with the stored model."""
+    key = (spark.sparkContext.applicationId, sf, "model")
+    if key not in _DETECTORS:
+        path = sinks.save_model(_gbt(spark, sf), scratch_path(spark, "live-model"))
+        p = fx.process_view(spark, sf).withColumn("child_entropy", F.col("mem") / 50)
+        detector = live.stored_model_detector(path, scratch_path(spark, "live-alerts"), threshold=LIVE_THRESHOLD,
+                                              state_partitions=spark.sparkContext.defaultParallelism)
+        _DETECTORS[key] = live.replay(spark, p, live.time_slices(p, 2), detector, files=150)
+    told = _DETECTORS[key].alert_table(spark)
+    return told.select("session_id", "pid", "seq", *_r("anomaly_score"), "confidence_band", F.array_join("suspicious_metrics", ";").alias("metrics"),
+                       F.col("attack.type").alias("attack_type"))
+
+
 @query("alert_totals", o.sql("select count(*) as alerted_processes from v_first", *o.LIVE_CTE))
 def _(spark, sf):
     return alert_totals(_detector(spark, sf).alert_table(spark))
@@ -1161,7 +1176,5 @@ def _(spark, sf):
 select seq, label from (select *, row_number() over (partition by label order by {_draw_sql('42')}, seq) as rk from v_mark) t
 where rk <= (select min(n) from (select count(*) as n from v_mark group by label) c) and substr({_draw_sql('42s')}, 1, 8) < '80000000'""", o.V_PROC, MARKED_SQL))
 def _(spark, sf):
-    m = _marked(spark, sf)
-    names = [r.session_id for r in m.select("session_id").distinct().collect()]  # one row a session
-    frames = [m.where(F.col("session_id") == s) for s in sorted(names)]
-    return prepare.combine_sessions(frames, balance=True, fraction=0.5).select("seq", "label")
+    root = sinks.sink_labeled(_marked(spark, sf), scratch_path(spark, "to-combine"))
+    return prepare.combine_sessions(logs.scan_sessions(spark, root), balance=True, fraction=0.5).select("seq", "label")

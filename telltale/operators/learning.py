@@ -249,11 +249,14 @@ def best_trial(results: list[tuple[int, dict, float]]) -> dict:
     return max(results, key=lambda r: (r[2], -r[0]))[1]
 
 
+def importances(model: PipelineModel) -> dict[str, float]:
+    """Importance by feature, in training order."""
+    return dict(zip(feature_names(model), (float(w) for w in model.stages[-1].featureImportances.toArray())))
+
+
 def feature_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
     """Importance per named feature, largest first."""
-    weights = model.stages[1].featureImportances.toArray()
-    rows = [(n, float(w)) for n, w in zip(feature_names(model), weights)]
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature")
+    return spark.createDataFrame(list(importances(model).items()), "feature string, importance double").orderBy(F.col("importance").desc(), "feature")
 
 
 def top_features(importance: DataFrame, n: int = 20) -> DataFrame:

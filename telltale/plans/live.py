@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telltale.operators.learning import feature_names, importances
 from telltale.session import scratch_path
 from telltale.sources.logs import BATCH_BYTES, stream_process_snapshots
-from telltale.streaming.alerts import LiveDetector
+from telltale.sources.sinks import load_model
+from telltale.streaming.alerts import LiveDetector, alert_rows, first_alerts, model_scorer, threshold_alerts
 from telltale.streaming.features import live_features
 from telltale.streaming.history import batch_history
 
@@ -49,6 +51,18 @@ def replay(spark: SparkSession, stream: DataFrame, slices: list[DataFrame], dete
     return detector
 
 
+def stored_model_detector(path: str, output: str, **settings) -> LiveDetector:
+    """Live detection by a stored model: its probability raises alerts, its features and their importances explain them."""
+    model = load_model(path)
+    return LiveDetector(model_scorer(model), output, feature_names(model), importances(model), **settings)
+
+
+def batch_alerts(df: DataFrame, detector: LiveDetector) -> DataFrame:
+    """The alerts that a detector without a horizon should have raised, from a table."""
+    candidates = threshold_alerts(batch_twin(df, detector.score), detector.threshold)
+    return alert_rows(first_alerts(candidates, detector.keys), detector.features, detector.importances)
+
+
 def batch_twin(df: DataFrame, score) -> DataFrame:
     """What the stream should have produced, from a table."""
     return score(live_features(batch_history(df))).drop("late")

@@ -41,10 +41,10 @@ def training_features(dataset: DataFrame, keys=("session_id", "pid")) -> DataFra
     return clean(process_stats_join(global_jump(s), keys))
 
 
-def combine_sessions(frames: list[DataFrame], balance: bool = False, fraction: float | None = None,
+def combine_sessions(sessions: DataFrame | list[DataFrame], balance: bool = False, fraction: float | None = None,
                      seed=42, id_column: str = "seq") -> DataFrame:
     """Sessions as one table: optionally balanced and sampled, cleaned, in time order."""
-    out = sampling.union_sessions(frames)
+    out = sessions if isinstance(sessions, DataFrame) else sampling.union_sessions(sessions)
     if balance:
         out = sampling.balance_classes(out, seed, id_column)
     if fraction is not None:

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from telltale.functions.scalars import confidence_band
 from telltale.operators import rules
 from telltale.operators.attack import explain_alerts
+from telltale.operators.learning import score_rows
 from telltale.streaming.features import live_features
 from telltale.session import ROCKSDB_PROVIDER
 from telltale.sources.logs import BATCH_BYTES
@@ -36,6 +38,13 @@ def rule_scorer(io_threshold: float) -> Callable[[DataFrame], DataFrame]:
     return score
 
 
+def model_scorer(model: PipelineModel) -> Callable[[DataFrame], DataFrame]:
+    """Probability of a fitted pipeline, on a stream or a table; features it knows and the rows lack count as 0."""
+    def score(df: DataFrame) -> DataFrame:
+        return score_rows(df, model, "probability")
+    return score
+
+
 def threshold_alerts(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return scored.where(F.col("probability") >= threshold)
 
@@ -84,8 +93,9 @@ def alert_once(candidates: DataFrame, keys=KEYS, horizon_seconds: float | None =
 
 
 def alert_rows(alerts: DataFrame, features: list[str], importances: dict[str, float] | None = None) -> DataFrame:
-    """Identity, score, suspicious metrics and the likely attack of alerted rows."""
-    told = explain_alerts(alerts, features, importances)
+    """Identity, score, suspicious metrics and the likely attack of alerted rows. Features that the rows lack are 0 to a
+    model and never suspicious."""
+    told = explain_alerts(alerts, [f for f in features if f in alerts.columns], importances)
     return told.select(*KEYS, "ppid", "exe", "seq", "timestamp", F.col("probability").alias("anomaly_score"),
                        confidence_band(F.col("probability")).alias("confidence_band"), "suspicious_metrics",
                        F.struct(F.col("attack_type").alias("type"), "confidence", "description", "indicators",

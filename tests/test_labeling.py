@@ -122,3 +122,39 @@ def test_sessions_round_trip_as_csv(spark, tmp_path):
         assert {(r.session_id, int(r.pid), float(r.cpu)) for r in back.collect()} == {tuple(r) for r in rows.collect()}
     with pytest.raises(FileNotFoundError):
         logs.scan_sessions(spark, str(tmp_path / "csv"), ["session_id=absent"])
+
+
+def test_many_sessions_are_one_scan(spark, tmp_path):
+    from telltale.sources import logs
+    for i, name in enumerate(["night", "day+1", "a b", "x%20y", "_hidden"]):
+        df = spark.createDataFrame([(i, float(i))], "seq long, cpu double")
+        (df if i else df.withColumn("mem", F.lit(1.5))).write.parquet(str(tmp_path / "root dir" / name))
+    back = logs.scan_sessions(spark, str(tmp_path / "root dir"))
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan and "- Filter" not in plan and ") Filter" not in plan
+    assert {(r.seq, r.cpu, r.mem, r.session) for r in back.collect()} == {
+        (0, 0.0, 1.5, "night"), (1, 1.0, None, "day+1"), (2, 2.0, None, "a b"), (3, 3.0, None, "x%20y")}
+    some = logs.scan_sessions(spark, str(tmp_path / "root dir"), ["night", "gone", "a b"])
+    assert {r.session for r in some.collect()} == {"night", "a b"}
+
+
+def test_csv_sessions_with_other_headers(spark, tmp_path):
+    from telltale.sources import logs
+    for name, text in (("a", "cpu,seq\n1.5,1\n"), ("b", "cpu,seq\n2.5,2\n"), ("c", "seq,mem\n3,9\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part.csv").write_text(text)
+    back = logs.scan_sessions(spark, str(tmp_path), fmt="csv")
+    assert back._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
+    assert {(r.seq, r.cpu, r.mem, r.session) for r in back.collect()} == {("1", "1.5", None, "a"), ("2", "2.5", None, "b"), ("3", None, "9", "c")}
+
+
+def test_logs_and_streams_of_many_sessions(spark, tmp_path):
+    from telltale.sources import logs
+    for i, name in enumerate(("s1", "s2")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "events.txt").write_text("".join(f"2024-01-01T00:00:0{k}+00:00,anomaly_start,pid={i}\n" for k in range(3)))
+        (tmp_path / name / "snapshots.csv").write_text("timestamp,session_id,pid\n" + "".join(f"2024-01-01T00:00:0{k}+00:00,,{i}\n" for k in range(2)))
+    events = logs.scan_event_log(spark, str(tmp_path / "*" / "events.txt"), by_folder=True).collect()
+    assert {(r.session_id, r.details) for r in events} == {("s1", "pid=0"), ("s2", "pid=1")} and len({r.seq for r in events}) == 6
+    rows = logs.scan_process_stream(spark, str(tmp_path / "*" / "snapshots.csv"), by_folder=True)
+    assert {(r.session_id, r.pid) for r in rows.collect()} == {("s1", 0), ("s2", 1)} and rows.count() == 4 and "_metadata" not in rows.columns

@@ -1,11 +1,14 @@
 import numpy as np
 import pytest
 from conftest import by_seq, stream_rows
+from pyspark.sql import functions as F
 
+from telltale.operators.learning import fit_gbt
 from telltale.plans import live
 from telltale.session import scratch_path
 from telltale.sources import fixtures as fx
 from telltale.sources.logs import stream_process_snapshots
+from telltale.sources.sinks import save_model
 from telltale.streaming.alerts import LiveDetector, alert_once, alert_rows, alert_totals, first_alerts, rule_scorer, threshold_alerts
 from telltale.streaming.features import live_features
 from telltale.streaming.history import batch_history, live_history
@@ -100,6 +103,21 @@ def test_late_rows_are_marked_not_dropped(spark):
         0: (1, False), 1: (2, False), 2: (1, False), 3: (1, False), 4: (0, True), 5: (2, False), 6: (1, False)}
 
 
+def test_live_detection_by_a_stored_model(spark):
+    rng = np.random.default_rng(6)
+    rows = [{"pid": int(p), "seq": i, "t": i, "cpu": float(rng.gamma(1, 20)), "mem": float(rng.gamma(1, 10)), "num_fds": int(rng.integers(0, 90)),
+             "child_entropy": 0.5} for i, p in enumerate(rng.integers(1, 15, 300))]
+    p = stream_rows(spark, rows)
+    train = live_features(batch_history(p)).withColumn("label", (F.col("cpu") + F.col("cpu_mean_5") > 45).cast("int"))
+    names = ["cpu", "mem", "cpu_mean_5", "num_fds", "not_live"]  # one that live rows never have
+    path = save_model(fit_gbt(train.withColumn("not_live", F.lit(0.0)), names, maxIter=4, maxDepth=3), scratch_path(spark, "stored"))
+    detector = live.stored_model_detector(path, scratch_path(spark, "by-model"), threshold=0.5, state_partitions=2)
+    live.replay(spark, p, live.time_slices(p, 2), detector, files=2)
+    columns = ("session_id", "pid", "seq", "anomaly_score", "confidence_band", "suspicious_metrics", "attack")
+    got, want = (sorted(map(str, df.select(*columns).collect())) for df in (detector.alert_table(spark), live.batch_alerts(p, detector)))
+    assert got == want and 5 < len(got) <= 14 and any("cpu=" in r for r in got)
+
+
 def test_replay_of_two_months_keeps_time_order(spark):
     rows = [{"t": 86_400 * d, "cpu": float(d), "child_entropy": 1.5} for d in range(0, 60, 2)]
     p = stream_rows(spark, rows)
