@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from telltale.functions.scalars import is_anomaly_event
 from telltale.operators.blocks import Series
-from telltale.session import broadcast_if_small, pinned
+from telltale.session import materialized
 
 BUCKET_SECONDS = 60
 
@@ -83,16 +83,6 @@ def _buffered(periods: DataFrame, buffer_seconds: float) -> DataFrame:
             .withColumn("_hi", F.unix_micros("end_ts") + edge).where(F.col("_lo") <= F.col("_hi")))
 
 
-def merge_intervals(spans: DataFrame) -> DataFrame:
-    """Union of overlapping [_lo, _hi] spans per session."""
-    s = Series(spans.select("session_id", "_lo", "_hi"), ("session_id",), ("_lo", "_hi"), halo=1)
-    s.running(F.max, _reach=F.col("_hi"))
-    s.add(_gap=F.lag("_reach").over(s.w))
-    fresh = F.col("_gap").isNull() | (F.col("_lo") > F.col("_gap"))
-    s.running(F.sum, _group=fresh.cast("long"))
-    return s.done().groupBy("session_id", "_group").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).drop("_group")
-
-
 def _bucket(us: Column, seconds: int) -> Column:
     return F.floor(us / (seconds * 1_000_000)).cast("long")
 
@@ -107,28 +97,32 @@ def label_windows(stream: DataFrame, periods: DataFrame, buffer_seconds: float =
                   bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """``label`` = 1 inside any buffered period of the row's session (both ends inclusive).
 
-    Overlaps are merged first, so a row meets at most one span and the left join adds no rows.
+    A range join without size checks: the spans that touch a time bucket become one row, so the join on (session, bucket)
+    adds no rows however they overlap, and the exact test is made against the bucket's few spans. That table is
+    written once; from the size of its files the planner decides whether it can be broadcast, and beyond that the
+    shuffle join splits skewed partitions. The stream is read by the join alone.
     """
-    spans = _spread(merge_intervals(_buffered(pinned(periods), buffer_seconds)), bucket_seconds)
+    spans = _spread(_buffered(periods, buffer_seconds), bucket_seconds)
+    spans = materialized(spans.groupBy("session_id", "_bucket").agg(F.collect_set(F.struct("_lo", "_hi")).alias("_spans")), "spans").alias("p")
     rows = stream.withColumn("_us", F.unix_micros("timestamp")).withColumn("_bucket", _bucket(F.col("_us"), bucket_seconds))
-    spans = broadcast_if_small(spans).alias("p")
-    hit = ((F.col("s.session_id") == F.col("p.session_id")) & (F.col("s._bucket") == F.col("p._bucket"))
-           & F.col("s._us").between(F.col("p._lo"), F.col("p._hi")))
-    joined = rows.alias("s").join(spans, hit, "left")
-    return joined.select(*[F.col(f"s.{c}") for c in stream.columns if c != "label"],
-                         F.col("p._lo").isNotNull().cast("int").alias("label"))
+    same = (F.col("s.session_id") == F.col("p.session_id")) & (F.col("s._bucket") == F.col("p._bucket"))
+    inside = F.exists("p._spans", lambda x: F.col("s._us").between(x["_lo"], x["_hi"]))
+    return rows.alias("s").join(spans, same, "left").select(
+        *[F.col(f"s.{c}") for c in stream.columns if c != "label"], F.coalesce(inside, F.lit(False)).cast("int").alias("label"))
 
 
 def period_summary(stream: DataFrame, periods: DataFrame, buffer_seconds: float = 2,
                    bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
-    """Per period: start, end, length and rows inside it (overlapping buffers count twice)."""
-    periods = pinned(periods)
-    spans = _buffered(periods, buffer_seconds)
+    """Per period: start, end, length and rows inside it (overlapping buffers count twice).
+
+    The periods are written once; the stream is aggregated per session and instant before it meets them.
+    """
+    periods = materialized(periods, "periods")
+    spans = _spread(_buffered(periods, buffer_seconds), bucket_seconds)
     ticks = (stream.groupBy("session_id", F.unix_micros("timestamp").alias("_us")).agg(F.count(F.lit(1)).alias("_n"))
              .withColumn("_bucket", _bucket(F.col("_us"), bucket_seconds)))
     inside = (ticks.alias("s").join(
-        broadcast_if_small(_spread(spans, bucket_seconds)).alias("p"),
-        (F.col("s.session_id") == F.col("p.session_id")) & (F.col("s._bucket") == F.col("p._bucket"))
+        spans.alias("p"), (F.col("s.session_id") == F.col("p.session_id")) & (F.col("s._bucket") == F.col("p._bucket"))
         & F.col("s._us").between(F.col("p._lo"), F.col("p._hi")))
         .groupBy("p.session_id", "p.start_ts", "p.end_ts").agg(F.sum("_n").alias("rows_labeled")))
     keys = ["session_id", "start_ts", "end_ts"]
@@ -139,7 +133,7 @@ def period_summary(stream: DataFrame, periods: DataFrame, buffer_seconds: float
 
 def period_totals(stream: DataFrame, periods: DataFrame, buffer_seconds: float = 2) -> DataFrame:
     """Number of periods, rows counted once per period, and rows actually labeled."""
-    periods = pinned(periods)
+    periods = materialized(periods, "periods")
     per = period_summary(stream, periods, buffer_seconds).agg(
         F.count(F.lit(1)).alias("periods"), F.coalesce(F.sum("rows_labeled"), F.lit(0)).alias("rows_with_overlaps"))
     once = label_windows(stream, periods, buffer_seconds).agg(

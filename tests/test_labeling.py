@@ -158,3 +158,31 @@ def test_logs_and_streams_of_many_sessions(spark, tmp_path):
     assert {(r.session_id, r.details) for r in events} == {("s1", "pid=0"), ("s2", "pid=1")} and len({r.seq for r in events}) == 6
     rows = logs.scan_process_stream(spark, str(tmp_path / "*" / "snapshots.csv"), by_folder=True)
     assert {(r.session_id, r.pid) for r in rows.collect()} == {("s1", 0), ("s2", 1)} and rows.count() == 4 and "_metadata" not in rows.columns
+
+
+def test_labels_take_two_actions_at_most_before_the_query(spark, tmp_path):
+    """One for hot sessions of the log, one to write the spans; the stream is not read before the join."""
+    rows = stream_rows(spark, [{"t": t, "session_id": s} for s in "ab" for t in range(100)])
+    rows.write.parquet(str(tmp_path / "stream"))
+    log(spark, *NESTED).withColumn("session_id", F.lit("a")).write.parquet(str(tmp_path / "log"))
+    stream, events = spark.read.parquet(str(tmp_path / "stream")), spark.read.parquet(str(tmp_path / "log"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # with it every shuffle counts as a job
+    try:
+        def jobs():
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup("labels"))
+        spark.sparkContext.setJobGroup("labels", "")
+        out = lb.label_windows(stream, lb.pair_periods(events, stream))
+        assert jobs() <= 4  # the writing action broadcasts and reads a file's footer beside its own job
+        assert {(r.session_id, r.label): r["count"] for r in out.groupBy("session_id", "label").count().collect()} == {
+            ("a", 1): 23, ("a", 0): 77, ("b", 0): 100}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_spans_that_overlap_add_no_rows(spark):
+    st = ticks(spark, *range(300))
+    periods = spark.createDataFrame([("s", at(a), at(b)) for a in range(0, 200, 7) for b in (a + 3, a + 150)] + [("s", None, at(5)), (None, at(0), at(9))],
+                                    "session_id string, start_ts timestamp, end_ts timestamp")
+    out = lb.label_windows(st, periods, 2, 10)
+    assert by_seq(out, "label") == {i: int(i <= 196 + 152) for i in range(300)} and out.count() == 300
