@@ -250,6 +250,17 @@ def test_counts_and_base_score(spark, sf, corpus):
     assert out.score.sum() > out.base_score.sum() and (got.score < 0).all()
 
 
+def test_held_out_rows_change_no_other_score(spark):
+    r = random.Random(12)
+    rows = [(i, " ".join(prose(i, r.randrange(5, 90), 60))) for i in range(150)]
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2]
+    new = [(i, " ".join("".join(r.choice("xyzé") for _ in range(r.randrange(1, 7))) for _ in range(60))) for i in held]
+    score = lambda some: {x.doc_id: (x.train_tokens, x.base_score, x.score) for x in class_lm.score_texts(table(spark, some).coalesce(1)).collect()}
+    before, first, after = score(rows), score(rows + new[:1]), score(new + rows)
+    assert all(after[i] == pytest.approx(before[i], rel=1e-12) for i, _ in rows) and len(after) == len(rows) + len(new)
+    assert first[held[0]] == pytest.approx(after[held[0]], rel=1e-12) and after[held[0]][2] < 0
+
+
 def test_exchange_gain_is_the_change_of_likelihood():
     import numpy as np
     rng = np.random.default_rng(1)
