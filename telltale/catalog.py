@@ -342,7 +342,7 @@ def _(spark, sf):
 # ---- aggregations ------------------------------------------------------------------------------
 @query("process_baseline", o.sql(f"select session_id, pid, {_rs(*BASELINE)} from f_base", *o.FEATURES_CTE))
 def _(spark, sf):
-    return ft.process_baseline(_rates(spark, sf)).done().select("session_id", "pid", *_r(*BASELINE)).distinct()
+    return ft.baselines(_rates(spark, sf)).select("session_id", "pid", *_r(*BASELINE))
 
 
 @query("last_per_process", o.sql("select session_id, pid, arg_max(cpu, (ts, seq)) as last_cpu, arg_max(mem, (ts, seq)) as last_mem from v_proc group by all", o.V_PROC))
@@ -1172,6 +1172,14 @@ def _(spark, sf):
     return out.select("seq", *_r(*[c for c in TRAIN_EXTRA if c not in flags]), *flags, *_r8("cpu_dev_from_avg", "mem_dev_from_avg"))
 
 
+@query("training_flow")
+def _(spark, sf):
+    """Prepared dataset, training features, split, early-stopped fits, comparison, best model kept."""
+    extra = [c for c in TRAIN_EXTRA if c not in MODEL_COLUMNS] + ["cpu_dev_from_avg", "mem_dev_from_avg"]
+    table = training.train_and_keep(_dataset(spark, sf), scratch_path(spark, "kept"), MODEL_COLUMNS + extra, patience=2, **SMALL)
+    return table.select("model", *_r(*mt.TABLE), "tp", "tn", "fp", "fn", "trees", "kept")
+
+
 @query("combine_sessions", o.sql(f"""
 select seq, label from (select *, row_number() over (partition by label order by {_draw_sql('42')}, seq) as rk from v_mark) t
 where rk <= (select min(n) from (select count(*) as n from v_mark group by label) c) and substr({_draw_sql('42s')}, 1, 8) < '80000000'""", o.V_PROC, MARKED_SQL))

@@ -108,6 +108,15 @@ def process_baseline(s: Series) -> Series:
                        io_baseline=F.col("io_total_rate"))
 
 
+def baselines(s: Series, n: int = 5) -> DataFrame:
+    """One row per process: the same means, from its first rows alone."""
+    if s.hot is not None and s.halo < n:  # the index is exact up to the halo length
+        raise ValueError(f"the first {n} rows need a halo of {n}")
+    first = s.add(_i=s.index).done().where(F.col("_i") <= n)
+    return first.groupBy(*s.keys).agg(F.avg("cpu").alias("cpu_baseline"), F.avg("mem").alias("mem_baseline"),
+                                      F.avg("io_total_rate").alias("io_baseline"))
+
+
 def process_age(s: Series) -> Series:
     """Seconds since the process was first seen."""
     s.whole(_first=F.min(F.unix_micros("timestamp")))

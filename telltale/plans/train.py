@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from telltale.operators import learning as ml
 from telltale.operators.metrics import evaluate, select_best_model
 from telltale.operators.neighbours import smote_oversample
+from telltale.operators.sampling import stratified_split, validation_split
+from telltale.plans.prepare import training_features
+from telltale.session import materialized
 from telltale.sources.sinks import save_model, sink_results
 
 
@@ -46,6 +49,21 @@ def keep_best(models: dict, results: DataFrame, path: str) -> str:
     return best
 
 
+def train_and_keep(dataset: DataFrame, path: str, features: list[str], patience: int = ml.PATIENCE, **overrides) -> DataFrame:
+    """From a prepared dataset to a stored model: extra features, split, fits that stop early on validation rows cut
+    from the training ones, metrics on the test rows, and the best model saved under ``path``. One row per model."""
+    rows = materialized(training_features(dataset), "training")
+    cut = materialized(stratified_split(rows), "split")
+    inner = materialized(validation_split(cut.where("split = 'train'")), "inner")
+    models, results = compare_models(inner.where("split = 'train'"), cut.where("split = 'test'"), features,
+                                     validation=inner.where("split = 'validation'"), patience=patience, **overrides)
+    results = materialized(results, "compared")
+    best = keep_best(models, results, path)
+    trees = {name: [m.stages[-1].getNumTrees for m in (fitted if isinstance(fitted, list) else [fitted])] for name, fitted in models.items()}
+    rounds = F.create_map(*[F.lit(x) for name, n in trees.items() for x in (name, sum(n))])
+    return results.withColumns({"trees": rounds[F.col("model")], "kept": F.col("model") == best})
+
+
 def tune_and_refit(train: DataFrame, validation: DataFrame, test: DataFrame, features: list[str],
                    preset: str = "primary", trials: int = 50, space: dict | None = None):
     """Search on train/validation, refit the best draw on both, score the test rows once."""

@@ -3,10 +3,11 @@ import random
 
 import numpy as np
 import pytest
+from conftest import stream_rows
 from pyspark.sql import functions as F
 
 from telltale.operators import learning as ml, neighbours as nb, scaling as sca
-from telltale.plans import train as training
+from telltale.plans import prepare, train as training
 from telltale.session import scratch_path
 from telltale.sources import sinks
 
@@ -164,3 +165,17 @@ def test_mlp_and_stacking(spark, rows):
     assert scored.count() == 100 and scored.where("score < 0 or score > 1").count() == 0
     stacked = ml.score_stacking(test, ml.fit_stacking(train, FEATURES, maxIter=1, maxDepth=2))
     assert stacked.count() == 100 and set(stacked.columns) >= {"score", "pred", "seq"}
+
+
+def test_training_run_keeps_the_best_model(spark):
+    rng = np.random.default_rng(11)
+    p = stream_rows(spark, [{"pid": int(q), "seq": i, "t": i, "cpu": float(rng.gamma(1, 20)), "mem": float(rng.gamma(1, 9))}
+                            for i, q in enumerate(rng.integers(1, 8, 400))])
+    dataset = prepare.engineer(p).withColumn("label", (F.col("cpu") + F.col("mem_mean_5") > 30).cast("int"))
+    path = scratch_path(spark, "flow")
+    table = training.train_and_keep(dataset, path, ["cpu", "mem", "mem_mean_5", "cpu_max_3", "cpu_pct_rank", "cpu_dev_from_avg"],
+                                    patience=2, maxIter=5, maxDepth=3).collect()
+    assert {r.model for r in table} == {"primary", "secondary", "voting"} and all(r.roc_auc > 0.8 for r in table)
+    assert [r.model for r in table if r.kept] == [max(table, key=lambda r: (r.roc_auc, r.model)).model]
+    assert all(1 <= r.trees <= (15 if r.model == "voting" else 5) and r.tp + r.tn + r.fp + r.fn == 100 for r in table)
+    assert sinks.load_model(f"{path}/model-0").stages[1].getNumTrees <= 5

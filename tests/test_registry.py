@@ -10,7 +10,7 @@ from check import TABLES, compare
 QUERIES = {k: v for k, v in entry.queries().items() if k not in entry.TEXT_QUERIES}
 ORACLES = {k: v for k, v in entry.oracle_sql().items() if k in QUERIES}
 MODELS = {"gbt_primary", "gbt_secondary", "gbt_plain", "mlp", "voting_soft", "stacking", "train_tuned", "tune", "tuning_history",
-          "feature_importance", "top_features", "score_rows", "model_store", "early_stop", "live_model_alerts"}
+          "feature_importance", "top_features", "score_rows", "model_store", "early_stop", "live_model_alerts", "training_flow"}
 
 
 @pytest.fixture(scope="module")
