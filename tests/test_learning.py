@@ -49,6 +49,11 @@ def test_neighbours_match_brute_force(spark, monkeypatch, block):
     assert got == brute(list(range(len(x))), x.tolist(), 5)
 
 
+def test_neighbours_of_none_and_of_one(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0])], "id long, vec array<double>")
+    assert nb.nearest_neighbours(df, "id", "vec").count() == 0 and nb.nearest_neighbours(df.where("false"), "id", "vec").count() == 0
+
+
 def test_few_pairs_are_compared_on_clustered_data(spark, monkeypatch):
     monkeypatch.setattr(nb, "ROWS_PER_LEAF", 25)
     rng = np.random.default_rng(3)
