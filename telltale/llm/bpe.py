@@ -7,7 +7,9 @@ from a binary search over the sorted pair keys) and merges it; only pairs next t
 up again, and words without a pair leave the array. A pair is merged at all its places at once where
 no later merge can come before it; else only at its leftmost place, as one-by-one merging would do.
 
-Text is brought to NFC and lower case character by character; white space ends words and is dropped;
+Text is brought to NFC and lower case character by character; strings with other than ASCII characters are
+folded and cut by the library's own normalizer and pattern engine, since Unicode versions differ in what is a letter.
+White space ends words and is dropped;
 the file's special tokens are found in the text as it came. Decoding joins the tokens' strings by
 blanks, as the file defines no decoder. Defined cases: null and empty texts have no tokens; rows may
 repeat and are encoded each; a text may have any length, its memory is a small multiple of it; an
@@ -18,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from collections.abc import Iterator
 from itertools import chain, islice
 
@@ -26,11 +27,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from telltale.llm.common import Numbered, chunks, texts
 
 # Fixed word pattern of the vocabulary.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD = regex.compile(PATTERN)
 SPACES = regex.compile(r"\s+")
 _NOT_SPACE = regex.compile("[\x1c-\x1f]")
 NONE = np.int32(2**31 - 1)
@@ -49,9 +52,8 @@ def byte_letters() -> list[str]:
     return out
 
 
-def _lower(text: str) -> str:
-    """Lower case of each character on its own; the final sigma has no special form then."""
-    return text.lower() if "Σ" not in text else "σ".join(p.lower() for p in text.split("Σ"))
+FOLD = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+CUT = pre_tokenizers.Split(Regex(PATTERN), "removed", invert=True)
 
 
 class WordBpe:
@@ -153,9 +155,9 @@ class WordBpe:
 
     @staticmethod
     def _words(text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        return WORD.findall(_lower(text))
+        if text.isascii():
+            return WORD.findall(text.lower())
+        return [w for w, _ in CUT.pre_tokenize_str(FOLD.normalize_str(text))]
 
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(self.tokens[ids].tolist())
