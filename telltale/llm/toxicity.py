@@ -78,13 +78,14 @@ def votes_of(counts: np.ndarray) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """text and toxic of at most ``max_rows`` labelled rows that are not held out."""
+    """doc_id, text and toxic of at most ``max_rows`` labelled rows that are not held out: one for an id, its greatest text."""
     known = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
              .where(remainder(F.col("doc_id"), HELD_OUT) != 1)
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     # at most max_rows rows of two numbers: the broadcast has a fixed bound
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where(F.col("text").isNotNull())
+    return (docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where(F.col("text").isNotNull())
+            .groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")))
 
 
 def mined_words(sample: DataFrame, least: int = 10, share: float = 0.9, most: int = 50) -> list[str]:
