@@ -1,8 +1,10 @@
 """Secrets: fixed shapes, and strings in a sensitive place that a primed compressor can't shorten.
 
 The base scan finds assignments, access keys and long hexadecimal runs. The novelty scan looks at
-every further token of ``min_length`` characters or more, with letters and digits, that follows a
-sensitive word on its line. A zstandard compressor is primed with the identifiers that the corpus
+every further token of ``min_length`` characters or more, with letters and digits, in a sensitive place:
+up to REACH code points before or after a sensitive word, whatever lines lie between, and the whole of a
+private-key block from its header to its END line (to the end of the text, if there is none). A
+zstandard compressor is primed with the identifiers that the corpus
 itself uses around sensitive words, and the text around the candidate is compressed with and
 without it: the difference is the candidate's marginal size. Prose, paths and identifiers cost a
 fraction of a byte per character there; a key costs nearly what its alphabet demands. Candidates at
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,7 +39,9 @@ SENSITIVE = ("password", "passwd", "secret", "token", "api_key", "apikey", "cred
 _PLACE = re.compile("|".join(SENSITIVE), re.I | re.A)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 _IDENTIFIER = re.compile(r"[^\W\d]\w{2,}")
+_KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?=-----END|\Z)", re.S)
 NEAR = 80  # code points on either side that count as surrounding text
+REACH = 400  # code points before and after a sensitive word that its place covers
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
 
@@ -49,19 +54,42 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def candidates(text: str, taken: list[tuple[int, int, int]], places: list[int]) -> Iterator[tuple[int, int]]:
-    """Tokens with letters and digits that start within NEAR after a sensitive word, on its line, outside ``taken``."""
-    seen: set[int] = set()
-    for at in places:
-        stop = text.find("\n", at, at + NEAR)
-        for m in _CANDIDATE.finditer(text, at, at + NEAR if stop < 0 else stop):
-            start, end = m.start(), _CANDIDATE.match(text, m.start()).end()  # whole, where the window cuts it
-            token = text[start:end]
-            if start in seen or not re.search("[0-9]", token) or not re.search("[A-Za-z]", token):
-                continue
-            if not any(a < end and start < b for a, _, b in taken):
-                seen.add(start)
-                yield start, end
+class Spans:
+    """Disjoint spans made of overlapping ones."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(spans):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meet(self, start: int, end: int) -> bool:
+        i = bisect_right(self.ends, start)
+        return i < len(self.starts) and self.starts[i] < end
+
+
+def places(text: str) -> Spans:
+    """What counts as near a sensitive word, or lies in a private-key block."""
+    if not _shown(text):
+        return Spans([])
+    near = [(max(0, m.start() - REACH), m.end() + REACH) for m in _PLACE.finditer(text)]
+    blocks = [m.span() for m in _KEY_BLOCK.finditer(text)] if "PRIVATE KEY-----" in text else []
+    return Spans(near + blocks)
+
+
+def candidates(text: str, taken: list[tuple[int, int, int]], where: Spans) -> Iterator[tuple[int, int]]:
+    """Whole tokens with letters and digits that lie in or reach into ``where``, outside ``taken``."""
+    if not where.starts:
+        return
+    used = Spans([(a, b) for a, _, b in taken])
+    for m in _CANDIDATE.finditer(text):
+        start, end = m.span()
+        if where.meet(start, end) and not used.meet(start, end) and _mixed(m.group()):
+            yield start, end
 
 
 class Novelty:
@@ -111,8 +139,7 @@ def scan_secrets(docs: DataFrame, min_cost: float = 0.5, min_length: int = 16, d
             for t in texts(batch):
                 base = base_spans(t)
                 more = []
-                places = [m.end() for m in _PLACE.finditer(t)] if _shown(t) else []
-                for start, end in candidates(t, base, places):
+                for start, end in candidates(t, base, places(t)):
                     if end - start >= min_length and novelty.cost(t[max(0, start - NEAR):start], t[start:end],
                                                                   t[end:end + NEAR]) >= min_cost:
                         more.append((start, 3, end))
@@ -132,3 +159,7 @@ def scan_secrets(docs: DataFrame, min_cost: float = 0.5, min_length: int = 16, d
 def _shown(text: str) -> bool:
     low = text.lower()
     return any(w in low for w in SENSITIVE)
+
+
+def _mixed(token: str) -> bool:
+    return re.search("[0-9]", token) is not None and re.search("[A-Za-z]", token) is not None
