@@ -2,9 +2,9 @@
 
 Token counts are summed per cell (source, language, topic). Raking scales the cells' weights to the
 source, language and topic targets in turn until no weight moves by TOLERANCE; only the cells move, never
-the documents. Where no weights meet all targets, that is where the rounds settle. Cells that may be
-broadcast are raked in one task, more of them in a written table a round. ``rounds`` ends it earlier, as
-in the SQL twin, which unrolls a fixed number. A cell's inclusion probability is proportional to its raked weight over its share of tokens,
+the documents. Where no weights meet all targets, moves shrink ever more slowly: raking also ends when, after
+SETTLING rounds, a round's largest move is still over STALLED of the one before. Cells that may be
+broadcast are raked in one task, more of them in a written table a round. A cell's inclusion probability is proportional to its raked weight over its share of tokens,
 at most 1; the common factor is set so that the expected tokens kept are ``rate`` of all. Cells that reach 1
 fall short of their weights, at high rates most small ones; ``rate`` None is the largest without. A document stays
 if its uniform draw (from a hash of its id) is below its cell's probability, so results don't depend
@@ -35,7 +35,12 @@ from telltale.session import broadcast_if_small, materialized, within_broadcast_
 SIDES = ("source", "lang", "topic")
 ALPHA, RATE, SEED = 0.5, 0.9, "mix"
 TOLERANCE = 1e-12
-ROUNDS, FACTOR_ROUNDS = 10, 12  # what the SQL twin unrolls
+SETTLING, STALLED = 100, 0.999
+
+
+def _ended(n: int, moved: float, before: float, tolerance: float) -> bool:
+    """Whether raking ends after round ``n``, given its largest move and that of the round before."""
+    return moved < tolerance or (n > SETTLING and moved > STALLED * before)
 
 
 def topic_of(text: Column) -> Column:
@@ -71,7 +76,7 @@ def _shares(cells: DataFrame, side: str, given: dict[str, float] | None, alpha:
     return sums.join(sums.agg(F.sum("raw").alias("all_raw"))).select(side, (F.col("raw") / F.col("all_raw")).alias("target"))
 
 
-def _raked_at_once(cells: DataFrame, targets: dict[str, dict[str, float]], alpha: float, rounds: int | None) -> DataFrame:
+def _raked_at_once(cells: DataFrame, targets: dict[str, dict[str, float]], alpha: float, tolerance: float) -> DataFrame:
     """``raked`` in one task, over arrays."""
 
     def rake(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,12 +91,14 @@ def _raked_at_once(cells: DataFrame, targets: dict[str, dict[str, float]], alpha
             sums, given = np.bincount(code, tokens, len(values)), targets.get(side)
             raw = np.where(sums > 0, sums ** alpha if given is None else [given.get(v, 0.0) for v in values], 0.0)
             sides.append((code, raw / (raw.sum() or 1.0)))
+        moved = np.inf
         for n in count(1):
-            before = weight
+            before, last = weight, moved
             for code, target in sides:
                 have = np.bincount(code, weight, len(target))
                 weight = weight * np.divide(target, have, out=np.zeros(len(have)), where=have > 0)[code]
-            if np.abs(weight - before).max() < TOLERANCE or n == rounds:
+            moved = float(np.abs(weight - before).max())
+            if _ended(n, moved, last, tolerance):
                 break
         yield from table.append_column("weight", pa.array(weight)).to_batches()
 
@@ -100,22 +107,24 @@ def _raked_at_once(cells: DataFrame, targets: dict[str, dict[str, float]], alpha
 
 
 def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA,
-          rounds: int | None = None) -> DataFrame:
+          tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) with weight, the raked share of tokens."""
     if within_broadcast_bound(cells):
-        return _raked_at_once(cells, targets or {}, alpha, rounds)
+        return _raked_at_once(cells, targets or {}, alpha, tolerance)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     now = materialized(cells.withColumn("weight", F.col("tokens") / F.lit(float(max(total, 1)))), "cells")
     wanted = {s: materialized(_shares(cells, s, (targets or {}).get(s), alpha), "targets") for s in SIDES}
+    moved = float("inf")
     for n in count(1):
-        step = now.withColumn("before", F.col("weight"))
+        last, step = moved, now.withColumn("before", F.col("weight"))
         for side in SIDES:
             sums = step.groupBy(side).agg(F.sum("weight").alias("have")).join(wanted[side], side)
             scaled = step.join(sums, side, "left")  # values without a target fall to 0
             step = scaled.withColumn("weight", F.when(F.col("have") > 0, F.col("weight") * F.col("target") / F.col("have"))
                                      .otherwise(F.lit(0.0))).drop("have", "target")
         now = materialized(step.withColumn("moved", F.abs(F.col("weight") - F.col("before"))).drop("before"), "cells")
-        if (now.agg(F.max("moved")).first()[0] or 0.0) < TOLERANCE or n == rounds:
+        moved = now.agg(F.max("moved")).first()[0] or 0.0
+        if _ended(n, moved, last, tolerance):
             break
         now = now.drop("moved")
     return now.select(*SIDES, "tokens", "weight")
@@ -146,7 +155,7 @@ def probabilities(cells: DataFrame, rate: float | None = RATE) -> DataFrame:
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA,
-          rate: float | None = RATE, rounds: int | None = None) -> DataFrame:
+          rate: float | None = RATE) -> DataFrame:
     """``docs`` with topic, tokens, inclusion probability and whether it is kept, in the last four columns.
 
     They are called _topic, _tokens, _p and _kept, with more underscores where ``docs`` has such columns.
@@ -155,7 +164,7 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, a
     p, kept = (unused(c, docs.columns) for c in ("_p", "_kept"))
     cells = materialized(rows.groupBy(F.col(source).alias("source"), F.col(lang).alias("lang"), F.col(topic).alias("topic"))
                          .agg(F.sum(tokens).alias("tokens")), "cells")
-    chances = probabilities(raked(cells, targets, alpha, rounds), rate).select(
+    chances = probabilities(raked(cells, targets, alpha), rate).select(
         F.col("source").alias(source), F.col("lang").alias(lang), F.col("topic").alias(topic), F.col("p").alias(p))
     found = rows.join(broadcast_if_small(materialized(chances, "chances")), [source, lang, topic])
     return found.select(*docs.columns, topic, tokens, p, (F.col(draw) < F.col(p)).alias(kept))
@@ -167,39 +176,44 @@ def sample_mixed(docs: DataFrame, **options) -> DataFrame:
     return found.where(F.col(found.columns[-1])).select(*docs.columns)
 
 
-def oracle(rounds: int = ROUNDS) -> str:
-    """The same in SQL: raking unrolled over a fixed number of rounds."""
-    parts = [r"""
-d as (select doc_id, coalesce(source, chr(0) || 'none') as source, coalesce(lang, chr(0) || 'none') as lang,
+def oracle() -> str:
+    """The same in SQL: raking and the common factor by recursion, each to its tolerance."""
+    scaled, steps = "weight", []
+    for i, side in enumerate(SIDES):
+        steps.append(f"select *, {scaled} * t_{side} / nullif(sum({scaled}) over (partition by {side}), 0) as w{i}")
+        scaled = f"coalesce(w{i}, 0)"
+    inner = "k where not ended"
+    for step in steps:
+        inner = f"({step} from {inner})"
+    targets = "".join(f"""
+t_{side} as (select {side}, r / sum(r) over () as t_{side}
+             from (select {side}, pow(sum(tokens), {ALPHA}) as r from c group by 1 having sum(tokens) > 0)),""" for side in SIDES)
+    joins = " ".join(f"left join t_{side} using ({side})" for side in SIDES)
+    given = ", ".join(f"coalesce(t_{side}, 0) as t_{side}" for side in SIDES)
+    held = ", ".join(f"t_{side}" for side in SIDES)
+    return rf"""
+with recursive d as (
+      select doc_id, coalesce(source, chr(0) || 'none') as source, coalesce(lang, chr(0) || 'none') as lang,
              case when lower(t) like '%license%' then 'legal' when t like '% | %' then 'table' when t like '%!!%' then 'shouted'
                   when t like '%***%' or t like '%$$$%' then 'noise' when t like '%@%' then 'contact' else 'prose' end as topic,
              len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as n_tokens,
-             ('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), '')), 1, 13))::ubigint / 4503599627370496.0 as draw
+             ('0x' || substr(md5('{SEED}:' || coalesce(cast(doc_id as varchar), '')), 1, 13))::ubigint / 4503599627370496.0 as draw
       from (select *, coalesce(text, '') as t from documents)),
 c as (select source, lang, topic, sum(n_tokens)::bigint as tokens from d group by all),
-total as (select sum(tokens)::double as n from c),
-w0 as (select c.*, tokens / n as weight from c, total)"""]
-    for side in SIDES:
-        parts.append(f"""
-t_{side} as (select {side}, r / sum(r) over () as target
-             from (select {side}, pow(sum(tokens), {ALPHA}) as r from c group by 1 having sum(tokens) > 0))""")
-    last = "w0"
-    for i in range(rounds):
-        for side in SIDES:
-            now = f"w{i + 1}_{side}"
-            parts.append(f"""
-{now} as materialized (select w.source, w.lang, w.topic, w.tokens,
-    case when s.have > 0 then w.weight * t.target / s.have else 0 end as weight
-  from {last} w left join (select {side}, sum(weight) as have from {last} group by 1) s using ({side}) left join t_{side} t using ({side}))""")
-            last = now
-    parts.append(f"""
-r as (select w.*, case when tokens > 0 then weight * n / tokens else 1 end as ratio from {last} w, total),
-f0 as (select {RATE}::double as f)""")
-    for i in range(FACTOR_ROUNDS):
-        parts.append(f"""
-f{i + 1} as materialized (select greatest(any_value(f), coalesce(({RATE} * any_value(n)
-    - coalesce(sum(case when ratio * f >= 1 then tokens end), 0)) / sum(case when ratio * f < 1 then tokens * ratio end), 0)) as f
-  from r, f{i}, total)""")
-    return ("with " + ",".join(parts) + f"""
-select doc_id, d.topic, n_tokens, round(least(1.0, ratio * f), 6) as p, draw < least(1.0, ratio * f) as kept
-from d join r on d.source = r.source and d.lang = r.lang and d.topic = r.topic, f{FACTOR_ROUNDS}""")
+total as (select sum(tokens)::double as n from c),{targets}
+k as (select source, lang, topic, tokens, n, {given}, tokens / n as weight, 0 as i, cast('inf' as double) as moved, false as ended
+        from c {joins}, total
+      union all
+      select source, lang, topic, tokens, n, {held}, weight, i, moved,
+             moved < {TOLERANCE} or (i > {SETTLING} and moved > {STALLED} * before) as ended
+        from (select source, lang, topic, tokens, n, {held}, {scaled} as weight, i + 1 as i, moved as before,
+                     max(abs({scaled} - weight)) over () as moved from {inner})),
+r as (select source, lang, topic, tokens, n, case when tokens > 0 then weight * n / tokens else 1 end as ratio from k where ended),
+g as (select *, cast({RATE} as double) as f, false as ended from r
+      union all
+      select source, lang, topic, tokens, n, ratio, new, new - f <= {TOLERANCE} * f
+        from (select *, greatest(f, coalesce(({RATE} * n - coalesce(sum(case when ratio * f >= 1 then tokens end) over (), 0))
+                                            / sum(case when ratio * f < 1 then tokens * ratio end) over (), f)) as new from g where not ended)),
+p as (select source, lang, topic, least(1.0, ratio * f) as p from g where ended)
+select doc_id, d.topic, n_tokens, round(p, 6) as p, draw < p as kept
+from d join p on d.source = p.source and d.lang = p.lang and d.topic = p.topic"""

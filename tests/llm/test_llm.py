@@ -364,11 +364,20 @@ def test_raking_ends_at_the_targets_of_sparse_cells(spark):
         assert all(math.isclose(have[k], v, abs_tol=1e-9) for k, v in want.items())
 
 
+def test_raking_ends_where_targets_are_met_only_in_the_limit(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 10), ("a", "y", "t", 10), ("b", "x", "t", 10)], "source string, lang string, topic string, tokens long")
+    got = mixing.raked(cells, {"source": {"a": 1.0, "b": 1.0}, "lang": {"x": 1.0, "y": 1.0}}).toPandas()
+    assert (got.groupby("source").weight.sum() - 0.5).abs().max() < 1e-3 and (got.groupby("lang").weight.sum() - 0.5).abs().max() < 1e-3
+    # no weights at all meet these
+    got = mixing.raked(cells, {"source": {"a": 1.0, "b": 1.0}, "lang": {"x": 1.0, "y": 9.0}}).toPandas()
+    assert math.isclose(got.weight.sum(), 1.0) and got.weight.between(0, 1).all()
+
+
 def test_raking_by_table_and_at_once(spark, request):
     cells, targets = sparse_cells(spark)
-    once = mixing.raked(cells, targets, rounds=2).toPandas()
+    once = mixing.raked(cells, targets, tolerance=0.01).toPandas()
     request.getfixturevalue("no_broadcast")
-    by_table = mixing.raked(cells, targets, rounds=2).toPandas()
+    by_table = mixing.raked(cells, targets, tolerance=0.01).toPandas()
     both = once.merge(by_table, on=list(mixing.SIDES))
     assert len(both) == len(once) == len(by_table) and (both.weight_x - both.weight_y).abs().max() < 1e-12
 
