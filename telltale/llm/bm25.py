@@ -34,7 +34,7 @@ K1, B, K = 1.2, 0.75, 10
 SHARD_BYTES, QUERY_BYTES = 16 << 20, 16 << 20
 BLOCK = 32
 DENSE = 8
-DIGITS = 9
+DIGITS = 6
 TOGETHER = 256  # queries whose frequent terms are summed in one product
 NO_ID = np.iinfo(np.int64).max
 
@@ -117,9 +117,9 @@ class Shard:
         step = -(-2 * k // BLOCK) + 1
         at = 0
         while at < len(order):
-            # sums of bounds and rounded scores may differ in the last bits
+            # a rounded score may lie half a digit above its bound
             part = order[at:at + step]
-            part = part[bound[part] * (1 + 1e-9) + 1e-8 >= least]
+            part = part[bound[part] * (1 + 1e-9) + 10.0 ** -DIGITS >= least]
             if not len(part):
                 break
             wanted = np.zeros(self.blocks, bool)
