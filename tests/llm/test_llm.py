@@ -50,7 +50,7 @@ def none(spark):
 @pytest.fixture(scope="module")
 def db(sf):
     con = duckdb.connect()
-    for t in ("documents", "labels", "conversations"):
+    for t in ("documents", "benchmark", "labels", "conversations"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     return con
 
@@ -331,6 +331,19 @@ def test_search_as_by_hand(spark):
 
 
 # -- mixing -----------------------------------------------------------------------------------------------
+def test_search_ranks_near_ties_as_sql(spark):
+    rows = [(i, "common " + "x " * i + f"own{i}") for i in range(2000)]
+    docs = table(spark, rows)
+    asked = docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id").selectExpr("* except (text)", "'common' as text")
+    got = bm25.search(docs, asked).toPandas()
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841 (read by the statement)
+    want = duckdb.sql(queries.ORACLES["op3_search"].replace(
+        "q as (select doc_id as query_id, w from t where doc_id % 100 = 0)",
+        "q as (select doc_id as query_id, 'common' as w from documents where doc_id % 100 = 0)")).df()
+    both = got.merge(want, on=["query_id", "rank"])
+    assert len(both) == len(got) == len(want) == 200 and (both.doc_id_x == both.doc_id_y).all()
+
+
 def test_raked_weights_meet_targets(spark):
     cells = spark.createDataFrame([(s, x, t, 10 + 7 * a + 3 * b * c) for a, s in enumerate("abc") for b, x in enumerate("de")
                                    for c, t in enumerate("fg")], "source string, lang string, topic string, tokens long")
