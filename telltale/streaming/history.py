@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +27,8 @@ from telltale.session import ROCKSDB_PROVIDER
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 HELD = 20  # fixed value: samples kept per process
-SLICE = 4096  # rows of a process that are laid out at once
+SLICE = 4096  # rows of a process whose histories are laid out at once
+DEEP = 65_536  # rows of a process and micro-batch that are put in order at once
 HISTORIES = {"cpu_hist": "cpu", "mem_hist": "mem", "io_hist": "io_write_bytes"}
 PREVIOUS = ["cpu", "mem", "num_children", "io_read_bytes", "io_write_bytes", "io_read_count", "io_write_count",
             "num_connections", "num_threads", "num_fds", "ctx_switches_voluntary", "ctx_switches_involuntary"]
@@ -48,55 +51,132 @@ def output_schema() -> T.StructType:
         + [T.StructField(h, T.ArrayType(NUMBER)) for h in HISTORIES])
 
 
+def _micros(rows: pd.DataFrame) -> np.ndarray:
+    return rows["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
+
+
+def _ordered(frames: list[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(frames, ignore_index=True).sort_values(["timestamp", "seq"], ignore_index=True)
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_pandas()
+
+
 class HistoryProcessor(StatefulProcessor):
     """Keeps one small buffer per process; rows of a micro-batch are taken in time order.
 
     A row more than ``late_us`` older than the newest one its process has shown is handed on marked
-    late, with no history, and leaves the buffer as it is.
+    late, with no history, and leaves the buffer as it is. Up to ``deep`` rows of a process are laid out
+    at once. The micro-batch of a hotter one is cut into pieces of time, which wait in state until all
+    of its rows have come; then piece follows piece, each with the tail of the one before.
     """
 
-    def __init__(self, late_us: int, idle_seconds: float | None = None):
+    def __init__(self, late_us: int, idle_seconds: float | None = None, deep: int = DEEP):
         self.late_us = late_us
         self.idle_us = np.inf if idle_seconds is None else idle_seconds * 1e6
+        self.deep = deep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.buffer = handle.getValueState("buffer", STATE)
+        self.waiting = handle.getMapState("waiting", "piece long, part int", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["timestamp", "seq"], ignore_index=True)
-        stamps = batch["timestamp"].astype("datetime64[us]").astype("int64")
-        first, last, prev, past = int(stamps.iloc[0]), None, None, [[] for _ in HISTORIES]
+        first, last, prev, past = None, None, None, [[] for _ in HISTORIES]
         if self.buffer.exists():
             first, last, prev, *past = self.buffer.get()
-        late = stamps < (last if last is not None else stamps.iloc[0]) - self.late_us
-        if late.any():
-            yield self._framed(key, batch[late].reset_index(drop=True), first, 0, None, [None] * len(HISTORIES), True)
-        batch, stamps = batch[~late].reset_index(drop=True), stamps[~late].to_numpy()
         old = [np.array(list(p), float) for p in past]
-        # a silence of idle_us ends a process: what follows starts with an empty buffer
-        begins = np.diff(stamps, prepend=stamps[:1] if last is None else last) > self.idle_us if len(stamps) else []
-        edges = [0, *(int(i) for i in np.flatnonzero(begins) if i), len(batch)]
-        for begin, end in zip(edges, edges[1:]):
-            if begin < end and begins[begin]:
-                first, prev, old = int(stamps[begin]), None, [np.zeros(0) for _ in HISTORIES]
-            for at in range(begin, end, SLICE):
-                part = batch.iloc[at:min(at + SLICE, end)].reset_index(drop=True)
-                values = part[PREVIOUS].to_numpy(float)
-                before = np.vstack([[np.nan] * len(PREVIOUS) if prev is None else prev, values[:-1]])
-                held = np.minimum(len(old[0]) + 1 + np.arange(len(part)), HELD)
-                hists = []
-                for i, c in enumerate(HISTORIES.values()):
-                    line = np.r_[old[i], values[:, PREVIOUS.index(c)]]
-                    ends = len(old[i]) + 1 + np.arange(len(part))
-                    hists.append([line[e - n:e] for e, n in zip(ends, held)])
-                    old[i] = line[-HELD:]
-                prev = values[-1].tolist()
-                yield self._framed(key, part, first, held, before, hists, False)
-        if len(batch):
-            newest = max(int(stamps[-1]), last if last is not None else 0)
+        earliest, pieces = self._in_time_order(rows)
+        first = earliest if first is None else first
+        limit = (earliest if last is None else last) - self.late_us
+        newest, before_us = last, last
+        for batch in pieces:
+            stamps = _micros(batch)
+            late = stamps < limit
+            if late.any():
+                yield self._framed(key, batch[late].reset_index(drop=True), first, 0, None, [None] * len(HISTORIES), True)
+            batch, stamps = batch[~late].reset_index(drop=True), stamps[~late]
+            if not len(batch):
+                continue
+            # a silence of idle_us ends a process: what follows starts with an empty buffer
+            begins = np.diff(stamps, prepend=stamps[:1] if before_us is None else before_us) > self.idle_us
+            edges = [0, *(int(i) for i in np.flatnonzero(begins) if i), len(batch)]
+            for begin, end in zip(edges, edges[1:]):
+                if begins[begin]:
+                    first, prev, old = int(stamps[begin]), None, [np.zeros(0) for _ in HISTORIES]
+                for at in range(begin, end, SLICE):
+                    part = batch.iloc[at:min(at + SLICE, end)].reset_index(drop=True)
+                    values = part[PREVIOUS].to_numpy(float)
+                    before = np.vstack([[np.nan] * len(PREVIOUS) if prev is None else prev, values[:-1]])
+                    held = np.minimum(len(old[0]) + 1 + np.arange(len(part)), HELD)
+                    hists = []
+                    for i, c in enumerate(HISTORIES.values()):
+                        line = np.r_[old[i], values[:, PREVIOUS.index(c)]]
+                        ends = len(old[i]) + 1 + np.arange(len(part))
+                        hists.append([line[e - n:e] for e, n in zip(ends, held)])
+                        old[i] = line[-HELD:]
+                    prev = values[-1].tolist()
+                    yield self._framed(key, part, first, held, before, hists, False)
+            before_us = int(stamps[-1])
+            newest = before_us if newest is None else max(before_us, newest)
             self.buffer.update((first, newest, prev, *[o.tolist() for o in old]))
 
+    def _in_time_order(self, rows: Iterator[pd.DataFrame]) -> tuple[int, Iterator[pd.DataFrame]]:
+        """The earliest time and all rows in order of (timestamp, seq), as one frame or, of a hot process, as pieces."""
+        frames, count = [], 0
+        for frame in rows:
+            frames.append(frame)
+            count += len(frame)
+            if count > self.deep:
+                return self._cut(frames, rows)
+        whole = _ordered(frames)
+        return int(_micros(whole)[0]), iter([whole])
+
+    def _cut(self, frames: list[pd.DataFrame], rest: Iterator[pd.DataFrame]) -> tuple[int, Iterator[pd.DataFrame]]:
+        """Pieces as long as the time in which half of ``deep`` of the rows at hand fell; deeper ones are cut again."""
+        stamps = np.sort(np.concatenate([_micros(f) for f in frames]))
+        span = max(int(stamps[-1] - stamps[0]) * (self.deep // 2) // len(stamps), 1)
+        earliest, places = int(stamps[0]), {}
+        for frame in chain(frames, rest):
+            earliest = min(earliest, int(_micros(frame).min()))
+            self._wait(frame, _micros(frame) // span, places)
+        return earliest, self._pieces(places, span)
+
+    def _wait(self, frame: pd.DataFrame, piece: np.ndarray, places: dict[int, list[tuple[int, int]]]) -> None:
+        for at in np.unique(piece):
+            some = frame[piece == at]
+            parts = places.setdefault(int(at), [])
+            # a part number is never used twice, also when a piece is cut again under the same piece number
+            self.parts = getattr(self, "parts", 0) + 1
+            parts.append((self.parts, len(some)))
+            self.waiting.updateValue((int(at), self.parts), (_packed(some),))
+
+    def _pieces(self, places: dict[int, list[tuple[int, int]]], span: int) -> Iterator[pd.DataFrame]:
+        for at in sorted(places):
+            frames = self._taken(at, places[at])
+            if span > 1 and sum(n for _, n in places[at]) > self.deep:
+                finer, inner = max(span // 16, 1), {}
+                for frame in frames:
+                    self._wait(frame, _micros(frame) // finer, inner)
+                yield from self._pieces(inner, finer)
+            else:
+                yield _ordered(list(frames))
+
+    def _taken(self, at: int, parts: list[tuple[int, int]]) -> Iterator[pd.DataFrame]:
+        for part, _ in parts:
+            rows = _unpacked(self.waiting.getValue((at, part))[0])
+            self.waiting.removeKey((at, part))
+            yield rows
+
     @staticmethod
     def _framed(key, part, first, held, before, hists, late) -> pd.DataFrame:
         out = part[PASSED].copy()
@@ -118,15 +198,16 @@ def _ready(df: DataFrame) -> DataFrame:
                      *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in PREVIOUS])
 
 
-def live_history(stream: DataFrame, late_seconds: float = 600, idle_seconds: float | None = None) -> DataFrame:
+def live_history(stream: DataFrame, late_seconds: float = 600, idle_seconds: float | None = None, deep: int = DEEP) -> DataFrame:
     """The stream with each row's history. No row is dropped: late ones come out with ``late`` set.
 
     State is one buffer of 20 samples per process seen. With ``idle_seconds``, a process that returns
-    after a silence of that length (in event time) starts anew, as a reused process id does.
+    after a silence of that length (in event time) starts anew, as a reused process id does. A process
+    with more than ``deep`` rows in a micro-batch is taken in pieces of time; rows of one microsecond stay together.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     return (_ready(stream).groupBy("session_id", "pid").transformWithStateInPandas(
-        HistoryProcessor(int(late_seconds * 1e6), idle_seconds), output_schema(), "Append", "None"))
+        HistoryProcessor(int(late_seconds * 1e6), idle_seconds, deep), output_schema(), "Append", "None"))
 
 
 def batch_history(df: DataFrame, keys=("session_id", "pid"), limit: int | None = None) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import by_seq, stream_rows
 from pyspark.sql import functions as F
@@ -10,8 +11,9 @@ from telltale.sources import fixtures as fx
 from telltale.sources.logs import stream_process_snapshots
 from telltale.sources.sinks import save_model
 from telltale.streaming.alerts import LiveDetector, alert_once, alert_rows, alert_totals, first_alerts, rule_scorer, threshold_alerts
+from telltale.streaming import history
 from telltale.streaming.features import live_features
-from telltale.streaming.history import batch_history, live_history
+from telltale.streaming.history import HistoryProcessor, batch_history, live_history
 
 INPUTS = ["cpu", "mem", "num_fds", "num_connections"]
 WEIGHTS = {"cpu": 0.4, "mem": 0.3, "num_fds": 0.2, "num_connections": 0.1}
@@ -126,3 +128,60 @@ def test_replay_of_two_months_keeps_time_order(spark):
     got = detector.feature_table(spark).orderBy("seq").collect()
     assert [r.held for r in got] == [min(i + 1, 20) for i in range(30)]
     assert got[-1].cpu_hist == [float(2 * d) for d in range(10, 30)] and got[-1].child_entropy == 1.5
+
+
+class Kept(dict):
+    """Stands in for both kinds of state."""
+    getValue, updateValue, removeKey = dict.get, dict.__setitem__, dict.__delitem__
+
+    def exists(self):
+        return "one" in self
+
+    def get(self, key="one", default=None):
+        return dict.get(self, key, default)
+
+    def update(self, value):
+        self["one"] = value
+
+
+def _processor(deep, **settings):
+    p = HistoryProcessor(int(60e6), deep=deep, **settings)
+    p.buffer, p.waiting, p.seen = Kept(), Kept(), []
+    p._framed = lambda key, part, first, held, before, hists, late: (p.seen.append(len(part)), HistoryProcessor._framed(
+        key, part, first, held, before, hists, late))[1]
+    return p
+
+
+@pytest.mark.parametrize("idle", [None, 40.0])
+def test_a_hot_process_is_taken_in_pieces(idle, monkeypatch):
+    rng, ordered = np.random.default_rng(4), []
+    monkeypatch.setattr(history, "_ordered", lambda frames, of=history._ordered: (ordered.append(sum(map(len, frames))), of(frames))[1])
+    n = 5000
+    t = np.r_[rng.integers(0, 10**6, n // 2), rng.integers(5 * 10**8, 5 * 10**8 + 10**5, n // 4), np.full(90, 77), rng.integers(0, 10**9, n // 4 - 90)]
+    rows = pd.DataFrame({c: rng.random(n) for c in history.PREVIOUS}).assign(
+        seq=rng.permutation(n), timestamp=pd.to_datetime(t * 1000, unit="us"), ppid=1, exe="a", status=None, child_entropy=0.0)
+    def run(p):
+        out = [pd.concat(p.handleInputRows(("s", 1), iter([rows[i:min(i + 130, to)] for i in range(at, to, 130)]), None))
+               for at, to in ((0, 3000), (3000, n))]
+        return pd.concat(out).sort_values("seq", ignore_index=True), p
+    (want, plain), (got, cut) = run(_processor(10**6, idle_seconds=idle)), run(_processor(100, idle_seconds=idle))
+    assert len(got) == n and got["late"].any() and not got["late"].all()
+    for c in got.columns:
+        assert all(np.array_equal(a, b, equal_nan=True) for a, b in zip(got[c], want[c])) if c.endswith("_hist") else got[c].equals(want[c]), c
+    assert ordered[:2] == [3000, 2000] and max(ordered[2:]) <= 100
+    assert plain.buffer == cut.buffer and not cut.waiting
+
+
+def test_stream_of_a_hot_process_equals_its_batch_twin(spark):
+    rng = np.random.default_rng(5)
+    rows = stream_rows(spark, [{"pid": int(i % 50 == 0), "t": float(t), "cpu": float(t % 7)} for i, t in enumerate(rng.permutation(1500))])
+    landing, out, cp = (scratch_path(spark, n) for n in ("hot", "hot-out", "hot-cp"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        for part in live.time_slices(rows, 2):
+            live.land(part, landing, 3)
+            run(live_history(stream_process_snapshots(spark, landing, "parquet", schema=rows.schema), late_seconds=1e6, deep=100), out, cp)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    columns = ("held", "first_us", "prev_cpu", "cpu_hist")
+    assert by_seq(spark.read.parquet(out).fillna(-1, "prev_cpu"), *columns) == by_seq(batch_history(rows).fillna(-1, "prev_cpu"), *columns)
