@@ -2,7 +2,8 @@
 
 Documents are indexed in shards of about SHARD_BYTES, each written as one row: terms, and for each term
 the documents with their counts. Terms of more than a DENSE-th of a shard's documents are a matrix there, so their
-sums for many queries are one product. Scores use statistics of the whole table (documents, mean length, document
+sums for many queries are one product. Within a shard, documents are numbered by their most
+frequent word and their length, so that a block holds documents of one language and like size and its bounds are close. Scores use statistics of the whole table (documents, mean length, document
 frequency of each query term), so shard results merge exactly. Postings are grouped in blocks of
 BLOCK document numbers. A query's bound for a block is the best sum of frequent terms there plus the largest
 contribution of each of its other terms; only blocks whose sum can reach the k-th best score so far are scored, most promising ones first. The k-th
@@ -33,7 +34,7 @@ from telltale.session import materialized
 K1, B, K = 1.2, 0.75, 10
 SHARD_BYTES, QUERY_BYTES = 16 << 20, 16 << 20
 BLOCK = 32
-DENSE = 8
+DENSE = 32
 DIGITS = 6
 TOGETHER = 256  # queries whose frequent terms are summed in one product
 NO_ID = np.iinfo(np.int64).max
@@ -51,10 +52,13 @@ def build_index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 continue
             length = np.array([len(r) for r in rows], np.int64)
             flat = np.concatenate([np.array(r, np.int64) for r in rows])
-            key, tf = np.unique(flat * len(rows) + np.repeat(np.arange(len(rows)), length), return_counts=True)
+            order = _alike(flat, length)
+            number = np.empty(len(rows), np.int64)
+            number[order] = np.arange(len(rows))
+            key, tf = np.unique(flat * len(rows) + np.repeat(number, length), return_counts=True)
             df = np.bincount(key // len(rows), minlength=len(known))
             yield pa.RecordBatch.from_pydict({
-                "ids": [batch.column("doc_id").to_pylist()], "lengths": [length.tolist()], "terms": [zip_.compress(b"\n".join(known))],
+                "ids": [batch.column("doc_id").take(pa.array(order)).to_pylist()], "lengths": [length[order].tolist()], "terms": [zip_.compress(b"\n".join(known))],
                 "df": [zip_.compress(df.astype("<u4").tobytes())], "docs": [zip_.compress((key % len(rows)).astype("<u4").tobytes())],
                 "tf": [zip_.compress(tf.astype("<u4").tobytes())], "n": [len(rows)], "total": [int(length.sum())]}, kinds)
 
@@ -64,6 +68,15 @@ def build_index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return given.mapInArrow(index, "ids array<long>, lengths array<long>, terms binary, df binary, docs binary, tf binary, n long, total long")
 
 
+def _alike(flat: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Order of documents by how often the shard has their most frequent word, then by length."""
+    most = np.zeros(len(length), np.int64)
+    full = np.flatnonzero(length)
+    if len(full):
+        most[full] = np.maximum.reduceat(np.bincount(flat)[flat], (np.cumsum(length) - length)[full])
+    return np.lexsort((length, most))
+
+
 class Shard:
     """A shard's postings with contributions (without idf) and block maxima."""
 
@@ -98,7 +111,8 @@ class Shard:
         for i, (terms, idf) in enumerate(queries):
             row = self.row[terms]
             weight[i, row[row >= 0]] = idf[row >= 0]
-        return weight @ self.dense
+        used = np.flatnonzero(weight.any(axis=0))
+        return weight[:, used] @ self.dense[used]
 
     def search(self, terms: np.ndarray, idf: np.ndarray, base: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Document numbers and scores that may be among the best k, given k scores of at least ``least``."""
@@ -107,34 +121,33 @@ class Shard:
         rare = self.row[terms] < 0
         terms, idf = terms[rare], idf[rare]
         group, of = _ranges(self.groups[terms], self.groups[terms + 1])
-        weight = idf[of]
-        bound = (np.bincount(self.block[group], weight * self.most[group], self.blocks)
+        block, weight = self.block[group], idf[of]
+        bound = (np.bincount(block, weight * self.most[group], self.blocks)
                  + np.maximum.reduceat(base, np.arange(0, self.n, BLOCK)))
-        touched = np.flatnonzero(bound > 0)
-        order = touched[np.argsort(-bound[touched], kind="stable")]
+        order = np.flatnonzero((bound > 0) & (bound * (1 + 1e-9) + 10.0 ** -DIGITS >= least))  # a rounded score may lie half a digit above its bound
+        order = order[np.argsort(-bound[order], kind="stable")]
         scores = np.zeros(0)
         found = np.zeros(0, np.int64)
         step = -(-2 * k // BLOCK) + 1
         at = 0
         while at < len(order):
-            # a rounded score may lie half a digit above its bound
             part = order[at:at + step]
             part = part[bound[part] * (1 + 1e-9) + 10.0 ** -DIGITS >= least]
             if not len(part):
                 break
             wanted = np.zeros(self.blocks, bool)
             wanted[part] = True
-            use = wanted[self.block[group]]
-            posting, which = _ranges(self.first[group[use]], self.first[group[use] + 1])
+            use = np.flatnonzero(wanted[block])
+            here = group[use]
+            posting, which = _ranges(self.first[here], self.first[here + 1])
             total = base + np.bincount(self.docs[posting], weight[use][which] * self.part[posting], self.n)
-            hit = np.flatnonzero((total > 0) & np.repeat(wanted, BLOCK)[:self.n])
-            found, scores = np.r_[found, hit], np.r_[scores, np.round(total[hit], DIGITS)]
+            hit = np.flatnonzero((total > 0) & (total + 10.0 ** -DIGITS >= least) & np.repeat(wanted, BLOCK)[:self.n])
+            found, scores = np.concatenate([found, hit]), np.concatenate([scores, np.round(total[hit], DIGITS)])
             if len(scores) > k:
-                best = np.argpartition(-scores, k - 1)
-                cut = scores[best[k - 1]]
+                cut = np.partition(scores, len(scores) - k)[len(scores) - k]
                 keep = scores >= cut
                 found, scores, least = found[keep], scores[keep], max(least, cut)
-            at, step = at + step, step * 4
+            at, step = at + step, step * 16
         return found, scores
 
 
@@ -197,6 +210,8 @@ def _search_block(index: DataFrame, block: list[tuple[int, list[bytes]]], n: int
     counts = index.select("terms", "df").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
     df[counts["term"].to_numpy(np.int64)] = counts["df"].to_numpy(np.int64)
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    # queries with the same most frequent word are taken together: their products use the same few rows
+    asked.sort(key=lambda x: (int(x[1][idf[x[1]].argmin()]) if len(x[1]) else -1))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [(np.zeros(0, np.int64), np.zeros(0)) for _ in asked]
