@@ -6,9 +6,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from telltale.llm import decontaminate, fill_middle, ranked_search
+from telltale.llm import bm25, decontaminate, fill_middle, ranked_search
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ITEMS = "item_id long, text string"
@@ -213,3 +214,11 @@ def test_ranks_on_odd_rows(spark, odd, none):
     assert got == ranks_by_hand(odd_rows(), items) and len(got) > 5
     assert ranked_search.ranked(none, asked).count() == 0
     assert ranked_search.ranked(odd, asked.where("false")).count() == 0
+
+
+def test_documents_of_a_shard_are_numbered_by_likeness():
+    rows = [[0, 0, 1], [], [2, 3], [0], [2, 2, 3, 4], []]  # word 0 and word 2 are met three times each
+    length = np.array([len(r) for r in rows])
+    order = bm25._alike(np.concatenate([np.array(r, np.int64) for r in rows]), length)
+    assert order.tolist() == [1, 5, 3, 2, 0, 4] and sorted(order) == list(range(6))
+    assert bm25._alike(np.zeros(0, np.int64), np.zeros(2, np.int64)).tolist() == [0, 1]
