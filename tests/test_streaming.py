@@ -185,3 +185,40 @@ def test_stream_of_a_hot_process_equals_its_batch_twin(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     columns = ("held", "first_us", "prev_cpu", "cpu_hist")
     assert by_seq(spark.read.parquet(out).fillna(-1, "prev_cpu"), *columns) == by_seq(batch_history(rows).fillna(-1, "prev_cpu"), *columns)
+
+
+def test_one_call_lays_out_many_processes():
+    rng, n = np.random.default_rng(9), 900
+    rows = pd.DataFrame({c: rng.random(n) for c in history.PREVIOUS}).assign(
+        seq=rng.permutation(n), timestamp=pd.to_datetime(rng.integers(0, 10**8, n) * 1000, unit="us"), ppid=1, exe="a", status=None,
+        child_entropy=0.0, session_id="s", pid=rng.integers(0, 60, n)).assign(**{history.PROCESS: lambda d: d["pid"].astype(str)})
+    def together(deep):
+        p, frames = history.HistoriesProcessor(int(30e6), 5.0, deep), []
+        p.buffers, p.waiting = Kept(), Kept()
+        for at in (0, 500):
+            some = rows[at:at + 500]
+            frames += p.handleInputRows((7,), iter([some[i:i + 130] for i in range(0, len(some), 130)]), None)
+        assert len(p.buffers) == 60 and not p.waiting  # state is still one entry a process
+        return frames
+    def one_by_one():
+        for pid, of in rows.groupby("pid"):
+            p = HistoryProcessor(int(30e6), 5.0)
+            p.buffer, p.waiting = Kept(), Kept()
+            for some in (of[of.index < 500], of[of.index >= 500]):
+                if len(some):
+                    yield from p.handleInputRows(("s", pid), iter([some]), None)
+    order = lambda frames: pd.concat(frames).sort_values("seq", ignore_index=True)
+    want, whole, cut = order(one_by_one()), together(history.DEEP), together(100)
+    assert len(whole) <= 4  # calls and frames go with rows, not with processes
+    for got in (order(whole), order(cut)):
+        assert got["late"].any() and len(got) == n
+        for c in want.columns:
+            assert all(np.array_equal(a, b, equal_nan=True) for a, b in zip(got[c], want[c])) if c.endswith("_hist") else got[c].equals(want[c]), c
+
+
+def test_rows_without_process_id_are_a_process(spark):
+    rows = stream_rows(spark, [{"pid": None if i % 2 else 5, "t": i, "cpu": float(i)} for i in range(12)])
+    landing, out, cp = (scratch_path(spark, n) for n in ("null", "null-out", "null-cp"))
+    live.land(rows, landing)
+    run(live_history(stream_process_snapshots(spark, landing, "parquet", schema=rows.schema)).select("seq", "pid", "held"), out, cp)
+    assert by_seq(spark.read.parquet(out), "pid", "held") == {i: (None if i % 2 else 5, i // 2 + 1) for i in range(12)}
