@@ -517,3 +517,9 @@ def test_pipeline_stages(spark, sf, corpus):
     assert set(final) <= lone and len(final) > 0.8 * len(lone)
     assert all(ids == known.encode(text[i], add_special_tokens=False).ids for i, ids in final.items())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "bpe"]
+
+
+def test_class_lm_chunks_are_small(spark):
+    docs = spark.createDataFrame([(i, "ab cd " * 160_000) for i in range(8)], "doc_id long, text string").coalesce(1)  # 7.7 MB
+    rows = class_lm.encoded(docs, 4, "doc_id", "text").where("bucket < 0").select("ids").collect()
+    assert len(rows) > 1 and sorted(i for r in rows for i in r.ids) == list(range(8))
