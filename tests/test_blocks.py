@@ -108,3 +108,62 @@ def test_null_keys_are_a_group(spark):
     s.running(F.sum, total=F.lit(1)).whole(n=F.count(F.lit(1))).add(back=F.lag("seq", 2).over(s.w))
     got = by_seq(s.done(), "total", "n", "back")
     assert got == {i: ((i + 1, 30, i - 2 if i > 1 else None) if i < 30 else (i - 29, 4, i - 2 if i > 31 else None)) for i in range(34)}
+
+
+def test_use_utc_sets_what_was_left_at_sparks_defaults(spark):
+    from telltale.session import WIDE_ROWS, use_utc
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "65535")
+        use_utc(spark)
+        assert spark.conf.get(name) == WIDE_ROWS[name] == "8000"
+        spark.conf.set(name, "1234")
+        use_utc(spark)
+        assert spark.conf.get(name) == "1234"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_global_jump_orders_processes_not_rows(spark, monkeypatch):
+    """Short processes, null keys among them, against the whole table in one order; only keys and values of tails are written."""
+    import random
+    from telltale.operators import ordering
+    from telltale.operators.blocks import process_series
+    rng, rows, seq = random.Random(3), [], 0
+    for pid in [None, *range(30)]:
+        for t in range(rng.choice([1, 2, 5, 19, 20, 33])):
+            rows.append((seq, "s" if pid != 7 else None, pid, t, rng.choice([None, float(rng.randint(0, 60))]), float(rng.randint(0, 60)), "x"))
+            seq += 1
+    df = spark.createDataFrame(rows, "seq long, session_id string, pid long, t long, delta_cpu double, delta_mem double, exe string"
+                               ).withColumn("timestamp", ordering.F.timestamp_seconds("t"))
+    written, write = [], ordering.materialized
+    monkeypatch.setattr(ordering, "materialized", lambda d, name: written.append(d.columns) or write(d, name))
+    low = lambda x: (x is not None, x if x is not None else "")
+    order = sorted(rows, key=lambda r: (low(r[1]), (r[2] is not None, r[2] or 0), r[3], r[0]))
+    expected = {}
+    for at, r in enumerate(order):
+        past = order[max(0, at - 19):at]
+        start = sum(1 for p in order[:at] if p[1:3] == r[1:3])
+
+        def above(c):
+            known = [p[c] for p in (past if start < 19 else past[-19:]) if p[c] is not None]
+            return int(r[c] is not None and bool(known) and r[c] > max(known) and len(past) == 19)
+        expected[r[0]] = (above(4), above(5))
+    for limit in (None, 25):
+        got = ordering.global_jump(process_series(df, halo=19, limit=limit))
+        assert {r.seq: (r.cpu_jump, r.mem_jump) for r in got.collect()} == expected
+        assert got.columns == [*df.columns, "cpu_jump", "mem_jump"]
+    assert written and all("exe" not in c for c in written)
+
+
+def test_percentile_rank_sorts_once_a_column(spark):
+    from telltale.operators.features import percentile_rank
+    df = spark.createDataFrame([("s", 1, 5.0, 1.0), ("s", 1, 5.0, None), ("s", 1, 2.0, 3.0), ("s", 2, None, 0.0), ("s", 2, -0.0, -0.0)],
+                               "session_id string, pid long, cpu double, mem double")
+    out = percentile_rank(df)
+    assert sorted((r.pid, r.cpu or 0, r.cpu_pct_rank, r.mem_pct_rank) for r in out.na.fill(-1, ["cpu_pct_rank", "mem_pct_rank"]).collect()) == [
+        (1, 2.0, 1 / 3, 1.0), (1, 5.0, 2.5 / 3, -1.0), (1, 5.0, 2.5 / 3, 0.5), (2, 0, -1.0, 0.75), (2, 0, 1.0, 0.75)]
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Window [") == 4
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Sort [") <= 3, plan
