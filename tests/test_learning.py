@@ -184,3 +184,21 @@ def test_training_run_keeps_the_best_model(spark):
     assert [r.model for r in table if r.kept] == [max(table, key=lambda r: (r.roc_auc, r.model)).model]
     assert all(1 <= r.trees <= (15 if r.model == "voting" else 5) and r.tp + r.tn + r.fp + r.fn == 100 for r in table)
     assert sinks.load_model(f"{path}/model-0").stages[1].getNumTrees <= 5
+
+
+def test_only_near_pairs_are_compared_one_by_one(monkeypatch):
+    """Distances and ties as by direct differences of all pairs, which are not made."""
+    import numpy as np
+    import pandas as pd
+    from telltale.operators import neighbours as nb
+    rng = np.random.default_rng(5)
+    for vectors in (rng.normal(size=(3000, 16)), rng.integers(0, 4, (3000, 3)).astype(float), 1e9 + rng.integers(0, 50, (3000, 2))):
+        asked, ids = vectors[::10], rng.permutation(3000)
+        d = nb._distances(asked, vectors)
+        order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :6]
+        with monkeypatch.context() as m:
+            m.setattr(nb, "_distances", None)
+            best = None
+            for part in (slice(0, 1000), slice(1000, 3000)):
+                best = nb._merge(asked, best, pd.DataFrame({"id": ids[part], "vec": list(vectors[part])}), 6)
+        assert (best[0] == np.take_along_axis(d, order, 1)).all() and (best[1] == ids[order]).all()
