@@ -55,7 +55,8 @@ def global_jump(s: Series, frame: int = 20) -> DataFrame:
 
 def _pairs_before(tails: DataFrame, keys: list[str], values: list[str], back: int) -> DataFrame:
     """(_k_0, _k_1, ..., _p): per process the ``back`` values before its first row, oldest first, fewer at the start of the table."""
-    samples = F.array_sort(F.collect_list(F.struct("timestamp", "seq", *values)))  # a few per block of the process
+    # a few per block of the process; rows of one time and seq stay in the series' order
+    samples = F.array_sort(F.collect_list(F.struct("timestamp", "seq", "_i", *values)))
     latest = F.slice("_t", F.greatest(F.size("_t") - back + 1, F.lit(1)), back)
     ends = materialized(tails.groupBy(*keys).agg(samples.alias("_t")).withColumn(
         "_t", F.transform(latest, lambda e: F.struct(*[e[v].alias(v) for v in values]))).withColumn("_all", F.lit(0)), "tails")

@@ -167,3 +167,13 @@ def test_percentile_rank_sorts_once_a_column(spark):
     assert out._jdf.queryExecution().sparkPlan().toString().count("Window [") == 4
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("Sort [") <= 3, plan
+
+
+def test_global_jump_keeps_the_order_of_equal_times(spark):
+    """Two rows of one time and seq: the first has the change, the second none, and the next process sees the second alone."""
+    from telltale.operators import ordering
+    from telltale.operators.blocks import process_series
+    rows = [("s", 1, 0, 0, 90.0, 0.0), ("s", 1, 0, 0, 0.0, 0.0)] + [("s", 2, t, 10 + t, 1.0, 0.0) for t in range(18)] + [("s", 3, 0, 50, 50.0, 0.0)]
+    df = spark.createDataFrame(rows, "session_id string, pid long, t long, seq long, delta_cpu double, delta_mem double").coalesce(1)
+    got = ordering.global_jump(process_series(df.withColumn("timestamp", ordering.F.timestamp_seconds("t")), halo=19))
+    assert [r.cpu_jump for r in got.where("pid = 3").collect()] == [1]
