@@ -523,3 +523,16 @@ def test_class_lm_chunks_are_small(spark):
     docs = spark.createDataFrame([(i, "ab cd " * 160_000) for i in range(8)], "doc_id long, text string").coalesce(1)  # 7.7 MB
     rows = class_lm.encoded(docs, 4, "doc_id", "text").where("bucket < 0").select("ids").collect()
     assert len(rows) > 1 and sorted(i for r in rows for i in r.ids) == list(range(8))
+
+
+def test_pipeline_sends_texts_in_small_batches(spark):
+    import corpus_pipeline as cp
+    before = spark.conf.get(cp.BATCH_CONF)
+    docs = spark.createDataFrame([(1, "a b c", "en", "web", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    try:
+        for given, held in (("10000", "2000"), ("0", "2000"), ("50", "50")):
+            spark.conf.set(cp.BATCH_CONF, given)
+            cp.token_ids(spark, docs, "")
+            assert spark.conf.get(cp.BATCH_CONF) == held
+    finally:
+        spark.conf.set(cp.BATCH_CONF, before)
