@@ -128,6 +128,28 @@ def test_draws_are_selected_digit_by_digit(spark, small_blocks, monkeypatch):
     assert {r.seq for r in sp.lowest_draws(df, wanted).collect()} == lowest
 
 
+def test_a_split_reads_wide_rows_once(spark, tmp_path):
+    spark.range(500).select(F.col("id").alias("seq"), (F.col("id") % 3).cast("int").alias("label"), F.rand(1).alias("wide")).write.parquet(str(tmp_path / "in"))
+    cut = sp.stratified_split(spark.read.parquet(str(tmp_path / "in")))
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("wide#") and "Union" not in plan and "Window" not in plan
+    assert {(r.label, r.split): r["count"] for r in cut.groupBy("label", "split").count().collect()} == {
+        (0, "test"): 42, (0, "train"): 125, (1, "test"): 42, (1, "train"): 125, (2, "test"): 42, (2, "train"): 124}
+
+
+def test_draws_that_many_rows_share(spark):
+    rows = [(s, 0) for s in (None, None, None, 4, 4, 4, 4, 5, 5, 6)] + [(7, 1)] * 9 + [(8, None)] * 5
+    df = spark.createDataFrame(rows, "seq long, label int")
+    wanted = spark.createDataFrame([(0, k) for k in (6,)] + [(1, 4), (None, 5)], "label int, k long")
+    picked = sp.lowest_draws(df, wanted, keep_rest=True)
+    assert sorted(map(str, ((r.seq, r.label) for r in picked.collect()))) == sorted(map(str, rows))
+    got = [(r.seq, r.label) for r in picked.where("picked").collect()]
+    draws = sorted((hashlib.md5(b"42" if s is None else f"42:{s}".encode()).hexdigest(), s) for s, label in rows if label == 0 and s is not None) \
+        + [(hashlib.md5(b"42").hexdigest(), None)] * 3
+    assert sorted(str(s) for s, label in got if label == 0) == sorted(str(s) for _, s in sorted(draws, key=lambda x: x[0])[:6])
+    assert [label for _, label in got].count(1) == 4 and [label for _, label in got].count(None) == 5
+
+
 def test_sampling_is_exact_and_repeatable(spark):
     df = spark.range(2000).select(F.col("id").alias("seq"), (F.col("id") % 10 == 0).cast("int").alias("label"))
     even = sp.balance_classes(df)
