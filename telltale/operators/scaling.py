@@ -76,11 +76,21 @@ def _counts(frame: DataFrame, width: int, prefixes: set[tuple[int, int]] | None,
                         part = keys[np.searchsorted(keys, np.uint64(low)):np.searchsorted(keys, np.uint64(high), "right")]
                     else:
                         part = keys
-                    digits, first, n = np.unique((part >> np.uint64(shift)) & np.uint64((1 << BITS) - 1), return_index=True, return_counts=True)
-                    for d, at, k in zip(digits.tolist(), first.tolist(), n.tolist()):
-                        old = seen.setdefault((c, prefix, d), [0, 1 << 64, 0])
-                        old[0] += k
-                        old[1], old[2] = min(old[1], int(part[at])), max(old[2], int(part[at + k - 1]))
+                    if not len(part):
+                        continue
+                    digits = (part >> np.uint64(shift)) & np.uint64((1 << BITS) - 1)
+                    edge = np.flatnonzero(np.r_[True, digits[1:] != digits[:-1], True])  # keys are in order, so their digits are
+                    first, last = edge[:-1], edge[1:] - 1
+                    for d, k, low, high in zip(digits[first].tolist(), np.diff(edge).tolist(), part[first].tolist(), part[last].tolist()):
+                        old = seen.get((c, prefix, d))
+                        if old is None:
+                            seen[c, prefix, d] = [k, low, high]
+                        else:
+                            old[0] += k
+                            if low < old[1]:
+                                old[1] = low
+                            if high > old[2]:
+                                old[2] = high
         yield pa.RecordBatch.from_pydict({
             "column": [c for c, _, _ in seen], "prefix": [str(p) for _, p, _ in seen], "digits": [d for _, _, d in seen],
             "n": [v[0] for v in seen.values()], "low": [f"{v[1]:020d}" for v in seen.values()], "high": [f"{v[2]:020d}" for v in seen.values()]},
