@@ -269,6 +269,26 @@ def test_transform_orders_all_suffixes():
         assert n == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
 
 
+def test_transform_takes_every_byte():
+    texts = [b"\xff\xff\x00", b"\xff", b"", b"\x00\xff"]
+    text, suffix, prefix = suffix_dedup.collection_order(texts)
+    assert [texts[i][len(texts[i]) - n:] for i, n in zip(text.tolist(), suffix.tolist())] == sorted(t[k:] for t in texts for k in range(len(t) + 1))
+    assert prefix.tolist() == [0, 0, 0, 0, 0, 1, 0, 1, 1, 1]
+    assert all(len(x) == 0 for x in suffix_dedup.collection_order([]))
+
+
+def test_runs_of_texts_looked_at_together():
+    import numpy as np
+    r = random.Random(4)
+    texts = [b"", b"a" * 300, b"ab" * 49, "".join(r.choice("abé ") for _ in range(5000)).encode(), b"x" * 49, b"y" * 50]
+    sizes = np.array([len(t) for t in texts])
+    together = suffix_dedup.runs_of(b"".join(texts), sizes, 50)
+    alone = [(k, i, a, n) for i, t in enumerate(texts) for k, _, a, n in zip(*suffix_dedup.runs_of(t, sizes[i:i + 1], 50))]
+    assert list(zip(*(x.tolist() for x in together))) == alone
+    for i, t in enumerate(texts):  # every window of a text in one run
+        assert [a + j for _, row, a, n in alone if row == i for j in range(n)] == list(range(max(len(t) - 49, 0)))
+
+
 # -- language model ---------------------------------------------------------------------------------------
 def test_counts_and_base_score(spark, sf, corpus):
     words = {i: t.encode().lower().split() + [b""] for i, t in corpus}
