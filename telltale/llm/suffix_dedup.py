@@ -12,7 +12,7 @@ are sent once, with the smallest id that holds them.
    transform and common prefixes grow by one symbol per run text and round, from the ends to the starts;
    a round reads the columns of the round before in order and writes new ones. Windows whose common
    prefixes reach ``length`` are equal, and each learns the smallest id of its group. A key with one
-   run text needs no order.
+   run text needs no order, nor does a text whose surroundings of the key's piece no other text has.
 4. Chunks get the ids back and cut their documents.
 
 A collection is bounded, so its columns stay in the task's memory instead of in files; what outlives a
@@ -28,6 +28,7 @@ length are whole, and one text is the least a chunk can hold; an empty table giv
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -55,28 +56,37 @@ ANSWER = [("row", "<i4"), ("at", "<i4"), ("size", "u1"), ("first", "u1"), ("wind
 
 
 # -- windows and runs ----------------------------------------------------------------------------
+def eight_bytes(raw: bytes) -> np.ndarray:
+    """The eight bytes from every place on as a number."""
+    return np.ndarray(len(raw) - 7, np.uint64, raw, 0, (1,)).copy()
+
+
+def hashed_pieces(eight: np.ndarray) -> np.ndarray:
+    """The hash of the piece of ``KMER`` bytes at every place."""
+    return mix(eight[:8 - KMER] + mix(eight[KMER - 8:]))
+
+
 def runs_of(raw: bytes, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Key, text, first window and number of windows of each run of the texts that follow each other in ``raw``."""
     windows = np.maximum(sizes - length + 1, 0)
-    n = int(windows.sum())
-    if n < 1:
+    if not windows.any():
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    data = np.frombuffer(raw, np.uint8)
-    eight = np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1)).copy().view(np.uint64).ravel()
-    pieces = len(data) - KMER + 1
-    low = mix(eight[:pieces] + mix(eight[8:8 + pieces]))
+    low = hashed_pieces(eight_bytes(raw))
     width, span = length - KMER + 1, 1
     while span * 2 <= width:
         low, span = np.minimum(low[:-span], low[span:]), span * 2
     if width > span:
         low = np.minimum(low[:span - width], low[width - span:])
-    # windows that lie within one text
-    row = np.repeat(np.arange(len(sizes)), windows)
-    place = np.arange(n) - np.repeat(np.cumsum(windows) - windows, windows)
-    low = low[place + np.repeat(np.cumsum(sizes) - sizes, windows)]
-    start = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (place[1:] == 0)])
-    size = np.diff(np.r_[start, n])
-    low, row, place = low[start], row[start], place[start]
+    # runs begin where the smallest hash changes and where a text does; its last window ends them
+    row = np.flatnonzero(windows)
+    begin = (np.cumsum(sizes) - sizes)[row]
+    stop = begin + windows[row]
+    change = np.flatnonzero(low[1:] != low[:-1]) + 1
+    of = np.searchsorted(begin, change, "right") - 1
+    start = np.sort(np.concatenate([begin, change[(change > begin[of]) & (change < stop[of]) & (of >= 0)]]))
+    of = np.searchsorted(begin, start, "right") - 1
+    size = np.minimum(np.append(start[1:], stop[-1]), stop[of]) - start
+    low, row, place = low[start], row[of], start - begin[of]
     if size.max() <= RUN:
         return mix(low), row, place, size
     # a long run of one key is cut from its start
@@ -312,6 +322,45 @@ def collection_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     return text, suffix, prefix[:-1]
 
 
+def may_share(texts: list[bytes], keys: np.ndarray, length: int) -> np.ndarray:
+    """False for run texts that share no window with another text under their key, by more bytes than the key tells.
+
+    A text's windows all hold its key's piece. A window reaches ``before`` bytes to the left of the first such piece in it, or
+    else ``after`` bytes to the right of it; texts with a window in common agree in that stretch, whatever piece of theirs it is.
+    """
+    before = (length - KMER) // 2
+    after = length - KMER - before + 1
+    of, stretch = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for at in range(0, len(texts), COLLECTION):
+        some = texts[at:at + COLLECTION]
+        size = np.fromiter(map(len, some), np.int64, len(some))
+        ends = np.cumsum(size)
+        eight = eight_bytes(b"".join(some))
+        value = hashed_pieces(eight)
+        owner = np.repeat(np.arange(len(some)), size)[:len(value)]
+        inside = np.arange(KMER, ends[-1] + 1) <= ends[owner]  # a piece lies within one text
+        value[~inside] = np.uint64(2 ** 64 - 1)
+        least = np.minimum.reduceat(value, ends - size)
+        place = np.flatnonzero((value == least[owner]) & inside)
+        owner = owner[place]
+        for side, (low, high) in enumerate(((-before, KMER), (0, KMER + after))):
+            fits = (place + low >= (ends - size)[owner]) & (place + high <= ends[owner])
+            p, t = place[fits], owner[fits] + at
+            code = mix(keys[t] + np.uint64(side))
+            for step in (*range(low, high - 8, 8), high - 8):
+                code = mix(code + eight[p + step])
+            of.append(t)
+            stretch.append(code)
+    of, stretch = np.concatenate(of), np.concatenate(stretch)
+    order = np.lexsort((of, stretch))
+    of, stretch = of[order], stretch[order]
+    # texts stand in order within a stretch: the first and the last differ if two of them do
+    edge = np.flatnonzero(np.r_[True, stretch[1:] != stretch[:-1], True]) if len(of) else np.zeros(1, np.int64)
+    out = np.zeros(len(texts), bool)
+    out[of[np.repeat(of[edge[:-1]] != of[edge[1:] - 1], np.diff(edge))]] = True
+    return out
+
+
 def least_ids(texts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window of each text, the smallest id among all texts that hold it; and where each text's windows begin."""
     text, suffix, prefix = collection_order(texts)
@@ -326,6 +375,16 @@ def least_ids(texts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndar
     return out, starts
 
 
+def _stretches(ids: list[int]) -> list[tuple[int, int, int]]:
+    """(first, number, id) of each stretch of one id."""
+    out, first = [], 0
+    for id_, same in groupby(ids):
+        n = sum(1 for _ in same)
+        out.append((first, n, id_))
+        first += n
+    return out
+
+
 def answers(runs: DataFrame, length: int) -> DataFrame:
     """(chunk, found): windows of a chunk's run texts that a smaller id than the chunk's own holds."""
 
@@ -345,12 +404,13 @@ def answers(runs: DataFrame, length: int) -> DataFrame:
         texts = list(found)
         ids = np.array([v[0] for v in found.values()], np.int64)
         key = np.array([v[1] for v in found.values()], np.uint64)
-        best: list[np.ndarray | None] = [None] * len(texts)
+        best: list[list[tuple[int, int, int]] | None] = [None] * len(texts)  # (first window, windows, smallest id)
         by_key = np.argsort(key, kind="stable")
         cut = np.flatnonzero(np.r_[True, key[by_key][1:] != key[by_key][:-1], True])
         size = np.diff(cut)
         grouped = by_key[np.repeat(size > 1, size)]  # texts under keys that have several
-        ends = np.cumsum(size[size > 1])
+        grouped = grouped[may_share([texts[i] for i in grouped], key[grouped], length)]
+        ends = np.flatnonzero(np.r_[key[grouped][1:] != key[grouped][:-1], len(grouped) > 0]) + 1
         # whole keys together, about COLLECTION texts at a time
         last = np.flatnonzero(np.diff((ends - 1) // COLLECTION, append=-1) != 0)
         for part in np.split(grouped, ends[last][:-1]) if len(grouped) else []:
@@ -358,7 +418,7 @@ def answers(runs: DataFrame, length: int) -> DataFrame:
             low, high = np.minimum.reduceat(windows, starts), np.maximum.reduceat(windows, starts)
             ids[part] = low
             for i in np.flatnonzero(low < high):  # the others have one id for all windows
-                best[part[i]] = windows[starts[i]:starts[i + 1] if i + 1 < len(starts) else None]
+                best[part[i]] = _stretches(windows[starts[i]:starts[i + 1] if i + 1 < len(starts) else None].tolist())
         chunk_of, blobs, least = [], [], ids.tolist()
         for chunk, own, mine, rows, at in asked:
             lines = []
@@ -369,8 +429,7 @@ def answers(runs: DataFrame, length: int) -> DataFrame:
                 if best[i] is None:
                     lines.append((row, place, n, 0, n - length + 1, least[i]))
                 else:
-                    edge = np.flatnonzero(np.r_[True, best[i][1:] != best[i][:-1], True])
-                    lines += [(row, place, n, a, b - a, best[i][a]) for a, b in zip(edge, edge[1:]) if best[i][a] < doc]
+                    lines += [(row, place, n, a, windows, least_) for a, windows, least_ in best[i] if least_ < doc]
             if lines:
                 chunk_of.append(chunk)
                 blobs.append(np.array(lines, ANSWER).tobytes())
@@ -392,15 +451,15 @@ def removed(packed: DataFrame, shared: DataFrame, answered: DataFrame, key_bucke
             lines = [x for f in right.filter(pa.array(~mask)).column("found").to_pylist() for x in np.frombuffer(f, ANSWER).tolist()]
             marks = covered(c, hot, lines, length)
             for i, text, spans in zip(head["ids"], c.texts, marks):
-                data = np.frombuffer(text, np.uint8)
-                step = np.zeros(len(data) + 1, np.int64)
-                if spans:
-                    a, b = np.array(spans).T
-                    step += np.bincount(a, minlength=len(step)) - np.bincount(b, minlength=len(step))
-                gone = np.cumsum(step[:-1]) > 0
-                for name, v in (("doc_id", i), ("n_bytes", len(data)), ("n_removed", int(gone.sum())),
-                                ("n_spans", int(np.count_nonzero(np.diff(np.r_[0, gone.view(np.int8)]) == 1))),
-                                ("kept", data[~gone].tobytes() if spans else text)):
+                kept, end, n_spans = [], 0, 0
+                for a, b in sorted(spans):
+                    if a > end or not n_spans:
+                        kept.append(text[end:a])
+                        n_spans += 1
+                    end = max(end, b)
+                kept = b"".join([*kept, text[end:]]) if spans else text
+                for name, v in (("doc_id", i), ("n_bytes", len(text)), ("n_removed", len(text) - len(kept)), ("n_spans", n_spans),
+                                ("kept", kept)):
                     out[name].append(v)
         return pa.Table.from_pydict(out, kinds)
 
@@ -434,8 +493,7 @@ def covered(c: Chunk, hot: np.ndarray, lines: list[tuple], length: int) -> list[
             if hit.all():
                 marks[row].append((at, at + len(text)))
             else:
-                edge = np.flatnonzero(np.diff(np.r_[0, hit.view(np.int8), 0]))
-                marks[row] += [(at + a, at + b - 1 + length) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
+                marks[row] += [(at + a, at + a + n - 1 + length) for a, n, gone in _stretches(hit.tolist()) if gone]
         elif least.get(text, NO_ID) < doc:
             marks[row].append((at, at + len(text)))
     return marks

@@ -289,6 +289,27 @@ def test_runs_of_texts_looked_at_together():
         assert [a + j for _, row, a, n in alone if row == i for j in range(n)] == list(range(max(len(t) - 49, 0)))
 
 
+def test_only_run_texts_that_may_share_a_window_are_ordered():
+    import numpy as np
+    r = random.Random(6)
+    word = lambda n: bytes(r.choice(b"abcd") for _ in range(n))
+    common = [word(n) for n in (16, 20, 33, 50, 60, 70)]
+    raw = [word(r.randrange(60)) + r.choice(common) + word(r.randrange(60)) for _ in range(400)] + [b"a" * 120, b"ba" * 60, b"ab" * 70 + b"c"]
+    found = {}
+    for text in raw:
+        for key, _, at, n in zip(*(x.tolist() for x in suffix_dedup.runs_of(text, np.array([len(text)]), 50))):
+            found[text[at:at + n + 49]] = key
+    texts, keys = list(found), np.array(list(found.values()), np.uint64)
+    got = suffix_dedup.may_share(texts, keys, 50)
+    windows = [{t[i:i + 50] for i in range(len(t) - 49)} for t in texts]
+    held = Counter(w for ws in windows for w in ws)
+    shares = np.array([any(held[w] > 1 for w in ws) for ws in windows])
+    together = np.array([n > 1 for n in map(Counter(keys.tolist()).get, keys.tolist())])
+    assert shares.any() and got[shares].all()
+    assert (together & ~got).any()  # chance meetings are told apart
+    assert len(suffix_dedup.may_share([], keys[:0], 50)) == 0
+
+
 # -- language model ---------------------------------------------------------------------------------------
 def test_counts_and_base_score(spark, sf, corpus):
     words = {i: t.encode().lower().split() + [b""] for i, t in corpus}
