@@ -6,6 +6,7 @@ import pytest
 from conftest import stream_rows
 from pyspark.sql import functions as F
 
+from telltale import catalog
 from telltale.operators import learning as ml, neighbours as nb, scaling as sca
 from telltale.plans import prepare, train as training
 from telltale.session import scratch_path
@@ -36,6 +37,12 @@ def brute(ids, x, k):
     return out
 
 
+def test_written_tables_are_read_in_splits(spark):
+    table = catalog._once(spark, "many", "splits", lambda: spark.range(4_000_000, numPartitions=1).select("id", F.rand(1).alias("x")))
+    parts = [r["count"] for r in table.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+    assert sum(parts) == 4_000_000 and max(parts) <= 2_600_000
+
+
 @pytest.mark.parametrize("block", [5, 2048])
 def test_neighbours_match_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(nb, "BLOCK", block)
