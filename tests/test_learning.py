@@ -209,3 +209,43 @@ def test_only_near_pairs_are_compared_one_by_one(monkeypatch):
             for part in (slice(0, 1000), slice(1000, 3000)):
                 best = nb._merge(asked, best, pd.DataFrame({"id": ids[part], "vec": list(vectors[part])}), 6)
         assert (best[0] == np.take_along_axis(d, order, 1)).all() and (best[1] == ids[order]).all()
+
+
+# ---- the registered queries fit what the library stores or draws, whole ----
+
+@pytest.fixture
+def fits(monkeypatch):
+    """(preset, parameters, patience) of every boosted fit that was asked for; one round of one split is fitted."""
+    asked, fit = [], ml.fit_gbt
+
+    def small(train, features, preset="primary", validation=None, patience=ml.PATIENCE, **overrides):
+        asked.append((preset, {**ml.PRESETS[preset], **overrides}, patience))
+        return fit(train, features, preset, validation, patience, **{**overrides, "maxIter": 1, "maxDepth": 1})
+
+    monkeypatch.setattr(ml, "fit_gbt", small)
+    monkeypatch.setattr(catalog, "_MODELS", {})
+    return asked
+
+
+def _whole(*presets):
+    return [(p, ml.PRESETS[p], 50) for p in presets]
+
+
+@pytest.mark.parametrize("name, preset", [("gbt_primary", "primary"), ("gbt_secondary", "secondary"), ("gbt_plain", "plain"),
+                                          ("feature_importance", "primary")])
+def test_boosted_queries_fit_whole_presets(spark, sf, fits, name, preset):
+    assert catalog.QUERIES[name](spark, sf).count() and fits == _whole(preset)
+
+
+def test_live_alerts_come_from_the_whole_preset(spark, sf, fits, monkeypatch):
+    class Stored(Exception):
+        pass
+
+    def stop(*_, **__):
+        raise Stored
+
+    monkeypatch.setattr(catalog, "_DETECTORS", {})
+    monkeypatch.setattr(catalog.live, "stored_model_detector", stop)
+    with pytest.raises(Stored):
+        catalog.QUERIES["live_model_alerts"](spark, sf)
+    assert fits == _whole("primary")
