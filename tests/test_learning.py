@@ -249,3 +249,7 @@ def test_live_alerts_come_from_the_whole_preset(spark, sf, fits, monkeypatch):
     with pytest.raises(Stored):
         catalog.QUERIES["live_model_alerts"](spark, sf)
     assert fits == _whole("primary")
+
+
+def test_early_stop_query_fits_the_whole_preset(spark, sf, fits):
+    assert catalog.QUERIES["early_stop"](spark, sf).count() and fits == _whole("primary")
