@@ -1079,7 +1079,7 @@ def _(spark, sf):
 @query("mlp")
 def _(spark, sf):
     train, _, test = _parts(spark, sf)
-    fitted = _fitted(spark, sf, "mlp", lambda: ml.fit_mlp(train, MODEL_COLUMNS, max_iter=10))
+    fitted = _fitted(spark, sf, "mlp", lambda: ml.fit_mlp(train, MODEL_COLUMNS))
     return ml.score_mlp(test.select("seq", "label", *MODEL_COLUMNS), fitted).select("seq", "label", *_r("score"), "pred")
 
 

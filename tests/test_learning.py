@@ -253,3 +253,11 @@ def test_live_alerts_come_from_the_whole_preset(spark, sf, fits, monkeypatch):
 
 def test_early_stop_query_fits_the_whole_preset(spark, sf, fits):
     assert catalog.QUERIES["early_stop"](spark, sf).count() and fits == _whole("primary")
+
+
+def test_network_query_fits_the_whole_network(spark, sf, monkeypatch):
+    made, net = [], ml.MultilayerPerceptronClassifier
+    monkeypatch.setattr(ml, "MultilayerPerceptronClassifier", lambda **p: made.append(p) or net(**{**p, "maxIter": 1}))
+    monkeypatch.setattr(catalog, "_MODELS", {})
+    assert catalog.QUERIES["mlp"](spark, sf).count()
+    assert [(p["maxIter"], p["layers"][1:]) for p in made] == [(300, [128, 64, 32, 2])]
