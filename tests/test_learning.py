@@ -261,3 +261,8 @@ def test_network_query_fits_the_whole_network(spark, sf, monkeypatch):
     monkeypatch.setattr(catalog, "_MODELS", {})
     assert catalog.QUERIES["mlp"](spark, sf).count()
     assert [(p["maxIter"], p["layers"][1:]) for p in made] == [(300, [128, 64, 32, 2])]
+
+
+def test_stacking_query_fits_whole_presets(spark, sf, fits):
+    assert catalog.QUERIES["stacking"](spark, sf).count()
+    assert fits == 4 * _whole("stacking_primary", "stacking_secondary", "stacking_plain")
