@@ -266,3 +266,8 @@ def test_network_query_fits_the_whole_network(spark, sf, monkeypatch):
 def test_stacking_query_fits_whole_presets(spark, sf, fits):
     assert catalog.QUERIES["stacking"](spark, sf).count()
     assert fits == 4 * _whole("stacking_primary", "stacking_secondary", "stacking_plain")
+
+
+def test_tuned_query_fits_the_stored_parameters(spark, sf, fits):
+    assert catalog.QUERIES["train_tuned"](spark, sf).count()
+    assert [p for _, p, _ in fits] == [{**ml.PRESETS["primary"], **ml.spark_params(ml.TUNED)}] and fits[0][1]["maxIter"] == 731
