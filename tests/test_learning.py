@@ -271,3 +271,8 @@ def test_stacking_query_fits_whole_presets(spark, sf, fits):
 def test_tuned_query_fits_the_stored_parameters(spark, sf, fits):
     assert catalog.QUERIES["train_tuned"](spark, sf).count()
     assert [p for _, p, _ in fits] == [{**ml.PRESETS["primary"], **ml.spark_params(ml.TUNED)}] and fits[0][1]["maxIter"] == 731
+
+
+def test_training_flow_query_fits_whole_presets(spark, sf, fits):
+    assert catalog.QUERIES["training_flow"](spark, sf).count() == 3
+    assert fits == _whole("primary", "secondary", "voting_primary", "voting_secondary", "voting_plain")
