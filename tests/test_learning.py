@@ -276,3 +276,17 @@ def test_tuned_query_fits_the_stored_parameters(spark, sf, fits):
 def test_training_flow_query_fits_whole_presets(spark, sf, fits):
     assert catalog.QUERIES["training_flow"](spark, sf).count() == 3
     assert fits == _whole("primary", "secondary", "voting_primary", "voting_secondary", "voting_plain")
+
+
+def test_tuning_queries_try_the_whole_space(spark, sf, fits, monkeypatch):
+    drawn, draw = [], ml.draw_trials
+
+    def two(*args):
+        drawn.append(draw(*args))
+        return drawn[0][:2]
+
+    monkeypatch.setattr(ml, "draw_trials", two)
+    assert catalog.QUERIES["tune"](spark, sf).count() and catalog.QUERIES["tuning_history"](spark, sf).count() == 2
+    assert drawn == [draw("primary", 50)] and 300 <= min(p["n_estimators"] for p in drawn[0]) and 12 == max(p["max_depth"] for p in drawn[0])
+    rounds = [p["n_estimators"] for p in drawn[0][:2]]
+    assert sorted(p["maxIter"] for _, p, _ in fits[:2]) == sorted(rounds) and fits[2][1]["maxIter"] in rounds
