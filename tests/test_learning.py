@@ -290,3 +290,8 @@ def test_tuning_queries_try_the_whole_space(spark, sf, fits, monkeypatch):
     assert drawn == [draw("primary", 50)] and 300 <= min(p["n_estimators"] for p in drawn[0]) and 12 == max(p["max_depth"] for p in drawn[0])
     rounds = [p["n_estimators"] for p in drawn[0][:2]]
     assert sorted(p["maxIter"] for _, p, _ in fits[:2]) == sorted(rounds) and fits[2][1]["maxIter"] in rounds
+
+
+def test_voting_query_fits_whole_presets(spark, sf, fits):
+    assert catalog.QUERIES["voting_soft"](spark, sf).count()
+    assert fits == _whole("voting_primary", "voting_secondary", "voting_plain")
