@@ -80,6 +80,19 @@ def test_few_pairs_are_compared_on_clustered_data(spark, monkeypatch):
     assert got == {i: list(np.lexsort((np.arange(len(x)), row))[:5]) for i, row in enumerate(d)}
 
 
+def test_queries_are_sent_to_bundles_not_to_leaves(spark, monkeypatch):
+    """Far fewer vectors are shuffled than there are pairs of a query and a leaf that it reaches."""
+    monkeypatch.setattr(nb, "ROWS_PER_LEAF", 10)
+    sent, past = [], nb._past
+    monkeypatch.setattr(nb, "_past", lambda held, passing, *rest: sent.append(passing.count()) or past(held, passing, *rest))
+    x, big = np.random.default_rng(7).normal(size=(800, 24)), 2 ** 60  # ids that a double can't hold
+    df = spark.createDataFrame([(big + i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    got = {}
+    for r in nb.nearest_neighbours(df, "id", "vec", 5).orderBy("id", "rank").collect():
+        got.setdefault(r.id - big, []).append(r.neighbour - big)
+    assert got == brute(list(range(len(x))), x.tolist(), 5) and max(sent) <= 8 * len(x)
+
+
 def test_smote_fills_the_minority_between_neighbours(spark, rows):
     train = rows[0]
     out = nb.smote_oversample(train, ["a", "b"])
