@@ -128,7 +128,8 @@ class Shard:
         order = order[np.argsort(-bound[order], kind="stable")]
         scores = np.zeros(0)
         found = np.zeros(0, np.int64)
-        step = -(-2 * k // BLOCK) + 1
+        # the best blocks alone give a first k-th score; where there is one, all blocks that can reach it are taken at once
+        step = len(order) if least > 0 else -(-2 * k // BLOCK) + 1
         at = 0
         while at < len(order):
             part = order[at:at + step]
@@ -141,13 +142,14 @@ class Shard:
             here = group[use]
             posting, which = _ranges(self.first[here], self.first[here + 1])
             total = base + np.bincount(self.docs[posting], weight[use][which] * self.part[posting], self.n)
-            hit = np.flatnonzero((total > 0) & (total + 10.0 ** -DIGITS >= least) & np.repeat(wanted, BLOCK)[:self.n])
+            hit = np.flatnonzero(total >= least - 10.0 ** -DIGITS if least > 0 else total)
+            hit = hit[wanted[hit // BLOCK] & (total[hit] > 0)]
             found, scores = np.concatenate([found, hit]), np.concatenate([scores, np.round(total[hit], DIGITS)])
             if len(scores) > k:
                 cut = np.partition(scores, len(scores) - k)[len(scores) - k]
                 keep = scores >= cut
                 found, scores, least = found[keep], scores[keep], max(least, cut)
-            at, step = at + step, step * 16
+            at, step = at + step, len(order)
         return found, scores
 
 

@@ -351,6 +351,19 @@ def test_exchange_gain_is_the_change_of_likelihood():
 
 
 # -- search -----------------------------------------------------------------------------------------------
+def test_blocks_that_reach_a_known_score_are_taken_at_once(spark, monkeypatch):
+    import numpy as np
+    rows = [(i, " ".join(prose(i, 30, 3000))) for i in range(3000)]
+    shard = bm25.Shard(bm25.build_index(table(spark, rows).coalesce(1), "doc_id", "text").first().asDict(), 30.0)
+    terms = np.arange(0, len(shard.terms), 5)
+    idf, steps, ranges = np.ones(len(terms)), [], bm25._ranges
+    base = shard.sums([(terms, idf)])[0]
+    found, scores = shard.search(terms, idf, base, 10, 0.0)
+    monkeypatch.setattr(bm25, "_ranges", lambda *a: steps.append(a) or ranges(*a))
+    again, same = shard.search(terms, idf, base, 10, scores.min() / 2)
+    assert len(steps) == 2 and sorted(zip(found, scores)) == sorted(zip(again, same))  # the terms' blocks, then their postings
+
+
 def test_search_as_by_hand(spark):
     rows = [(i, " ".join(prose(i, 5 + i % 60, 40))) for i in range(400)] + [(400, "zz"), (401, "zz"), (402, None), (403, "")]
     docs = table(spark, rows).repartition(4)
